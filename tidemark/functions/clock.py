@@ -52,20 +52,17 @@ def hours(value: float) -> int:
     return round(float(value) * HOUR)
 
 
-def floor_div(a: Column, b: int) -> Column:
+def floor_div(a: Column, b: int | Column) -> Column:
     """Integer division that rounds down for negative values too."""
-    a, b = a.cast("bigint"), F.lit(b).cast("bigint")
+    a = a.cast("bigint")
+    b = F.lit(b).cast("bigint") if isinstance(b, int) else b
     return F.call_function("div", a - F.pmod(a, b), b)
 
 
-def ceil_div(a: Column, b: int) -> Column:
+def ceil_div(a: Column, b: int | Column) -> Column:
     return -floor_div(-a, b)
 
 
-def least_of(*cols: Column) -> Column:
-    return F.least(*cols) if len(cols) > 1 else cols[0]
-
-
 @dataclass(frozen=True)
 class Grid:
     """The points start, start + step, ... that do not pass end, all in microseconds."""

@@ -15,7 +15,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.clock import hours, micros_of, to_micros, to_timestamp
+from ..functions.clock import ceil_div, hours, micros_of, to_micros, to_timestamp
 from ..functions.ladder import TIME_WIDTHS, running
 from ..functions.measures import ADDITIVE_MEASURES, MEASURE_LABELS, as_total, is_live
 from ..functions.skew import HOT_ROWS, split_hot
@@ -34,6 +34,18 @@ TIMELINE_COLUMNS = (
 )
 
 
+def _pick(values: Sequence, kind: str, index: str) -> Column:
+    """values[index] as one expression."""
+
+    def literal(v) -> str:
+        if v is None:
+            return f"CAST(NULL AS {kind})"
+        text = v.replace("\\", "\\\\").replace("'", "\\'") if isinstance(v, str) else v
+        return f"CAST('{text}' AS {kind})"
+
+    return F.expr(f"element_at(array({', '.join(map(literal, values))}), {index} + 1)")
+
+
 @dataclass(frozen=True)
 class Run:
     """One policy under one scenario."""
@@ -73,6 +85,10 @@ class Replay:
         """Equal policies of several runs are computed once."""
         return list(dict.fromkeys(r.policy for r in self.runs))
 
+    @property
+    def slots(self) -> int:
+        return len(self._distinct_policies)
+
     def _slot(self, run: int) -> int:
         return self._distinct_policies.index(self.runs[run].policy)
 
@@ -166,6 +182,8 @@ class Replay:
     def materialized(self) -> Replay:
         """Write the versions to reliable storage, for several reads of them."""
         self.__dict__["versions"] = materialize(self.versions)
+        if self._marks is not None:
+            self.__dict__["_marks"] = materialize(self._marks)
         return self
 
     @staticmethod
@@ -174,86 +192,117 @@ class Replay:
         visible, superseded = F.col(f"visible_{i}"), F.col(f"superseded_{i}")
         return F.col("live") & visible.isNotNull() & (superseded.isNull() | (visible < superseded))
 
-    def _served_at(self, i: int, at: int) -> Column:
-        superseded = F.col(f"superseded_{i}")
-        return self._counts(i) & (F.col(f"visible_{i}") <= at) & (superseded.isNull() | (superseded > at))
-
     def _true_at(self, at: int) -> Column:
         following = F.col("next_arrival_us")
         return F.col("live") & (F.col("arrival_us") <= at) & (following.isNull() | (following > at))
 
     # -- labels ----------------------------------------------------------------------------------------------
 
-    def _label(self, values: Sequence[str | None]) -> Column:
-        return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), F.col("run") + 1)
+    def _by_slot(self, values: Sequence, kind: str) -> Column:
+        """A constant per distinct policy, picked by the column ``slot``."""
+        return _pick(values, kind, "slot")
+
+    def per_run(self, rows: DataFrame) -> DataFrame:
+        """Give rows of a distinct policy (``slot``) to every run that uses it (``run``)."""
+        runs: list[list[int]] = [[] for _ in self._distinct_policies]
+        for run in range(len(self.runs)):
+            runs[self._slot(run)].append(run)
+        of_slot = F.expr(f"element_at(array({', '.join(f'array({", ".join(map(str, rs))})' for rs in runs)}), slot + 1)")
+        return rows.withColumn("run", F.explode(of_slot)).drop("slot")
+
+    def by_run(self, values: Sequence, kind: str) -> Column:
+        """A constant per run, picked by the column ``run``."""
+        return _pick(values, kind, "run")
 
     def labels(self) -> list[Column]:
         """scenario (when the runs have one) and policy of the column ``run``."""
         scenarios = [r.scenario for r in self.runs]
-        labels = [] if all(s is None for s in scenarios) else [self._label(scenarios).alias("scenario")]
-        return [*labels, self._label([r.policy.name for r in self.runs]).alias("policy")]
+        named = [] if all(s is None for s in scenarios) else [self.by_run(scenarios, "string").alias("scenario")]
+        return [*named, self.by_run([r.policy.name for r in self.runs], "string").alias("policy")]
+
+    def per_policy(self, *columns: str, loads: bool = False) -> DataFrame:
+        """Version rows once per distinct policy: slot, visible, superseded (null unless the row counts), load."""
+        structs = []
+        for i in range(len(self._distinct_policies)):
+            counts = self._counts(i)
+            fields = [
+                F.lit(i).alias("slot"),
+                F.when(counts, F.col(f"visible_{i}")).alias("visible"),
+                F.when(counts, F.col(f"superseded_{i}")).alias("superseded"),
+            ]
+            if loads:
+                fields.append(self._load(i).alias("load_count"))
+            structs.append(F.struct(*fields))
+        return self.versions.select(*columns, F.explode(F.array(*structs)).alias("_p")).select(*columns, "_p.*")
 
     # -- timeline --------------------------------------------------------------------------------------------
 
-    def timeline_points(self) -> DataFrame:
-        """(run, position, event_count, value_i, cutoff) at every observation point of every run."""
-        long_null, bool_null = F.lit(None).cast("bigint"), F.lit(False)
-        amounts = [F.col(f"measure_{m}") for m in range(len(self.measures))]
-        no_amounts = [F.lit(None).cast(self.versions.schema[f"measure_{m}"].dataType) for m in range(len(amounts))]
+    def _regular_points(self) -> DataFrame:
+        """(slot, at_us) of every regular grid, numbered through as one range."""
+        grids = {i: g for i, p in enumerate(self._distinct_policies) if (g := p.grid(self.profile)) is not None}
+        slot, first, total = F.lit(None), F.lit(None), 0
+        for i, g in grids.items():  # later grids start at later ids
+            inside = F.col("id") >= total
+            slot, first = F.when(inside, i).otherwise(slot), F.when(inside, total).otherwise(first)
+            total += g.size
+        steps = [grids[i].step if i in grids else None for i in range(len(self._distinct_policies))]
+        start = next(iter(grids.values())).start if grids else 0
+        points = self.log.sparkSession.range(total).select(
+            slot.cast("int").alias("slot"), (F.col("id") - first.cast("bigint")).alias("index")
+        )
+        return points.select("slot", (F.lit(start) + F.col("index") * self._by_slot(steps, "bigint")).alias("at_us"))
+
+    @cached_property
+    def _marks(self) -> DataFrame | None:
+        """(slot, at_us, cutoff) of the policies whose cutoff moves at times of its own."""
+        marks = None
+        for i, prepared in enumerate(self._prepared):
+            if prepared.marks is not None:
+                rows = prepared.marks.select(F.lit(i).alias("slot"), "at_us", F.col("cutoff_us").alias("cutoff"))
+                marks = rows if marks is None else marks.unionByName(rows)
+        return marks
 
-        def point(run, at, seen, values, observed, cutoff):
+    def timeline_points(self) -> DataFrame:
+        """(slot, position, event_count, value_m, cutoff) at every observation point of every distinct policy."""
+        policies = self._distinct_policies
+        grids = [p.grid(self.profile) for p in policies]
+        amounts = [f"measure_{m}" for m in range(len(self.measures))]
+        rows = self.per_policy("arrival_us", "is_observed", *amounts)
+
+        # Where a row is counted as seen: its arrival, or the grid point that first takes it in.
+        arrival = F.col("arrival_us")
+        step = self._by_slot([None if g is None else g.step for g in grids], "bigint")
+        origin, end = (0, -1) if self.profile.empty else (self.profile.first_arrival, self.profile.last_arrival)
+        snapped = F.lit(origin) + ceil_div(arrival - F.lit(origin), step) * step
+        seen_at = F.when(step.isNull(), arrival).otherwise(F.when(snapped <= end, snapped))
+        reads_all = ~self._by_slot([p.observed for p in policies], "boolean")
+        seen_at = F.when(reads_all | F.col("is_observed"), seen_at)
+        own_cutoff = self._by_slot([g is None and m.marks is None for g, m in zip(grids, self._prepared)], "boolean")
+
+        def point(at: Column, seen: int, sign: int | None, observed: Column, cutoff: Column) -> Column:
+            types = [self.versions.schema[a].dataType for a in amounts]
+            value = [F.lit(None).cast(t) if sign is None else F.col(a) * sign for a, t in zip(amounts, types)]
             return F.struct(
-                F.lit(run).alias("run"),
-                at.cast("bigint").alias("at_us"),
-                seen.cast("bigint").alias("seen"),
-                *[v.alias(f"value_{m}") for m, v in enumerate(values)],
+                at.alias("at_us"),
+                F.lit(seen).cast("bigint").alias("seen"),
+                *[v.cast(t).alias(f"value_{m}") for m, (v, t) in enumerate(zip(value, types))],
                 observed.alias("observed"),
                 cutoff.alias("cutoff"),
             )
 
-        points, regular, bounds = [], [], []
-        spark = self.log.sparkSession
-        for run, r in enumerate(self.runs):
-            i, policy = self._slot(run), r.policy
-            grid, prepared = policy.grid(self.profile), self._prepared[i]
-            arrival = F.col("arrival_us")
-            at = arrival if grid is None else grid.at_or_after(arrival)
-            if policy.observed:
-                at = F.when(F.col("is_observed"), at)
-            own_cutoff = at if grid is None and prepared.marks is None else long_null
-            points.append(point(run, at, F.lit(1), no_amounts, F.lit(grid is None), own_cutoff))
-            counts = self._counts(i)
-            points.append(
-                point(run, F.when(counts, F.col(f"visible_{i}")), F.lit(0), amounts, bool_null, long_null)
-            )
-            points.append(
-                point(
-                    run, F.when(counts, F.col(f"superseded_{i}")), F.lit(0), [-a for a in amounts], bool_null, long_null
-                )
-            )
-            bounds.append(None if grid is None else grid.size)
-            if grid is not None:
-                at_us = grid.point(F.col("id"))
-                regular.append(
-                    spark.range(grid.size).select(
-                        F.lit(run).alias("run"),
-                        at_us.alias("at_us"),
-                        F.lit(0).cast("bigint").alias("seen"),
-                        F.lit(True).alias("observed"),
-                        at_us.alias("cutoff"),
-                    )
-                )
-            if prepared.marks is not None:
-                regular.append(
-                    prepared.marks.select(
-                        F.lit(run).alias("run"), "at_us", F.lit(0).cast("bigint").alias("seen"),
-                        F.lit(False).alias("observed"), F.col("cutoff_us").alias("cutoff"),
-                    )
-                )
-        rows = self.versions.select(F.explode(F.array(*points)).alias("p")).select("p.*")
+        none = F.lit(None).cast("bigint")
+        points = F.array(
+            point(seen_at, 1, None, step.isNull(), F.when(own_cutoff, arrival)),
+            point(F.col("visible"), 0, 1, F.lit(False), none),
+            point(F.col("superseded"), 0, -1, F.lit(False), none),
+        )
+        rows = rows.select("slot", F.explode(points).alias("_q")).select("slot", "_q.*")
         rows = rows.filter(F.col("at_us").isNotNull())
-        for extra in regular:
-            rows = rows.unionByName(extra, allowMissingColumns=True)
+        if any(g is not None for g in grids):
+            regular = self._regular_points().select("slot", "at_us", F.lit(True).alias("observed"), F.col("at_us").alias("cutoff"))
+            rows = rows.unionByName(regular, allowMissingColumns=True)
+        if self._marks is not None:
+            rows = rows.unionByName(self._marks, allowMissingColumns=True)
         found = running(
             rows,
             F.col("at_us"),
@@ -262,12 +311,12 @@ class Replay:
                 **{f"value_{m}": ("sum", F.col(f"value_{m}")) for m in range(len(amounts))},
                 "cutoff": ("max", F.col("cutoff")),
             },
-            by=["run"],
+            by=["slot"],
             at={"observed": F.max("observed")},
             widths=TIME_WIDTHS,
-            bound=None if None in bounds else max(bounds, default=0),
+            bound=None if None in grids else max((g.size for g in grids), default=0),
         )
-        return found.filter("observed")
+        return found.filter("observed").withColumn("event_count", F.coalesce("event_count", F.lit(0)))
 
     def timeline(self) -> DataFrame:
         """One row per run, measure and observation point: the served value and how far it reaches."""
@@ -281,7 +330,7 @@ class Replay:
                 for m, name in enumerate(self.measures)
             ]
         )
-        rows = self.timeline_points().select(
+        rows = self.per_run(self.timeline_points()).select(
             *self.labels(),
             to_timestamp("position").alias("arrival_time"),
             F.col("event_count"),
@@ -303,25 +352,24 @@ class Replay:
 
     def row_loads(self) -> DataFrame:
         """(policy, event_id, load_count) of every row that a policy writes at all."""
-        loads = F.array(
-            *[
-                F.struct(F.lit(run).alias("run"), self._load(self._slot(run)).alias("load_count"))
-                for run in range(len(self.runs))
-            ]
-        )
-        rows = self.versions.select("event_id", F.explode(loads).alias("_l")).select("event_id", "_l.*")
-        return rows.filter(F.col("load_count") > 0).select(*self.labels(), "event_id", "load_count")
+        rows = self.per_policy("event_id", loads=True).filter(F.col("load_count") > 0)
+        return self.per_run(rows).select(*self.labels(), "event_id", "load_count")
 
     def rows_loaded(self) -> DataFrame:
         """Rows written per run, repeated writes counted each time."""
-        labels = ["scenario", "policy"] if len(self.labels()) == 2 else ["policy"]
-        return self.row_loads().groupBy(*labels).agg(F.sum("load_count").alias("rows_loaded_count"))
+        rows = self.per_policy(loads=True).groupBy("slot").agg(
+            F.coalesce(F.sum("load_count"), F.lit(0)).alias("rows_loaded_count")
+        )
+        return self.per_run(rows).select(*self.labels(), "rows_loaded_count")
 
     # -- state -----------------------------------------------------------------------------------------------
 
     def served(self, run: int = 0, at: datetime | str | None = None) -> DataFrame:
         """Log rows that make up the state of a run at a time (default: the last arrival)."""
-        served = self.versions.filter(self._served_at(self._slot(run), self._at(at))).select("event_id")
+        i, at_us = self._slot(run), self._at(at)
+        superseded = F.col(f"superseded_{i}")
+        there = self._counts(i) & (F.col(f"visible_{i}") <= at_us) & (superseded.isNull() | (superseded > at_us))
+        served = self.versions.filter(there).select("event_id")
         return self.log.join(served, "event_id", "left_semi")
 
     def _at(self, at: datetime | str | None) -> int:

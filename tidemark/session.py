@@ -41,7 +41,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame once to reliable storage and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a frame once as a table in the shared folder and read it back.
+
+    This cuts the lineage like a checkpoint, survives lost executors, and gives later plans pruned columns and sizes.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
