@@ -6,7 +6,6 @@ timestamp, so the session time zone (and its daylight-saving gaps) cannot change
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -93,7 +92,3 @@ class Grid:
         index = self.index_at_or_after(micros)
         return F.when(index <= self.last_index, self.point(index))
 
-
-def rounds_for(length: int) -> int:
-    """Doublings needed to cover a chain of the given length."""
-    return max(1, math.ceil(math.log2(max(2, length))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.clock import rounds_for, to_micros
+from ..functions.clock import to_micros
 from ..functions.ladder import running
 from ..session import materialize
 
@@ -13,7 +13,7 @@ def commit_chain(log: DataFrame, every: int, first: int | None, last: int | None
     """(commit_us): commit times over the arrivals of a log, from the first arrival ``first`` to ``last``.
 
     The chain is the only rule where a step depends on the one before.  It is solved by doubling: a hop table gives
-    the next commit for *any* arrival, hops of length 1, 2, 4, ... are composed, and the chain from the first
+    the next commit for *any* arrival, hops of length 1, 4, 16, ... are composed, and the chain from the first
     arrival is filled in from the longest hops to the shortest.  Only arrivals that some hop lands on stay in the
     longer tables, so they shrink from round to round.
     """
@@ -28,14 +28,17 @@ def commit_chain(log: DataFrame, every: int, first: int | None, last: int | None
     if longest == 0:
         return start
 
-    hops = [materialize(_single_hops(arrivals, every))]
-    for _ in range(rounds_for(longest + 1) - 1):
-        hops.append(materialize(_composed(hops[-1], first)))
+    hops = [materialize(_single_hops(arrivals, every), "hops")]
+    while 4 ** len(hops) <= longest:
+        hops.append(materialize(_composed(_composed(hops[-1], first), first), "hops"))
     reached = start
-    for table in reversed(hops):
-        reached = reached.join(table, reached["commit_us"] == table["a"], "left").select(
-            F.explode(F.array("commit_us", "b")).alias("commit_us")
-        ).filter(F.col("commit_us").isNotNull())
+    for table in reversed(hops):  # each table adds up to three hops of its length
+        for i in range(3):
+            step = table.select(F.col("a").alias(f"_a{i}"), F.col("b").alias(f"_b{i}"))
+            source = "commit_us" if i == 0 else f"_b{i - 1}"
+            reached = reached.join(step, F.col(source) == F.col(f"_a{i}"), "left")
+        reached = reached.select(F.explode(F.array("commit_us", "_b0", "_b1", "_b2")).alias("commit_us"))
+        reached = reached.filter(F.col("commit_us").isNotNull())
     return reached
 
 

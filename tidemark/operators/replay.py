@@ -181,9 +181,9 @@ class Replay:
 
     def materialized(self) -> Replay:
         """Write the versions to reliable storage, for several reads of them."""
-        self.__dict__["versions"] = materialize(self.versions)
+        self.__dict__["versions"] = materialize(self.versions, "versions")
         if self._marks is not None:
-            self.__dict__["_marks"] = materialize(self._marks)
+            self.__dict__["_marks"] = materialize(self._marks, "marks")
         return self
 
     @staticmethod
