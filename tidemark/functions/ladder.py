@@ -65,16 +65,21 @@ def running(
             carry.withColumn("_order", F.lit(0)), allowMissingColumns=True
         )
 
+    # Plain columns before window inputs, as the analyzer orders them below a window: both uses of the points then
+    # have the same plan and share one shuffle.
     points = df.groupBy(*by, position.alias("position")).agg(
-        *[_COMBINE[kind](col).alias(n) for n, (kind, col) in values.items()],
         *[col.alias(n) for n, col in at.items()],
+        *[_COMBINE[kind](col).alias(n) for n, (kind, col) in values.items()],
     )
 
     if bound is not None and bound <= SMALL_GROUP:
         return scan(points.withColumn("_order", F.lit(1)), by, exclusive=strict).select(*by, "position", *at, *names)
 
+    # The totals need no ``at`` columns.  This filter, true for every row, refers to them nonetheless: without it
+    # they would be pruned, and the points would be computed and shuffled once more for the totals alone.
+    shared = points.filter(F.hash(*at) >= F.lit(-(2**31))) if at else points
     # Totals from fine to coarse; each level is derived from the one below it.
-    levels = [totals(points, by, slots[-1], widths[-1], "position")]
+    levels = [totals(shared, by, slots[-1], widths[-1], "position")]
     for i in range(len(widths) - 2, -1, -1):
         levels.insert(0, totals(levels[0], by, slots[i], widths[i] // widths[i + 1], slots[i + 1]))
 

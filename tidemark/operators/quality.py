@@ -169,9 +169,13 @@ def freshness_lags(aligned: DataFrame, first: datetime | str | None = None, by:
 def freshness(
     timeline: DataFrame, grid: DataFrame, by: str = "policy", groups: Sequence[str | int] | None = None
 ) -> DataFrame:
-    """Freshness of each group of a normalised timeline over the observation points of a log."""
-    lags = freshness_lags(align_visibility(grid, timeline, by, groups), by=by)
-    return freshness_of(lag_counts(lags, by), by)
+    """Freshness of each group of a normalised timeline over the observation points of a log.
+
+    The timeline should be a stored table: the as-of step reads it several times.
+    """
+    first = grid.agg(F.min("arrival_time")).first()[0]
+    lags = freshness_lags(align_visibility(grid, timeline, by, groups), first, by)
+    return freshness_of(materialize(lag_counts(lags, by), "lags"), by)
 
 
 def lag_counts(lags: DataFrame, by: str = "policy") -> DataFrame:
@@ -225,7 +229,8 @@ def restatement(timeline: DataFrame, by: str = "policy") -> DataFrame:
     counted = steps.groupBy(by).agg(
         F.count_if(same).alias("stability_same_horizon_transitions"),
         F.count_if(restated).alias("stability_revision_count"),
-        F.coalesce(F.sum(F.when(restated, change)), F.lit(0.0)).alias("stability_total_abs_change"),
+        # Summed as decimals, so that the total does not depend on the order of the rows.
+        as_total(F.sum(F.when(restated, change.cast("decimal(28,6)")))).alias("stability_total_abs_change"),
         F.coalesce(F.max(F.when(restated, change)), F.lit(0.0)).alias("stability_max_abs_change"),
     )
     transitions = F.col("stability_same_horizon_transitions")

@@ -74,7 +74,8 @@ def unmet_gap() -> Column:
     gap = F.lit(0.0)
     for target, observed, _, upward in _CHECKS:
         miss = F.col(observed) - F.col(target) if upward else F.col(target) - F.col(observed)
-        miss = F.coalesce(F.greatest(F.lit(0.0), miss), F.lit(_INFINITE))
+        unknown = F.col(observed).isNull() | F.isnan(observed)
+        miss = F.when(unknown, F.lit(_INFINITE)).otherwise(F.greatest(F.lit(0.0), miss))
         gap = gap + F.when(F.col(target).isNull(), F.lit(0.0)).otherwise(miss)
     return gap
 

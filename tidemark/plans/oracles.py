@@ -340,6 +340,9 @@ def outcome_ctes(full_refresh: Sequence[float], others: bool) -> list[str]:
     ]
 
 
+TRUE_TEXT = "'true'"
+
+
 def _when(target: str, value: str) -> str:
     return f"CASE WHEN {target} IS NOT NULL THEN {value} END"
 
@@ -349,10 +352,10 @@ def _window(n: str, name: str, hours: int, delay: int) -> str:
     return f"""
       {t} AS {name}_accuracy_target_ratio, {n}_delay AS {name}_accuracy_delay_hours,
       {_when(t, ts(f'{end} - {hours} * {HOUR}'))} AS {name}_start, {_when(t, ts(end))} AS {name}_end,
-      {_when(t, f'{n}_rows')} AS {name}_truth_rows, {_when(t, f'{n}_truth')} AS {name}_truth_value,
+      {_when(t, f'CAST({n}_rows AS DOUBLE)')} AS {name}_truth_rows, {_when(t, f'{n}_truth')} AS {name}_truth_value,
       {_when(t, f'{n}_served')} AS {name}_served_value, {_when(t, f'ROUND({n}_served - {n}_truth, 6)')} AS {name}_delta,
       {_when(t, f'ROUND({n}_ratio, 6)')} AS {name}_accuracy_ratio,
-      {n}_ratio + 1e-6 >= {t} AS {name}_accuracy_pass"""
+      CAST({n}_ratio + 1e-6 >= {t} AS VARCHAR) AS {name}_accuracy_pass"""
 
 
 EVALUATE = with_log(
@@ -362,18 +365,18 @@ EVALUATE = with_log(
              ELSE '{{"every":12.0,"lag":5.0}}' END AS policy_params,
       loaded AS rows_loaded_count, CAST(f_target AS DOUBLE) AS freshness_target_minutes,
       ROUND(longest, 6) AS freshness_max_minutes, ROUND(p95, 6) AS freshness_p95_minutes,
-      CAST(0 AS BIGINT) AS freshness_unserved_points, f_pass AS freshness_pass,
+      CAST(0 AS BIGINT) AS freshness_unserved_points, CAST(f_pass AS VARCHAR) AS freshness_pass,
       CAST(l_target AS DOUBLE) AS live_accuracy_target_ratio, {_when('l_target', 'l_truth')} AS live_accuracy_truth_value,
       {_when('l_target', 'l_served')} AS live_accuracy_served_value,
       {_when('l_target', 'ROUND(l_served - l_truth, 6)')} AS live_accuracy_delta,
       {_when('l_target', 'ROUND(l_ratio, 6)')} AS live_accuracy_ratio,
-      l_ratio + 1e-6 >= l_target AS live_accuracy_pass,
+      CAST(l_ratio + 1e-6 >= l_target AS VARCHAR) AS live_accuracy_pass,
       {_window('d', 'daily_window', 24, 8)}, {_window('w', 'weekly_window', 168, 0)},
       CAST(s_target AS DOUBLE) AS stability_target_revision_ratio,
-      {_when('s_target', 'COALESCE(transitions, 0)')} AS stability_same_horizon_transitions,
-      {_when('s_target', 'CAST(0 AS BIGINT)')} AS stability_revision_count,
-      {_when('s_target', '0.0')} AS stability_revision_ratio, {_when('s_target', 'TRUE')} AS stability_pass,
-      {_when('s_target', 'TRUE')} AS stability_evaluable, {_when('s_target', '0.0')} AS stability_total_abs_change,
+      {_when('s_target', 'CAST(COALESCE(transitions, 0) AS DOUBLE)')} AS stability_same_horizon_transitions,
+      {_when('s_target', '0.0')} AS stability_revision_count,
+      {_when('s_target', '0.0')} AS stability_revision_ratio, {_when('s_target', TRUE_TEXT)} AS stability_pass,
+      {_when('s_target', TRUE_TEXT)} AS stability_evaluable, {_when('s_target', '0.0')} AS stability_total_abs_change,
       {_when('s_target', '0.0')} AS stability_max_abs_change, {AT} AS observation_time
     FROM out""",
     *outcome_ctes((6,), True),
@@ -450,7 +453,8 @@ WITH {HISTORY}, {NORMALISED}, steps AS (
 )
 SELECT policy, COUNT(*) FILTER (same) AS stability_same_horizon_transitions,
   COUNT(*) FILTER (same AND change > 1e-6) AS stability_revision_count,
-  ROUND(COALESCE(SUM(change) FILTER (same AND change > 1e-6), 0), 6) AS stability_total_abs_change,
+  ROUND(CAST(COALESCE(SUM(CAST(change AS DECIMAL(28,6))) FILTER (same AND change > 1e-6), 0) AS DOUBLE), 6)
+    AS stability_total_abs_change,
   ROUND(COALESCE(MAX(change) FILTER (same AND change > 1e-6), 0), 6) AS stability_max_abs_change,
   ROUND(CASE WHEN COUNT(*) FILTER (same) > 0
     THEN COUNT(*) FILTER (same AND change > 1e-6) / COUNT(*) FILTER (same) ELSE 0 END, 6) AS stability_revision_ratio
@@ -563,7 +567,7 @@ ORACLES: dict[str, str] = {
         FIRST_SEEN_HOUR,
     ),
     "asof_forward": with_log(
-        "SELECT event_id, arrival_time, log.country, newest FROM log ASOF LEFT JOIN hourly "
+        "SELECT event_id, arrival_time, log.country, COALESCE(newest, -1) AS newest FROM log ASOF LEFT JOIN hourly "
         "ON log.country = hourly.country AND log.arrival_time <= hourly.hour",
         FIRST_SEEN_HOUR,
     ),

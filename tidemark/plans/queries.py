@@ -10,7 +10,7 @@ from ..functions import measures as M
 from ..functions.clock import hours, to_micros, to_timestamp
 from ..operators import asof, maintain, policies as P, quality as Q, reports, sequence, views
 from ..operators.replay import Replay, Run
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import changelog as C, sinks
 from ..streaming import jobs, landing
 
@@ -74,7 +74,7 @@ def csv_export(spark, d):
     """The log as CSV with a header, read back."""
     path = scratch_path(spark, "csv")
     sinks.save_csv(C.changelog(spark, d), path)
-    return spark.read.schema(C.LOG_SCHEMA).option("header", True).csv(path)
+    return sinks.read_csv(spark, path, C.LOG_SCHEMA)
 
 
 @query
@@ -229,7 +229,8 @@ def asof_backward(spark, d):
 @query
 def asof_forward(spark, d):
     log = C.changelog(spark, d, ["event_id", "arrival_time", "country"])
-    return asof.asof_join(log, _hourly(spark, d), "arrival_time", ["newest"], by=["country"], direction="forward")
+    joined = asof.asof_join(log, _hourly(spark, d), "arrival_time", ["newest"], by=["country"], direction="forward")
+    return joined.withColumn("newest", F.coalesce("newest", F.lit(-1)))
 
 
 # -- policies ------------------------------------------------------------------------------------------------
@@ -391,7 +392,8 @@ def freshness(spark, d):
     log = C.changelog(spark, d)
     replay = Replay(log, [P.FullRefresh(76), P.LaggedReconcile(12, 5), P.HotWindow(24, 36, 120)])
     names = [r.policy.name for r in replay.runs]
-    return rounded(Q.freshness(replay.timeline(), views.observation_grid(log), groups=names))
+    timeline = materialize(replay.timeline(), "timeline")
+    return rounded(Q.freshness(timeline, views.observation_grid(log), groups=names))
 
 
 @query
@@ -417,7 +419,13 @@ def _outcomes(spark, d, chosen):
 
 @query
 def evaluate(spark, d):
-    return rounded(_outcomes(spark, d, QUALITY_POLICIES)[0])
+    """All outcome fields; flags and counts that may be missing are given as text and doubles."""
+    outcomes = rounded(_outcomes(spark, d, QUALITY_POLICIES)[0])
+    optional = {"boolean": "string", "bigint": "double"}
+    kept = ("rows_loaded_count", "freshness_unserved_points")
+    return outcomes.select(
+        *[F.col(n).cast(optional[t]).alias(n) if t in optional and n not in kept else n for n, t in outcomes.dtypes]
+    )
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def save_log(log: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -17,10 +17,18 @@ def save_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+# Spark's default CSV format stops at milliseconds.
+CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
+
 def save_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
-    """CSV with a header; ``order`` sorts across the files by range, without a single writer."""
+    """CSV with a header and full microseconds; ``order`` sorts by range across files, without a single writer."""
     rows = df.orderBy(*order) if order else df
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
 
 
 def params_to_json(params: Column | str) -> Column:
