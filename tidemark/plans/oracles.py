@@ -125,6 +125,20 @@ def arrivals_timeline(cut: str, *ctes: str, recursive: bool = False) -> str:
     return with_log(timeline(body), *ctes, f"cut AS ({cut})", CUTOFF_VALUES, COUNTS, recursive=recursive)
 
 
+MOVES = """moves AS (
+  SELECT a, (CASE WHEN is_deleted THEN 0 ELSE m END) - COALESCE(LAG(CASE WHEN is_deleted THEN 0 ELSE m END)
+    OVER (PARTITION BY sale_id ORDER BY a, event_id), 0) AS d FROM accepted
+), totals AS (SELECT a, SUM(SUM(d)) OVER (ORDER BY a) AS total FROM moves GROUP BY a)"""
+
+
+def sampled_timeline(policy: str, every: float) -> str:
+    """The running total of replacements read at each grid point, for cadences too short to rank every snapshot."""
+    body = f"""
+      SELECT g.p, t, c, n, CAST(total AS DOUBLE) AS value FROM ({grid_points(policy, every)}) AS g
+      ASOF JOIN totals ON g.t >= totals.a ASOF JOIN counts ON g.t >= counts.a"""
+    return with_log(timeline(body), "accepted AS (SELECT * FROM v)", MOVES, COUNTS)
+
+
 def differences_timeline(policy: str, accepted: str) -> str:
     """Every accepted change replaces the previous one of its key; the totals of the replacements add up."""
     body = f"""
@@ -134,11 +148,7 @@ def differences_timeline(policy: str, accepted: str) -> str:
     return with_log(
         timeline(body),
         f"accepted AS ({accepted})",
-        """moves AS (
-          SELECT a, (CASE WHEN is_deleted THEN 0 ELSE m END) - COALESCE(LAG(CASE WHEN is_deleted THEN 0 ELSE m END)
-            OVER (PARTITION BY sale_id ORDER BY a, event_id), 0) AS d FROM accepted
-        )""",
-        "totals AS (SELECT a, SUM(SUM(d)) OVER (ORDER BY a) AS total FROM moves GROUP BY a)",
+        MOVES,
         COUNTS,
     )
 
@@ -574,6 +584,7 @@ ORACLES: dict[str, str] = {
     "timeline_immediate": _IMMEDIATE,
     "timeline_immediate_hot_keys": _IMMEDIATE,
     "timeline_full_refresh": snapshots_timeline(grid_points("full_refresh", 6)),
+    "timeline_full_refresh_10min": sampled_timeline("full_refresh", 0.166667),
     "timeline_periodic_snapshot": snapshots_timeline(grid_points("periodic_snapshot", 76)),
     "timeline_hot_window": hot_timeline(24, 36, 120),
     "timeline_hot_window_hot_keys": hot_timeline(24, 36, 120),

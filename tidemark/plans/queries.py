@@ -247,6 +247,7 @@ def _loads(*chosen: P.Policy) -> Query:
 TIMELINES: dict[str, P.Policy] = {
     "timeline_immediate": P.Immediate(),
     "timeline_full_refresh": P.FullRefresh(6),
+    "timeline_full_refresh_10min": P.FullRefresh(0.166667),
     "timeline_periodic_snapshot": P.PeriodicSnapshot(76),
     "timeline_hot_window": P.HotWindow(hot=24, every=36, full_every=120),
     "timeline_hot_window_fast": P.HotWindow(hot=96, every=24, full_every=240),
