@@ -12,11 +12,22 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .clock import DAY, SECOND, floor_div
+from .clock import DAY, HOUR, SECOND, floor_div
 
 TIME_WIDTHS = (DAY, SECOND)
 INDEX_WIDTHS = (1 << 40, 1 << 20)
 SMALL_GROUP = 100_000
+TASK_ROWS = 1_000_000  # what one window may hold: as many positions as a second has microseconds
+
+
+def time_widths(rows: int | None) -> tuple[int, int]:
+    """Slot widths for microsecond positions, given an upper bound of the positions of a group if there is one.
+
+    Second slots can never hold more than TASK_ROWS positions.  When the whole group cannot either, hour slots do,
+    with far fewer of them.
+    """
+    return (DAY, HOUR) if rows is not None and rows <= TASK_ROWS else TIME_WIDTHS
+
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 

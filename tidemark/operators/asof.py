@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clock import to_micros, to_timestamp
-from ..functions.ladder import running
+from ..functions.ladder import running, time_widths
 
 
 def lookup_as_of(
@@ -17,11 +17,13 @@ def lookup_as_of(
     values: Sequence[str],
     by: Sequence[str] = (),
     direction: str = "backward",
+    rows: int | None = None,
 ) -> DataFrame:
     """(by, on, values) for each distinct point: the right row at or before it ("forward": at or after it).
 
     A point without such a row gets nulls.  Of right rows with one time, the greatest values win.  Both sides enter
-    one running "last" along the time axis; there is no range join.
+    one running "last" along the time axis; there is no range join.  ``rows`` is an upper bound of the rows of both sides
+    per group, if known.
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction must be backward or forward")
@@ -29,18 +31,19 @@ def lookup_as_of(
     sign = -1 if forward else 1
     nearest = F.struct((F.col("_at") * sign).alias("_at"), *values)
     marked = right.filter(F.col(on).isNotNull()).select(*by, to_micros(on).alias("_at"), *values)
-    rows = marked.select(*by, "_at", nearest.alias("_row"), F.lit(False).alias("_asked")).unionByName(
+    both = marked.select(*by, "_at", nearest.alias("_row"), F.lit(False).alias("_asked")).unionByName(
         points.filter(F.col(on).isNotNull()).select(*by, to_micros(on).alias("_at"), F.lit(True).alias("_asked")),
         allowMissingColumns=True,
     )
     # The struct starts with the (signed) time, so the running maximum is the nearest row seen so far.
     found = running(
-        rows,
+        both,
         F.col("_at"),
         {"_row": ("max", F.col("_row"))},
         by=by,
         at={"_asked": F.max("_asked")},
         reverse=forward,
+        widths=time_widths(rows),
     )
     return found.filter("_asked").select(
         *by, to_timestamp("position").alias(on), *[F.col("_row")[v].alias(v) for v in values]
@@ -54,9 +57,10 @@ def asof_join(
     values: Sequence[str],
     by: Sequence[str] = (),
     direction: str = "backward",
+    rows: int | None = None,
 ) -> DataFrame:
     """Left rows with the values of the nearest right row; left times may repeat or be null."""
-    found = lookup_as_of(left, right, on, values, by, direction)
+    found = lookup_as_of(left, right, on, values, by, direction, rows)
     condition: Column = F.lit(True)
     for c in [*by, on]:
         condition = condition & left[c].eqNullSafe(found[c])

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.clock import to_micros
-from ..functions.ladder import running
+from ..functions.ladder import running, time_widths
 from ..session import materialize
 
+BROADCAST_COMMITS = 500_000
+
 
-def commit_chain(log: DataFrame, every: int, first: int | None, last: int | None) -> DataFrame:
+def commit_chain(
+    log: DataFrame, every: int, first: int | None, last: int | None, rows: int | None = None
+) -> DataFrame:
     """(commit_us): commit times over the arrivals of a log, from the first arrival ``first`` to ``last``.
 
+    ``rows`` is an upper bound of the log's rows, if known.
+
     The chain is the only rule where a step depends on the one before.  It is solved by doubling: a hop table gives
     the next commit for *any* arrival, hops of length 1, 4, 16, ... are composed, and the chain from the first
     arrival is filled in from the longest hops to the shortest.  Only arrivals that some hop lands on stay in the
@@ -28,27 +36,40 @@ def commit_chain(log: DataFrame, every: int, first: int | None, last: int | None
     if longest == 0:
         return start
 
-    hops = [materialize(_single_hops(arrivals, every), "hops")]
+    hops = [materialize(_single_hops(arrivals, every, rows), "hops")]
     while 4 ** len(hops) <= longest:
         hops.append(materialize(_composed(_composed(hops[-1], first), first), "hops"))
     reached = start
     for table in reversed(hops):  # each table adds up to three hops of its length
-        for i in range(3):
-            step = table.select(F.col("a").alias(f"_a{i}"), F.col("b").alias(f"_b{i}"))
-            source = "commit_us" if i == 0 else f"_b{i - 1}"
-            reached = reached.join(step, F.col(source) == F.col(f"_a{i}"), "left")
-        reached = reached.select(F.explode(F.array("commit_us", "_b0", "_b1", "_b2")).alias("commit_us"))
-        reached = reached.filter(F.col("commit_us").isNotNull())
+        found, landed = [reached], reached
+        for _ in range(3):
+            landed = _landed(table, landed, longest + 1)
+            found.append(landed)
+        reached = materialize(reduce(DataFrame.unionByName, found), "commits")
     return reached
 
 
-def _single_hops(arrivals: DataFrame, every: int) -> DataFrame:
+def _landed(table: DataFrame, commits: DataFrame, bound: int) -> DataFrame:
+    """Where the hops of a table lead from some commits, of which there are at most ``bound``."""
+    if bound <= BROADCAST_COMMITS:
+        commits = F.broadcast(commits)  # the hop table is scanned, not shuffled
+    return table.join(commits, table["a"] == commits["commit_us"]).select(F.col("b").alias("commit_us"))
+
+
+def _single_hops(arrivals: DataFrame, every: int, rows: int | None) -> DataFrame:
     """(a, b): b is the first arrival at or after a + every."""
     at, arrival = F.col("commit_us"), F.col("_arrival")
     marked = arrivals.select(at.alias("_at"), at.alias("_arrival")).unionByName(
         arrivals.select((at + every).alias("_at"), at.alias("_from")), allowMissingColumns=True
     )
-    nearest = running(marked, F.col("_at"), {"b": ("min", arrival)}, at={"a": F.max("_from")}, reverse=True)
+    nearest = running(
+        marked,
+        F.col("_at"),
+        {"b": ("min", arrival)},
+        at={"a": F.max("_from")},
+        reverse=True,
+        widths=time_widths(None if rows is None else 2 * rows),
+    )
     return nearest.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
 
 

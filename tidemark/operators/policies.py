@@ -16,7 +16,7 @@ from ..functions.clock import Grid, ceil_div, floor_div, hours, to_micros
 from ..functions.ladder import INDEX_WIDTHS, running
 from ..sources.changelog import Profile
 from .commits import commit_chain
-from .views import observed_log
+from .views import KEY
 
 MIN_CADENCE_HOURS = 0.001
 BROADCAST_CELLS = 500_000
@@ -75,7 +75,7 @@ class Policy:
         """Regular observation points; None when the policy is observed at every arrival."""
         return None
 
-    def prepare(self, log: DataFrame, profile: Profile) -> Prepared:
+    def prepare(self, log: DataFrame, profile: Profile, key: str = KEY) -> Prepared:
         """What the visibility rule has to look up in the log itself."""
         return Prepared()
 
@@ -252,7 +252,7 @@ class LaggedReconcile(Policy):
             .agg(F.min(arrival).alias("value"))
         )
 
-    def prepare(self, log, profile):
+    def prepare(self, log, profile, key=KEY):
         grid, lag = profile.grid(self._every()), self._lag()
         fired = self._fired(log, profile)
         cells = Cells(
@@ -291,7 +291,7 @@ class WindowGate(Policy):
     def window_index(self, event: Column) -> Column:
         return floor_div(event, hours(self.size))
 
-    def prepare(self, log, profile):
+    def prepare(self, log, profile, key=KEY):
         """Look up the first arrival at which each window is closed.
 
         Window w is closed once some row has event_time - lateness >= its end, that is, lies w + 1 windows or more
@@ -301,11 +301,16 @@ class WindowGate(Policy):
             return Prepared()
         size, lateness = hours(self.size), hours(self.lateness)
         first, last = (profile.first_event - lateness) // size, profile.last_event // size
-        closing = observed_log(log.select("sale_id", "event_id", "event_time", "arrival_time")).filter(
-            F.col("arrival_time").isNotNull() & F.col("event_time").isNotNull()
+        # The observed row of each key and arrival; on plain longs, so that it aggregates by hash.
+        observed = (
+            log.select(key, "event_id", to_micros("event_time").alias("event"), to_micros("arrival_time").alias("arrival"))
+            .filter(F.col("arrival").isNotNull())
+            .groupBy(key, "arrival")
+            .agg(F.max_by("event", "event_id").alias("event"))
+            .filter(F.col("event").isNotNull())
         )
-        reached = self.window_index(to_micros("event_time") - F.lit(lateness))
-        closing = closing.groupBy(reached.alias("cell")).agg(F.min(to_micros("arrival_time")).alias("value"))
+        reached = self.window_index(F.col("event") - F.lit(lateness))
+        closing = observed.groupBy(reached.alias("cell")).agg(F.min("arrival").alias("value"))
         count = last - first + 1
         return Prepared(Cells(_cell_table(closing, first, count), self.window_index(F.col("event_us")), count))
 
@@ -329,12 +334,12 @@ class CommitSnapshot(Policy):
     cadence: ClassVar[str | None] = "every"
 
     def commits(self, log: DataFrame, profile: Profile) -> DataFrame:
-        return commit_chain(log, self._every(), profile.first_arrival, profile.last_arrival)
+        return commit_chain(log, self._every(), profile.first_arrival, profile.last_arrival, profile.rows)
 
     def _every(self) -> int:
         return hours(max(0.0, self.every))
 
-    def prepare(self, log, profile):
+    def prepare(self, log, profile, key=KEY):
         if self._every() == 0:
             return Prepared()
         grid, at = profile.grid(self._every()), F.col("commit_us")

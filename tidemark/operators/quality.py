@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.clock import DAY, HOUR, datetime_of, floor_div, hours, micros_of, ntz, to_micros, to_timestamp
-from ..functions.ladder import running
+from ..functions.ladder import running, time_widths
 from ..functions.measures import as_total
 from ..session import materialize
 from ..sources.sinks import params_to_json
@@ -136,7 +136,11 @@ def normalize_timeline(timeline: DataFrame, by: Sequence[str] = ("policy",)) ->
 
 
 def align_visibility(
-    grid: DataFrame, timeline: DataFrame, by: str = "policy", groups: Sequence[str | int] | None = None
+    grid: DataFrame,
+    timeline: DataFrame,
+    by: str = "policy",
+    groups: Sequence[str | int] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """(by, arrival_time, max_visible_arrival_time): each group's horizon at every observation point.
 
@@ -148,7 +152,7 @@ def align_visibility(
     if not groups:
         return timeline.limit(0).select(by, "arrival_time", "max_visible_arrival_time")
     points = grid.select(F.explode(F.array(*[F.lit(g).cast(label) for g in groups])).alias(by), "arrival_time")
-    return lookup_as_of(points, timeline, "arrival_time", ["max_visible_arrival_time"], by=[by])
+    return lookup_as_of(points, timeline, "arrival_time", ["max_visible_arrival_time"], by=[by], rows=rows)
 
 
 def freshness_lags(aligned: DataFrame, first: datetime | str | None = None, by: str = "policy") -> DataFrame:
@@ -167,22 +171,29 @@ def freshness_lags(aligned: DataFrame, first: datetime | str | None = None, by:
 
 
 def freshness(
-    timeline: DataFrame, grid: DataFrame, by: str = "policy", groups: Sequence[str | int] | None = None
+    timeline: DataFrame,
+    grid: DataFrame,
+    by: str = "policy",
+    groups: Sequence[str | int] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Freshness of each group of a normalised timeline over the observation points of a log.
 
-    The timeline should be a stored table: the as-of step reads it several times.
+    The timeline should be a stored table: the as-of step reads it several times.  ``rows`` is an upper bound of the
+    points of the grid and of one group, if known.
     """
     first = grid.agg(F.min("arrival_time")).first()[0]
-    lags = freshness_lags(align_visibility(grid, timeline, by, groups), first, by)
-    return freshness_of(materialize(lag_counts(lags, by), "lags"), by)
+    lags = freshness_lags(align_visibility(grid, timeline, by, groups, rows), first, by)
+    return freshness_of(materialize(lag_counts(lags, by), "lags"), by, rows=rows)
 
 
 def lag_counts(lags: DataFrame, by: str = "policy") -> DataFrame:
     return lags.groupBy(by, "lag_us").agg(F.count(F.lit(1)).alias("n"), F.count_if("unserved").alias("unserved"))
 
 
-def freshness_of(counts: DataFrame, by: str = "policy", percent: int = 95) -> DataFrame:
+def freshness_of(
+    counts: DataFrame, by: str = "policy", percent: int = 95, rows: int | None = None
+) -> DataFrame:
     """Largest lag, exact interpolated percentile and number of unserved points per group, in minutes.
 
     The percentile is found by rank on the counts per lag value, so no task has to hold all lags of a group.
@@ -190,7 +201,7 @@ def freshness_of(counts: DataFrame, by: str = "policy", percent: int = 95) -> Da
     totals = counts.groupBy(by).agg(
         F.sum("n").alias("points"), F.sum("unserved").alias("unserved"), F.max("lag_us").alias("longest")
     )
-    ranked = running(counts, F.col("lag_us"), {"up_to": ("sum", F.col("n"))}, by=[by])
+    ranked = running(counts, F.col("lag_us"), {"up_to": ("sum", F.col("n"))}, by=[by], widths=time_widths(rows))
     rank = (F.col("points") - 1) * percent
     low = floor_div(rank, 100)
     ranked = ranked.join(totals, by).groupBy(by).agg(
@@ -209,7 +220,7 @@ def freshness_of(counts: DataFrame, by: str = "policy", percent: int = 95) -> Da
     )
 
 
-def restatement(timeline: DataFrame, by: str = "policy") -> DataFrame:
+def restatement(timeline: DataFrame, by: str = "policy", rows: int | None = None) -> DataFrame:
     """Changes of the value while the horizon stood still, per group of a normalised timeline.
 
     A null horizon always counts as moved.
@@ -222,6 +233,7 @@ def restatement(timeline: DataFrame, by: str = "policy") -> DataFrame:
         by=[by],
         at={"_value": F.max("value"), "_horizon": F.max("max_visible_arrival_time")},
         strict=True,
+        widths=time_widths(rows),
     )
     same = F.coalesce(F.col("_horizon") == F.col("_before")["horizon"], F.lit(False))
     change = F.abs(F.col("_value") - F.col("_before")["value"])
@@ -327,30 +339,24 @@ def evaluate(
     at_us = replay._at(at)
     replay.materialized()
 
-    timeline = materialize(
-        replay.timeline_points()
-        .filter(F.col("position") <= at_us)
-        .select(
-            "slot",
-            to_timestamp("position").alias("arrival_time"),
-            as_total(F.col("value_0")).alias("value"),
-            to_timestamp("cutoff").alias("max_visible_arrival_time"),
-        ),
-        "timeline",
+    points = replay.timeline_points().filter(F.col("position") <= at_us)
+    points = materialize(points.select("slot", "position", "cutoff", "value_0"), "timeline")
+    timeline = points.select(
+        "slot",
+        to_timestamp("position").alias("arrival_time"),
+        as_total(F.col("value_0")).alias("value"),
+        to_timestamp("cutoff").alias("max_visible_arrival_time"),
     )
-    grid = replay.versions.filter(F.col("arrival_us") <= at_us).select(
-        to_timestamp("arrival_us").alias("arrival_time")
-    ).distinct()
-    aligned = align_visibility(grid, timeline, by="slot", groups=range(replay.slots))
-    lags = lag_counts(freshness_lags(aligned, datetime_of(replay.profile.first_arrival), by="slot"), by="slot")
+    lags = lag_counts(replay.visibility_lags(points, at_us), by="slot")
 
+    bound = replay.timeline_bound
     daily = [t.daily_bounds(at_us) for t in chosen]
     weekly = [t.weekly_bounds(at_us) for t in chosen]
     windows = list(dict.fromkeys([None, *daily, *weekly]))
     rows = (
         _served_and_true(replay, at_us, windows, loads=True)
-        .join(freshness_of(materialize(lags, "lags"), by="slot"), "slot", "left")
-        .join(restatement(timeline, by="slot"), "slot", "left")
+        .join(freshness_of(materialize(lags, "lags"), by="slot", rows=bound), "slot", "left")
+        .join(restatement(timeline, by="slot", rows=bound), "slot", "left")
     )
     return _outcome_columns(replay.per_run(rows), replay, chosen, at_us, windows, daily, weekly)
 

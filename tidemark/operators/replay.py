@@ -16,7 +16,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clock import ceil_div, hours, micros_of, to_micros, to_timestamp
-from ..functions.ladder import TIME_WIDTHS, running
+from ..functions.ladder import running, time_widths
 from ..functions.measures import ADDITIVE_MEASURES, MEASURE_LABELS, as_total, is_live
 from ..functions.skew import HOT_ROWS, split_hot
 from ..session import materialize
@@ -94,7 +94,7 @@ class Replay:
 
     @cached_property
     def _prepared(self) -> list[Prepared]:
-        return [p.prepare(self.log, self.profile) for p in self._distinct_policies]
+        return [p.prepare(self.log, self.profile, self.key) for p in self._distinct_policies]
 
     @cached_property
     def versions(self) -> DataFrame:
@@ -161,6 +161,7 @@ class Replay:
             at={"event_id": F.max("event_id")},
             strict=True,
             reverse=True,
+            widths=time_widths(self.profile.rows),
         ).withColumnRenamed("position", "arrival_us")
         newer = newer.withColumn("is_observed", F.lit(True))
         rows = rows.join(newer, [self.key, "arrival_us", "event_id"], "left").withColumn(
@@ -196,6 +197,12 @@ class Replay:
         following = F.col("next_arrival_us")
         return F.col("live") & (F.col("arrival_us") <= at) & (following.isNull() | (following > at))
 
+    @property
+    def timeline_bound(self) -> int:
+        """No policy has more observation points or distinct lags than this."""
+        grids = [p.grid(self.profile) for p in self._distinct_policies]
+        return max([self.profile.rows, *[g.size for g in grids if g is not None]])
+
     # -- labels ----------------------------------------------------------------------------------------------
 
     def _by_slot(self, values: Sequence, kind: str) -> Column:
@@ -313,11 +320,35 @@ class Replay:
             },
             by=["slot"],
             at={"observed": F.max("observed")},
-            widths=TIME_WIDTHS,
+            # A row adds up to three positions; grid points and marks come on top.
+            widths=time_widths(4 * self.profile.rows + max((g.size for g in grids if g is not None), default=0)),
             bound=None if None in grids else max((g.size for g in grids), default=0),
         )
         return found.filter("observed").withColumn("event_count", F.coalesce("event_count", F.lit(0)))
 
+    def visibility_lags(self, points: DataFrame, at: int) -> DataFrame:
+        """(slot, lag_us, unserved) at every distinct arrival up to a time, given the stored timeline points.
+
+        A policy seen at each arrival has a point there.  Behind a regular grid the lag is the distance to the grid
+        point before, so no as-of join is needed.
+        """
+        seen = points.select(
+            "slot",
+            F.greatest(F.col("position") - F.coalesce("cutoff", F.lit(self.profile.first_arrival)), F.lit(0)).alias("lag_us"),
+            F.col("cutoff").isNull().alias("unserved"),
+        )
+        grids = [p.grid(self.profile) for p in self._distinct_policies]
+        regular = [i for i, g in enumerate(grids) if g is not None]
+        if not regular:
+            return seen
+        steps = F.expr(f"explode(array({', '.join(f'struct({i} AS slot, {grids[i].step}L AS step)' for i in regular)}))")
+        arrivals = self.versions.filter(F.col("arrival_us") <= at).select("arrival_us").distinct()
+        since = F.col("arrival_us") - F.lit(self.profile.first_arrival)
+        behind = arrivals.select(since.alias("_since"), steps.alias("_g")).select(
+            F.col("_g.slot").alias("slot"), F.pmod(F.col("_since"), F.col("_g.step")).alias("lag_us"), F.lit(False).alias("unserved")
+        )
+        return seen.filter(~F.col("slot").isin(regular)).unionByName(behind)
+
     def timeline(self) -> DataFrame:
         """One row per run, measure and observation point: the served value and how far it reaches."""
         measures = F.array(

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.clock import to_micros, to_timestamp
-from ..functions.ladder import INDEX_WIDTHS, running
+from ..functions.ladder import INDEX_WIDTHS, running, time_widths
 from ..functions.skew import HOT_ROWS, split_hot
 
 
-def running_event_count(log: DataFrame) -> DataFrame:
+def running_event_count(log: DataFrame, rows: int | None = None) -> DataFrame:
     """(arrival_time, event_count): rows that arrived at or before each distinct arrival."""
-    counts = running(log, to_micros("arrival_time"), {"event_count": ("sum", F.lit(1).cast("bigint"))})
+    one = F.lit(1).cast("bigint")
+    counts = running(log, to_micros("arrival_time"), {"event_count": ("sum", one)}, widths=time_widths(rows))
     return counts.select(to_timestamp("position").alias("arrival_time"), "event_count")
 
 
-def row_watermark(log: DataFrame) -> DataFrame:
+def row_watermark(log: DataFrame, rows: int | None = None) -> DataFrame:
     """(arrival_time, max_event_time): newest event time seen up to each arrival, all rows of that arrival included."""
-    marks = running(log, to_micros("arrival_time"), {"max_event_time": ("max", F.col("event_time"))})
+    newest = {"max_event_time": ("max", F.col("event_time"))}
+    marks = running(log, to_micros("arrival_time"), newest, widths=time_widths(rows))
     return marks.select(to_timestamp("position").alias("arrival_time"), "max_event_time")
 
 
@@ -29,7 +31,7 @@ def source_row_number(log: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> Da
     """
     keyed = log.select("event_id", to_micros("arrival_time").alias("arrival_us"))
     one = F.lit(1).cast("bigint")
-    before = running(keyed, F.col("arrival_us"), {"before": ("sum", one)}, strict=True).select(
+    before = running(keyed, F.col("arrival_us"), {"before": ("sum", one)}, strict=True, widths=time_widths(rows)).select(
         F.col("position").alias("arrival_us"), F.coalesce("before", F.lit(0)).alias("before")
     )
     cold, hot = split_hot(keyed, ["arrival_us"], rows, hot_rows)

@@ -394,7 +394,8 @@ def freshness(spark, d):
     replay = Replay(log, [P.FullRefresh(76), P.LaggedReconcile(12, 5), P.HotWindow(24, 36, 120)])
     names = [r.policy.name for r in replay.runs]
     timeline = materialize(replay.timeline(), "timeline")
-    return rounded(Q.freshness(timeline, views.observation_grid(log), groups=names))
+    points = replay.timeline_bound + replay.profile.rows
+    return rounded(Q.freshness(timeline, views.observation_grid(log), groups=names, rows=points))
 
 
 @query

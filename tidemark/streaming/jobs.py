@@ -147,7 +147,7 @@ def start_commits(stream: DataFrame, root: str, checkpoint: str, every: float, k
         if last_commit is not None:
             due = batch.filter(to_micros("arrival_time") >= max(last_commit + step, last_commit + 1))
         bounds = profile(due)
-        commits = commit_chain(due, step, bounds.first_arrival, bounds.last_arrival)
+        commits = commit_chain(due, step, bounds.first_arrival, bounds.last_arrival, bounds.rows)
         _write_batch(commits.select("commit_us", to_timestamp("commit_us").alias("commit_cutoff")), f"{root}/commits", batch_id)
 
     return _start(stream, each, checkpoint)
