@@ -216,8 +216,12 @@ def test_sinks_round_trip(spark):
     sinks.save_log(make_log(spark, [row(100, 1, 1)]), path, mode="append")
     back = read_log(spark, path)
     assert back.count() == 31
-    plan = views.as_of(back, START + 5 * HOUR)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(arrival_time), LessThanOrEqual(arrival_time" in plan
+    part = read_log(spark, path, after=START + 2 * HOUR, until=START + 26 * HOUR)
+    assert ids(part) == ids(views.increment(back, START + 2 * HOUR, START + 26 * HOUR))
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "arrival_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    pushed = plan.split("PushedFilters: [")[1]
+    assert "GreaterThan(arrival_time" in pushed and "LessThanOrEqual(arrival_tim" in pushed
     csv = scratch_path(spark, "csv")
     sinks.save_csv(log, csv, order=["arrival_time", "event_id"])
     assert sorted(sinks.read_csv(spark, csv, LOG_SCHEMA).collect()) == sorted(log.collect())

@@ -515,6 +515,15 @@ ORACLES: dict[str, str] = {
         "AS arrival_time FROM (SELECT *, CAST(date_trunc('hour', arrival_time) AS TIMESTAMP) AS h FROM log)"
     ),
     "stored_log_as_of": with_log(f"{WHOLE_LOG} WHERE arrival_time <= {AT}"),
+    "stored_log_increment": with_log(f"{WHOLE_LOG} WHERE arrival_time > {EARLIER} AND arrival_time <= {AT}"),
+    "saved_results": with_log(
+        """SELECT 'S4' AS scenario, 'full_refresh' AS policy, event_id, source_row_number, COUNT(*) AS load_count,
+          'scenarios' AS run_type
+        FROM state JOIN (SELECT event_id, ROW_NUMBER() OVER (ORDER BY a, event_id) AS source_row_number FROM v)
+          USING (event_id) GROUP BY ALL""",
+        f"cut AS ({grid_points('x', 76)})",
+        CUTOFF_VALUES,
+    ),
     "csv_export": with_log(WHOLE_LOG),
     "registered_relation": with_log(
         "SELECT country, COUNT(*) AS changes, COUNT(*) FILTER (is_deleted) AS deletes FROM log GROUP BY country"

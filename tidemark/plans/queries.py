@@ -63,10 +63,33 @@ def unique_arrivals(spark, d):
 
 @query
 def stored_log_as_of(spark, d):
-    """Write the log by arrival date and read it back with a pushed-down as-of filter."""
+    """Write the log by arrival date and read back the part up to a time."""
     path = scratch_path(spark, "log")
     sinks.save_log(C.changelog(spark, d), path)
-    return views.as_of(C.read_log(spark, path), AT)
+    return C.read_log(spark, path, until=AT)
+
+
+@query
+def stored_log_increment(spark, d):
+    """A log stored in two batches, read back as one increment."""
+    path = scratch_path(spark, "log")
+    log = C.changelog(spark, d)
+    sinks.save_log(views.as_of(log, EARLIER), path)
+    sinks.save_log(log.filter(F.col("arrival_time") > F.lit(EARLIER).cast("timestamp_ntz")), path, mode="append")
+    return C.read_log(spark, path, after=EARLIER, until=AT)
+
+
+@query
+def saved_results(spark, d):
+    """The three result tables of a small study as CSV; the row loads are read back."""
+    log = C.changelog(spark, d)
+    replay = Replay(log, [Run(P.FullRefresh(76), "S4")])
+    loads = reports.row_load_report(replay.row_loads(), sequence.source_row_number(log, replay.profile.rows))
+    outcomes = Q.evaluate(replay, at=AT)
+    root = scratch_path(spark, "results")
+    sinks.save_results(root, replay.timeline(), outcomes, loads)
+    schema = T.StructType([*loads.schema.fields, T.StructField("run_type", T.StringType())])
+    return sinks.read_csv(spark, f"{root}/row_loads", schema)
 
 
 @query

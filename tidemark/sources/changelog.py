@@ -8,7 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.clock import Grid, datetime_of, to_micros, to_timestamp
+from ..functions.clock import Grid, datetime_of, ntz, to_micros, to_timestamp
 from ..functions.ladder import INDEX_WIDTHS, running
 from ..functions.skew import HOT_ROWS, with_group_minimum
 from ..operators.sequence import source_row_number
@@ -44,9 +44,20 @@ def check_log(log: DataFrame) -> DataFrame:
     return log
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Scan a stored log; filters on arrival_time reach the files and their row groups."""
-    return check_log(spark.read.schema(LOG_SCHEMA).parquet(path)).select(*EVENT_COLUMNS)
+def read_log(
+    spark: SparkSession, path: str, after: datetime | str | None = None, until: datetime | str | None = None
+) -> DataFrame:
+    """Scan a stored log, all of it or the arrivals in (after, until].
+
+    The bounds prune folders by arrival date and reach the row groups by arrival time.
+    """
+    stored = T.StructType([*LOG_SCHEMA.fields, T.StructField("arrival_date", T.DateType())])
+    log = spark.read.schema(stored).parquet(path)
+    if after is not None:
+        log = log.filter((F.col("arrival_date") >= ntz(after).cast("date")) & (F.col("arrival_time") > ntz(after)))
+    if until is not None:
+        log = log.filter((F.col("arrival_date") <= ntz(until).cast("date")) & (F.col("arrival_time") <= ntz(until)))
+    return log.select(*EVENT_COLUMNS)
 
 
 def changelog(

@@ -8,9 +8,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 
 def save_log(log: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store a log by arrival date, so that arrival filters prune whole folders; "append" adds a batch."""
+    """Store a log by arrival date and, within a date, by arrival; "append" adds a batch.
+
+    The range split keeps files even when one date holds most rows, and gives every file a narrow span of arrivals.
+    """
+    order = ["arrival_date", "arrival_time", "event_id"]
     dated = log.withColumn("arrival_date", F.col("arrival_time").cast("date"))
-    dated.write.mode(mode).partitionBy("arrival_date").parquet(path)
+    sliced = dated.repartitionByRange(*order).sortWithinPartitions(*order)
+    sliced.write.mode(mode).partitionBy("arrival_date").parquet(path)
+
+
+def save_results(
+    root: str, timelines: DataFrame, outcomes: DataFrame, row_loads: DataFrame, run_type: str = "scenarios"
+) -> None:
+    """The three result tables of a study as sorted CSV, each marked with the kind of run."""
+    for name, table, order in (
+        ("snapshots", timelines, ("scenario", "policy", "metric", "arrival_time")),
+        ("outcomes", outcomes, ("scenario", "policy")),
+        ("row_loads", row_loads, ("scenario", "policy", "source_row_number", "event_id")),
+    ):
+        known = [c for c in order if c in table.columns]
+        save_csv(table.withColumn("run_type", F.lit(run_type)), f"{root}/{name}", order=known)
 
 
 def save_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
