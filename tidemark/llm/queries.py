@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate as D, mixing, shards
+from . import decontaminate as D, mixing, near_duplicates as N, shards
 from .text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,8 @@ def op6_mix(spark, d):
     return mixing.mix(docs, "size").select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+@query
+def op8_near_duplicates(spark, d):
+    return N.near_duplicates(table(spark, d, "documents", ["doc_id", "text"]), shingle=4)
