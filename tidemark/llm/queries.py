@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate as D, mixing, near_duplicates as N, shards
+from . import decontaminate as D, embeddings as E, mixing, near_duplicates as N, shards
 from .text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,8 @@ def op6_mix(spark, d):
 @query
 def op8_near_duplicates(spark, d):
     return N.near_duplicates(table(spark, d, "documents", ["doc_id", "text"]), shingle=4)
+
+
+@query
+def op5_near_vectors(spark, d):
+    return E.near_vectors(table(spark, d, "embeddings", ["vec_id", "embedding", "label"]))
