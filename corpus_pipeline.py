@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, mixing, shards
+from tidemark.llm import decontaminate, mixing, near_duplicates, quality, shards
 from tidemark.llm.text import fresh, table
 from tidemark.session import materialize
 
@@ -14,6 +14,23 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled ones among them."""
+    (score,) = fresh(docs, "_score")
+    model = quality.train(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+    return quality.with_score(docs, model, score).filter(F.col(score) >= quality.THRESHOLD).drop(score)
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id.
+
+    Near-duplicates share 0.8 of their five-word shingles.  Rows that repeat an id stay or go together; rows without
+    an id stay.
+    """
+    dropped = near_duplicates.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words lies in benchmark windows go."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"]))
@@ -37,6 +54,8 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", good),
+    ("MinHash near-dedup", unlike),
     ("benchmark decontamination", decontaminated),
     ("mixing sources", mixed),
     ("sharding", sharded),

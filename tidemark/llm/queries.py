@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate as D, embeddings as E, mixing, near_duplicates as N, shards
+from . import decontaminate as D, embeddings as E, mixing, near_duplicates as N, quality as Q, shards
 from .text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,15 @@ def op8_near_duplicates(spark, d):
 @query
 def op5_near_vectors(spark, d):
     return E.near_vectors(table(spark, d, "embeddings", ["vec_id", "embedding", "label"]))
+
+
+@query
+def op10_quality(spark, d):
+    docs = table(spark, d, "documents", ["doc_id", "text"])
+    model = Q.train(docs, table(spark, d, "labels", ["doc_id", "quality"]))
+    return Q.with_score(docs, model, "score").select(
+        "doc_id",
+        F.coalesce(Q.remainder("doc_id") == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= Q.THRESHOLD).cast("int").alias("predicted"),
+    )
