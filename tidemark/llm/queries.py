@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate as D, embeddings as E, mixing, near_duplicates as N, quality as Q, shards
+from . import decontaminate as D, embeddings as E, language_model as L, mixing, near_duplicates as N, quality as Q, shards
 from .text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,11 @@ def op10_quality(spark, d):
         "score",
         (F.col("score") >= Q.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op9_language_model(spark, d):
+    docs = table(spark, d, "documents", ["doc_id", "text"])
+    return L.scores(docs, ~L.held_out("doc_id")).select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
