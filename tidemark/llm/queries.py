@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate as D, embeddings as E, language_model as L, mixing, near_duplicates as N, quality as Q, shards
+from . import decontaminate as D, embeddings as E, language_model as L, mixing, near_duplicates as N, quality as Q, secrets as S, shards
 from .text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,19 @@ def op9_language_model(spark, d):
     return L.scores(docs, ~L.held_out("doc_id")).select(
         "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query
+def op1_secrets(spark, d):
+    found = S.find_secrets(table(spark, d, "documents", ["doc_id", "text"]), "found")
+    found = found.select("doc_id", "found")
+    base = F.filter("found", lambda x: x["rank"] < 3)
+    count = lambda rank: F.size(F.filter("found", lambda x: x["rank"] == rank)).cast("bigint")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(S.joined(base), 256).alias("base_sha256"),
+        S.joined(F.col("found")).alias("spans"),
+    )
