@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate as D, embeddings as E, language_model as L, mixing, near_duplicates as N, quality as Q, secrets as S, shards
+from ..session import scratch_path
+from . import decontaminate as D, embeddings as E, language_model as L, mixing, near_duplicates as N, quality as Q
+from . import secrets as S, shards, tokens as T
 from .text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +106,10 @@ def op1_secrets(spark, d):
         F.sha2(S.joined(base), 256).alias("base_sha256"),
         S.joined(F.col("found")).alias("spans"),
     )
+
+
+@query
+def op4_token_files(spark, d):
+    path = scratch_path(spark, "tokens")
+    T.write_tokens(table(spark, d, "documents", ["doc_id", "text"]), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return T.read_tokens(spark, path)
