@@ -168,8 +168,9 @@ def near_duplicates(
 
     1. Each text gives its shingle set's size, digest, MinHash bands and an odd sketch of its samples.
     2. Documents with equal sets form a class; its smallest id stands for it.  Copies never meet in pairs.
-    3. In each band bucket every class is paired with the smallest id; sketches sort out the unlike, full sets
-       confirm the rest, and components are formed.
+    3. In each band bucket every class is paired with the smallest id, and with the class that meets the most others
+       in its buckets (the original, where copies were changed each in its own way); sketches sort out the unlike, full
+       sets confirm the rest, and components are formed.
     4. Buckets that still hold several components are compared whole, in blocks, across components only: after this
        no link is missing, and a group of thousands of near copies has cost one comparison a member.
 
@@ -187,9 +188,13 @@ def near_duplicates(
     )
     buckets = chosen.select(F.explode("bands").alias("bucket"), "id")
 
-    lows = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("high")).filter("a < high")
-    shared = materialize(buckets.join(lows.select("bucket", "a"), "bucket"), "buckets")
-    stars = shared.filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    sizes = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialize(buckets.join(sizes, "bucket"), "buckets")
+    weights = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    centres = shared.select("bucket", "id").join(weights, "id").groupBy("bucket")
+    centres = centres.agg(F.max(F.struct("weight", "id"))["id"].alias("centre"))
+    stars = shared.join(centres, "bucket").select("id", F.explode(F.array("low", "centre")).alias("other"))
+    stars = stars.filter("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     stars = materialize(_similar_sketches(stars, chosen, most), "stars")
     links = materialize(_confirmed(stars, docs, key, text, shingle, similarity), "links")
     found = materialize(connected_components(links, "a", "b"), "components")

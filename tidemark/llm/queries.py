@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 from . import decontaminate as D, embeddings as E, language_model as L, mixing, near_duplicates as N, quality as Q
-from . import secrets as S, shards, tokens as T
+from . import secret_scan as S, shards, tokens as T
 from .text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
