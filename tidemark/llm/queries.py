@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontaminate as D, embeddings as E, language_model as L, mixing, near_duplicates as N, quality as Q
+from . import decontaminate as D, embeddings as E, language_model as L, mixing, near_duplicates as N, quality as Q, repeats as R
 from . import secret_scan as S, shards, tokens as T
 from .text import table
 
@@ -113,3 +113,8 @@ def op4_token_files(spark, d):
     path = scratch_path(spark, "tokens")
     T.write_tokens(table(spark, d, "documents", ["doc_id", "text"]), path, public_tokenizers.path("byte_bpe_50k.json"))
     return T.read_tokens(spark, path)
+
+
+@query
+def op7_without_repeats(spark, d):
+    return R.without_repeats(table(spark, d, "documents", ["doc_id", "text"]))
