@@ -11,6 +11,8 @@ from helpers import make_log, random_rows
 import __spark_entry__ as driver
 from tidemark.operators import policies as P
 from tidemark.operators.replay import Replay
+from tidemark.plans.oracles import ORACLES
+from tidemark.plans.queries import REGISTRY
 from tidemark.sources.changelog import changelog, profile
 
 SMALL = "/root/testdata/sf0.001"
@@ -34,11 +36,15 @@ def test_unused_columns_are_not_read(spark):
     assert "min(ts" not in plan  # the event time is not derived when nothing asks for it
 
 
-def test_hot_list_is_the_only_broadcast(spark):
+def test_hot_keys_cost_one_more_scan(spark):
     log = make_log(spark, random_rows(1))
-    versions = Replay(log, [P.Immediate()], profile=profile(log), hot_rows=4).versions
-    plan = versions._jdf.queryExecution().executedPlan().toString()
-    assert "LeftAnti" in plan and "LeftSemi" in plan and "CartesianProduct" not in plan
+    plans = [
+        Replay(log, [P.Immediate()], profile=profile(log), hot_rows=limit).versions._jdf.queryExecution().executedPlan().toString()
+        for limit in (4, 10**6)
+    ]
+    scans = [plan.split("== Initial Plan ==")[0].count("Scan ExistingRDD") for plan in plans]
+    assert scans == [1, 1]  # and one more that wrote the rows of hot keys
+    assert all("CartesianProduct" not in plan for plan in plans)
 
 
 def rows_of(frame):
@@ -59,11 +65,11 @@ def tables():
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(REGISTRY) == set(ORACLES)
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not there")
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_equals_sql(spark, tables, name):
     expected = tables.execute(driver.oracle_sql()[name]).df()
     got = driver.queries()[name](spark, SMALL).toPandas()

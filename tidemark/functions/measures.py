@@ -14,8 +14,19 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 SnapshotMeasure = Callable[[DataFrame], DataFrame]
 
 
-def sales_amount() -> Column:
-    return F.col("amount").cast("decimal(18,4)") * F.col("quantity")
+AMOUNT_DIGITS, AMOUNT_SCALE = 18, 4
+
+
+def exact_decimal(name: str, digits: int = AMOUNT_DIGITS, scale: int = AMOUNT_SCALE) -> Column:
+    """A number as a decimal; raises where the decimal would lose digits of it, or has no room for it."""
+    value, exact = F.col(name), F.col(name).cast(f"decimal({digits},{scale})")
+    lost = F.raise_error(F.concat(F.lit(f"{name} has more than {scale} decimal places: "), value.cast("string")))
+    return F.when(exact.cast("double") == value.cast("double"), exact).when(value.isNotNull(), lost.cast(f"decimal({digits},{scale})"))
+
+
+def sales_amount(digits: int = AMOUNT_DIGITS, scale: int = AMOUNT_SCALE) -> Column:
+    """amount * quantity, exact for amounts of ``scale`` decimal places and ``digits`` digits in all; raises beyond."""
+    return exact_decimal("amount", digits, scale) * F.col("quantity")
 
 
 def is_live() -> Column:

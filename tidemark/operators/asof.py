@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clock import to_micros, to_timestamp
 from ..functions.ladder import running, time_widths
+from ..functions.skew import same_keys
 
 
 def lookup_as_of(
@@ -21,33 +22,34 @@ def lookup_as_of(
 ) -> DataFrame:
     """(by, on, values) for each distinct point: the right row at or before it ("forward": at or after it).
 
-    A point without such a row gets nulls.  Of right rows with one time, the greatest values win.  Both sides enter
-    one running "last" along the time axis; there is no range join.  ``rows`` is an upper bound of the rows of both sides
+    A point without such a row gets nulls.  Of right rows with one time, the greatest values win.  The times of both
+    sides enter one running maximum along the time axis (there is no range join); the values come by an equi-join.  ``rows`` is an upper bound of the rows of both sides
     per group, if known.
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction must be backward or forward")
     forward = direction == "forward"
-    sign = -1 if forward else 1
-    nearest = F.struct((F.col("_at") * sign).alias("_at"), *values)
     marked = right.filter(F.col(on).isNotNull()).select(*by, to_micros(on).alias("_at"), *values)
-    both = marked.select(*by, "_at", nearest.alias("_row"), F.lit(False).alias("_asked")).unionByName(
+    both = marked.select(*by, "_at", F.col("_at").alias("_near"), F.lit(False).alias("_asked")).unionByName(
         points.filter(F.col(on).isNotNull()).select(*by, to_micros(on).alias("_at"), F.lit(True).alias("_asked")),
         allowMissingColumns=True,
     )
-    # The struct starts with the (signed) time, so the running maximum is the nearest row seen so far.
     found = running(
         both,
         F.col("_at"),
-        {"_row": ("max", F.col("_row"))},
+        {"_near": ("min" if forward else "max", F.col("_near"))},
         by=by,
         at={"_asked": F.max("_asked")},
         reverse=forward,
         widths=time_widths(rows),
     )
-    return found.filter("_asked").select(
-        *by, to_timestamp("position").alias(on), *[F.col("_row")[v].alias(v) for v in values]
-    )
+    found = found.filter("_asked")
+    # One plain value aggregates by hash; several need a struct to stay together.
+    most = F.max(values[0]) if len(values) == 1 else F.max(F.struct(*values))
+    best = marked.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_at").alias("_of__near")).agg(most.alias("_row"))
+    joined = found.join(best, same_keys(found, best, [*by, "_near"], "_of_"), "left")
+    picked = [F.col("_row").alias(values[0])] if len(values) == 1 else [F.col("_row")[v].alias(v) for v in values]
+    return joined.select(*by, to_timestamp("position").alias(on), *picked)
 
 
 def asof_join(

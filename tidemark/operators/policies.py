@@ -87,10 +87,13 @@ class Policy:
         raise NotImplementedError
 
 
-def _cell_table(values: DataFrame, first_cell: int, count: int) -> DataFrame:
-    """Dense (cell, here, after) from sparse (cell, value): the least value of a cell and of all later cells."""
-    spark = values.sparkSession
-    cells = spark.range(first_cell, first_cell + count).select(F.col("id").alias("cell"))
+def _cell_table(values: DataFrame, first_cell: int, count: int, cells: DataFrame | None = None) -> DataFrame:
+    """(cell, here, after) from (cell, value): the least value of a cell and of all later cells.
+
+    One row for each of ``count`` cells, or for those in ``cells`` only.
+    """
+    if cells is None:
+        cells = values.sparkSession.range(first_cell, first_cell + count).select(F.col("id").alias("cell"))
     dense = cells.unionByName(values, allowMissingColumns=True)
     return running(
         dense,
@@ -273,7 +276,8 @@ class LaggedReconcile(Policy):
 class WindowGate(Policy):
     """A change counts only while its event-time window is open: window_end > newest event time - lateness.
 
-    The watermark takes in the whole arrival batch, rejected rows too.  A negative lateness accepts everything.
+    The watermark takes in the whole arrival batch, rejected rows too.  A negative lateness accepts everything.  A row
+    without an event time has no window, so it counts only while there is no watermark yet.
     """
 
     size: float = 24.0
@@ -301,18 +305,28 @@ class WindowGate(Policy):
             return Prepared()
         size, lateness = hours(self.size), hours(self.lateness)
         first, last = (profile.first_event - lateness) // size, profile.last_event // size
-        # The observed row of each key and arrival; on plain longs, so that it aggregates by hash.
-        observed = (
+        observed = self.observed_events(log, key)
+        reached = self.window_index(F.col("event") - F.lit(lateness))
+        closing = observed.groupBy(reached.alias("cell")).agg(F.min("arrival").alias("value"))
+        # Only windows that hold rows: a stray event time must not make a cell for every window up to it.  The cell
+        # before all of them, whose "after" is the first watermark, stands for rows without an event time.
+        before, spark = first - 1, log.sparkSession
+        used = observed.select(self.window_index(F.col("event")).alias("cell")).distinct()
+        used = used.unionByName(spark.range(before, first).select(F.col("id").alias("cell")))
+        count = min(last - before + 1, 2 * profile.rows + 1)
+        cell = F.coalesce(self.window_index(F.col("event_us")), F.lit(before))
+        return Prepared(Cells(_cell_table(closing, before, count, used).filter("cell IS NOT NULL"), cell, count))
+
+    @staticmethod
+    def observed_events(log: DataFrame, key: str = KEY) -> DataFrame:
+        """The event time of the observed row of each key and arrival, on plain longs, so that it aggregates by hash."""
+        return (
             log.select(key, "event_id", to_micros("event_time").alias("event"), to_micros("arrival_time").alias("arrival"))
             .filter(F.col("arrival").isNotNull())
             .groupBy(key, "arrival")
             .agg(F.max_by("event", "event_id").alias("event"))
             .filter(F.col("event").isNotNull())
         )
-        reached = self.window_index(F.col("event") - F.lit(lateness))
-        closing = observed.groupBy(reached.alias("cell")).agg(F.min("arrival").alias("value"))
-        count = last - first + 1
-        return Prepared(Cells(_cell_table(closing, first, count), self.window_index(F.col("event_us")), count))
 
     def visible(self, profile, row, here, after):
         if self.lateness < 0 or profile.empty:
@@ -362,10 +376,6 @@ POLICIES: Mapping[str, type[Policy]] = {
 }
 
 
-def make_policy(name: str, params: Mapping[str, float] | None = None) -> Policy:
-    return POLICIES[name](**(params or {}))
-
-
 def window_finality(log: DataFrame, size: float, lateness: float, profile: Profile | None = None) -> DataFrame:
     """Accepted rows with their window bounds and whether the final watermark has closed the window."""
     from .replay import Replay  # the acceptance rule is the gate's visibility

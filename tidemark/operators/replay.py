@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.clock import ceil_div, hours, micros_of, to_micros, to_timestamp
 from ..functions.ladder import running, time_widths
 from ..functions.measures import ADDITIVE_MEASURES, MEASURE_LABELS, as_total, is_live
-from ..functions.skew import HOT_ROWS, split_hot
+from ..functions.skew import HOT_ROWS, hot_groups, same_keys, split_hot
 from ..session import materialize
 from ..sources.changelog import Profile, profile as profile_of
 from .policies import Policy, Prepared, Row, WindowGate
@@ -119,9 +119,12 @@ class Replay:
             visible.append(policy.visible(self.profile, Row(), here, after).cast("bigint").alias(f"visible_{i}"))
         rows = rows.select(*kept, *visible)
 
-        cold, hot = split_hot(rows, [self.key], self.profile.rows, self.hot_rows)
-        versions = self._by_window(cold)
-        return versions if hot is None else versions.unionByName(self._by_ladder(hot))
+        groups = hot_groups(self.log, [self.key], self.profile.rows, self.hot_rows)
+        if groups is None:
+            return self._by_window(rows)
+        cold, hot = split_hot(rows, [self.key], self.profile.rows, self.hot_rows, groups)
+        # The ladder reads its rows several times; written once, the log is evaluated twice in all.
+        return self._by_window(cold).unionByName(self._by_ladder(materialize(hot, "hot-rows")))
 
     def _observed_only(self, rows: DataFrame) -> DataFrame:
         """Policies that read the deduplicated log never see the other rows."""
@@ -150,6 +153,8 @@ class Replay:
         superseded as soon as they are visible.
         """
         n = len(self._distinct_policies)
+        newest = F.max("event_id").over(Window.partitionBy(self.key, "arrival_us"))
+        rows = self._observed_only(rows.withColumn("is_observed", F.col("event_id") == newest))
         newer = running(
             rows,
             F.col("arrival_us"),
@@ -162,11 +167,10 @@ class Replay:
             strict=True,
             reverse=True,
             widths=time_widths(self.profile.rows),
-        ).withColumnRenamed("position", "arrival_us")
-        newer = newer.withColumn("is_observed", F.lit(True))
-        rows = rows.join(newer, [self.key, "arrival_us", "event_id"], "left").withColumn(
-            "is_observed", F.coalesce("is_observed", F.lit(False))
-        )
+        ).drop("event_id")
+        newer = newer.select(F.col(self.key).alias(f"_of_{self.key}"), F.col("position").alias("_of_arrival_us"), *newer.columns[2:])
+        columns = [*rows.columns, *newer.columns[2:]]
+        rows = rows.join(newer, same_keys(rows, newer, [self.key, "arrival_us"], "_of_"), "left").select(*columns)
         rows = rows.withColumn(
             "next_arrival_us", F.when(F.col("is_observed"), F.col("next_arrival_us")).otherwise(F.col("arrival_us"))
         )
@@ -178,7 +182,7 @@ class Replay:
                 for i in range(n)
             }
         )
-        return self._observed_only(rows)
+        return rows
 
     def materialized(self) -> Replay:
         """Write the versions to reliable storage, for several reads of them."""
@@ -416,7 +420,6 @@ class Replay:
         i = self._slot(run)
         start = gate.window_index(F.col("event_us")) * hours(gate.size)
         end = start + F.lit(hours(gate.size))
-        newest = self.versions.filter("is_observed").agg((F.max("event_us") - hours(gate.lateness)).alias("_watermark"))
         rows = self.versions.filter(F.col(f"visible_{i}").isNotNull()).select(
             "event_id",
             self.key,
@@ -428,12 +431,6 @@ class Replay:
         )
         if gate.lateness < 0:
             return rows.withColumn("is_final", F.lit(False)).drop("_end")
-        return (
-            rows.crossJoin(F.broadcast(newest))  # one row
-            .withColumn("is_final", F.col("_end") <= F.col("_watermark"))
-            .drop("_end", "_watermark")
-        )
-
-
-def value_timeline(log: DataFrame, policy: Policy, **options) -> DataFrame:
-    return Replay(log, [policy], **options).timeline()
+        newest = gate.observed_events(self.log, self.key).agg(F.max("event")).first()[0]  # one number
+        watermark = F.lit(None if newest is None else newest - hours(gate.lateness)).cast("bigint")
+        return rows.withColumn("is_final", F.col("_end") <= watermark).drop("_end")

@@ -26,10 +26,10 @@ def row_watermark(log: DataFrame, rows: int | None = None) -> DataFrame:
 def source_row_number(log: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(event_id, arrival_us, source_row_number) by (arrival_time, event_id), counted from 1.
 
-    The rows before an arrival are a running count; within one arrival the rows are numbered by event_id.  Arrivals
+    Rows without an arrival get no number.  The rows before an arrival are a running count; within one arrival the rows are numbered by event_id.  Arrivals
     shared by more rows than a task should hold are numbered by a second running count along event_id.
     """
-    keyed = log.select("event_id", to_micros("arrival_time").alias("arrival_us"))
+    keyed = log.filter(F.col("arrival_time").isNotNull()).select("event_id", to_micros("arrival_time").alias("arrival_us"))
     one = F.lit(1).cast("bigint")
     before = running(keyed, F.col("arrival_us"), {"before": ("sum", one)}, strict=True, widths=time_widths(rows)).select(
         F.col("position").alias("arrival_us"), F.coalesce("before", F.lit(0)).alias("before")

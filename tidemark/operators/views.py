@@ -109,6 +109,5 @@ def weekly_window(at: datetime | str, delay_hours: float = 0.0) -> tuple[datetim
 
 def committed_snapshot(log: DataFrame, commits: DataFrame, key: str = KEY) -> DataFrame:
     """State as of the newest commit of a commits table; empty before the first one."""
-    cutoff = commits.agg(F.max("commit_cutoff").alias("_cutoff"))  # exactly one row
-    committed = log.join(F.broadcast(cutoff), F.col("arrival_time") <= F.col("_cutoff")).drop("_cutoff")
-    return snapshot_as_of(committed, key=key)
+    cutoff = commits.agg(F.max("commit_cutoff")).scalar()  # a filter value at run time, so it reaches the scan
+    return snapshot_as_of(log.filter(F.col("arrival_time") <= cutoff), key=key)

@@ -528,7 +528,8 @@ ORACLES: dict[str, str] = {
     "registered_relation": with_log(
         "SELECT country, COUNT(*) AS changes, COUNT(*) FILTER (is_deleted) AS deletes FROM log GROUP BY country"
     ),
-    "parameter_json": """SELECT o_orderkey, '{"customer"' AS json_head, o_totalprice AS total,
+    "parameter_json": """SELECT o_orderkey, '{"customer":' || CAST(CAST(o_custkey AS DOUBLE) AS VARCHAR) || ',"total":'
+          || CAST(CAST(o_totalprice AS DOUBLE) AS VARCHAR) || '}' AS json, o_totalprice AS total,
         CAST(o_custkey AS DOUBLE) AS customer FROM orders""",
     "snapshot_as_of": with_log(f"SELECT {EVENT_COLUMNS} FROM ({snapshot('log', f'arrival_time <= {AT}')})"),
     "latest_rows": with_log(f"SELECT {EVENT_COLUMNS} FROM ({latest('log')})"),
@@ -702,7 +703,7 @@ ORACLES: dict[str, str] = {
         f"SELECT {EVENT_COLUMNS} FROM ({snapshot('log')}) WHERE sale_id NOT IN "
         f"(SELECT sale_id FROM log WHERE arrival_time > {EARLIER} AND arrival_time <= {AT})"
     ),
-    "append_log": with_log(f"{WHOLE_LOG} WHERE arrival_time <= {AT}"),
+    "append_log": with_log(WHOLE_LOG),
     "mark_final": with_log(
         f"""SELECT event_id, sale_id, event_time, arrival_time, {ts('window_start')} AS window_start,
           {ts('window_end')} AS window_end, window_end <= {AT_US} AS is_final FROM ({gate(24, -1)})"""

@@ -148,7 +148,7 @@ def arrival_bounds(log: DataFrame) -> DataFrame:
 def unique_arrivals(log: DataFrame, rows: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Make arrivals strictly increasing in (arrival_time, event_id) order, moving ties on by a microsecond each.
 
-    The i-th arrival becomes max(t_j - j for j <= i) + i, so the step-by-step bump is one running maximum.
+    Rows without an arrival keep none.  The i-th arrival becomes max(t_j - j for j <= i) + i, so the step-by-step bump is one running maximum.
     """
     rows = log.count() if rows is None else rows
     numbered = source_row_number(log, rows, hot_rows).select("event_id", "arrival_us", "source_row_number")
@@ -160,7 +160,7 @@ def unique_arrivals(log: DataFrame, rows: int | None = None, hot_rows: int = HOT
         at={"event_id": F.max("event_id")},
         widths=INDEX_WIDTHS,
     ).select("event_id", to_timestamp(F.col("lead") + F.col("position")).alias("arrival_time"))
-    return log.drop("arrival_time").join(bumped, "event_id").select(*log.columns)
+    return log.drop("arrival_time").join(bumped, "event_id", "left").select(*log.columns)
 
 
 def register(log: DataFrame, name: str) -> DataFrame:
