@@ -23,15 +23,20 @@ def make_log(spark, rows):
     return spark.createDataFrame(rows, LOG_SCHEMA)
 
 
-def random_rows(seed, n=60, keys=8, hot=False, span=40):
-    """Random changes with arrival ties; one event time per key; the first key may hold half of the rows."""
+def random_rows(seed, n=60, keys=8, hot=False, span=40, free=False, null_key=False):
+    """Random changes with arrival ties; the first key may hold half of the rows, and be null.
+
+    One event time per key, or with ``free`` one for each change.
+    """
     rng = random.Random(seed)
     born = {k: rng.randrange(0, span) for k in range(keys)}
     rows = []
     for i in range(n):
         key = 0 if hot and rng.random() < 0.5 else rng.randrange(keys)
         arrival = rng.choice([rng.randrange(0, span), rng.randrange(0, span * 4) / 4, rng.random() * span])
-        rows.append(row(i, key, arrival, born[key], rng.randrange(1, 100), rng.randrange(1, 5), rng.random() < 0.25))
+        happened = rng.random() * span if free else born[key]
+        key = None if null_key and key == 0 else key
+        rows.append(row(i, key, arrival, happened, rng.randrange(1, 100), rng.randrange(1, 5), rng.random() < 0.25))
     return rows
 
 

@@ -3,7 +3,11 @@
 import random
 from datetime import datetime
 
+from decimal import Decimal
+
 import pytest
+from tidemark.functions.measures import sales_amount
+from tidemark import session
 from helpers import HOUR, START, make_log, random_rows, row
 from pyspark.sql import functions as F
 
@@ -69,6 +73,8 @@ def test_hot_groups(spark):
     assert hot_limit(10, 100) == 100
     assert hot_limit(10**12) * MAX_HOT_GROUPS >= 10**12
     df = spark.createDataFrame([(1, i) for i in range(10)] + [(None, 5), (2, 7)], "k bigint, v bigint")
+    nulls = spark.createDataFrame([(None,)] * 5 + [(1,)], "k long")
+    assert [part.count() for part in split_hot(nulls, ["k"], 6, hot_rows=2)] == [1, 5]
     cold, hot = split_hot(df, ["k"], 12, hot_rows=3)
     assert hot.count() == 10 and sorted(r["v"] for r in cold.collect()) == [5, 7]
     assert split_hot(df, ["k"], 12, hot_rows=12)[1] is None
@@ -131,3 +137,34 @@ def test_profile(spark):
     assert profile(make_log(spark, [])).empty
     p = profile(make_log(spark, random_rows(1, n=10)), event_bounds=True)
     assert p.rows == 10 and p.first_arrival <= p.last_arrival and p.first_event is not None
+
+
+def test_amounts_keep_their_digits(spark):
+    rows = spark.createDataFrame([(0.00004, 1), (None, 2)], "amount double, quantity int")
+    assert [r[0] for r in rows.select(sales_amount(scale=8)).collect()] == [Decimal("0.00004000"), None]
+    with pytest.raises(Exception, match="decimal places"):
+        rows.select(sales_amount()).collect()
+
+
+def test_rows_without_arrival_get_no_number(spark):
+    log = make_log(spark, [row(0, 1, None), row(1, 1, 3), row(2, 1, None), row(3, 2, 1)])
+    for hot_rows in (1, 10**6):
+        numbers = {r.event_id: r.source_row_number for r in source_row_number(log, 4, hot_rows).collect()}
+        assert numbers == {3: 1, 1: 2}
+
+
+def test_scratch_folder(spark):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session)
+    before = session.materialize(spark.range(3))
+    assert before.count() == 3 and session.release_scratch(spark)
+    with pytest.raises(Exception):
+        session.materialize(spark.range(3)).sparkSession.read.parquet(before.inputFiles()[0]).count()

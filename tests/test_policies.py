@@ -1,5 +1,7 @@
 """Every policy against the step-by-step replay, on random logs with ties, with and without hot-key handling."""
 
+from datetime import datetime
+
 import pytest
 from helpers import START, HOUR, Naive, make_log, random_rows, row
 from pyspark.sql import functions as F
@@ -54,6 +56,28 @@ def test_replay_equals_steps(spark, seed, hot_rows, hot):
     compare(replay, rows)
 
 
+@pytest.mark.parametrize("seed,hot_rows", [(31, 1_000_000), (31, 4), (32, 1), (33, 2)])
+def test_free_event_times_and_null_keys(spark, seed, hot_rows):
+    rows = random_rows(seed, hot=True, free=True, null_key=True)
+    runs = [Run(p, str(i)) for i, p in enumerate(CASES)]
+    compare(Replay(make_log(spark, rows), runs, hot_rows=hot_rows).materialized(), rows)
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
+def test_gate_drops_rows_without_event_time(spark, hot_rows):
+    """Accepted before the first watermark, dropped from then on."""
+    rows = [row(0, 1, 1), row(1, 2, 5, 4, amount=5), row(2, 3, 6, amount=7), (9, 4, None, START + 9 * HOUR, *row(0, 0, 0)[4:])]
+    rows[0] = (0, 1, None, *rows[0][3:])
+    timeline = Replay(make_log(spark, rows), [P.WindowGate(3, 1)], hot_rows=hot_rows).timeline()
+    assert [r.value for r in timeline.orderBy("arrival_time").collect()] == [1.0, 6.0, 13.0, 13.0]
+
+
+def test_stray_event_time_makes_no_cells(spark):
+    rows = [*random_rows(3), (999, 77, datetime(9998, 1, 1), START + 50 * HOUR, *row(0, 0, 0)[4:])]
+    replay = Replay(make_log(spark, rows), [P.WindowGate(0.25, 1)])
+    assert replay._prepared[0].cells.table.count() <= len(rows) + 2
+
+
 def test_empty_and_single_row_logs(spark):
     chosen = [P.Immediate(), P.FullRefresh(3), P.LaggedReconcile(3, 1), P.CommitSnapshot(2), P.WindowGate(3, 1)]
     empty = Replay(make_log(spark, []), chosen)

@@ -7,7 +7,7 @@ to a DataFrame and is summarised to one value per snapshot.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -42,6 +42,26 @@ ADDITIVE_MEASURES: Mapping[str, Callable[[], Column]] = {"total_sales": sales_am
 MEASURE_LABELS: Mapping[str, str] = {"total_sales": "Total Sales"}
 
 
+def by_value(column: str, values: Sequence[str], name: str = "total_sales") -> dict[str, Column]:
+    """One additive measure for each of the values of a dimension: a timeline then has a row for each of them."""
+    measure = ADDITIVE_MEASURES[name]()
+    return {f"{name}:{v}": F.when(F.col(column) == v, measure) for v in values}
+
+
+def ratio_metric(timeline: DataFrame, name: str, over: str, under: str, label: str) -> DataFrame:
+    """A derived metric along a timeline, such as an average: one metric's value over another's, null over zero."""
+    keys = [c for c in timeline.columns if c not in ("metric", "value", "value_label")]
+    parts = [F.max(F.when(F.col("metric") == m, F.col("value"))).alias(c) for m, c in ((over, "_over"), (under, "_under"))]
+    rows = timeline.filter(F.col("metric").isin(over, under)).groupBy(*keys).agg(*parts)
+    value = F.when(F.col("_under") != 0, F.col("_over") / F.col("_under"))
+    return rows.select(
+        *[
+            {"metric": F.lit(name), "value": value, "value_label": F.lit(label)}.get(c, F.col(c)).alias(c)
+            for c in timeline.columns
+        ]
+    )
+
+
 def total_sales(served: DataFrame) -> DataFrame:
     return served.filter(is_live()).agg(
         as_total(F.sum(sales_amount())).alias("total_sales"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -101,6 +101,12 @@ _TARGET_FIELDS = (
 )
 
 
+def targets_of(table: DataFrame) -> list[Target]:
+    """The targets of a stored table; it has one row for each scenario of a study."""
+    known = [f.name for f in fields(Target) if f.name in table.columns]
+    return [Target(**{**r.asDict(), "description": r.asDict().get("description") or ""}) for r in table.select(*known).collect()]
+
+
 def targets_table(spark: SparkSession, targets: Sequence[Target] = TARGETS) -> DataFrame:
     schema = "scenario string, description string, " + ", ".join(f"{f} double" for f in _TARGET_FIELDS)
     rows = [(t.scenario, t.description, *[getattr(t, f) for f in _TARGET_FIELDS]) for t in targets]
@@ -187,6 +193,15 @@ def freshness(
     return freshness_of(materialize(lag_counts(lags, by), "lags"), by, rows=rows)
 
 
+def replay_freshness(replay: Replay, at: datetime | str | None = None) -> DataFrame:
+    """Freshness of each run of a replay, without an as-of join or a stored timeline (those serve foreign timelines)."""
+    at_us = replay._at(at)
+    points = replay.timeline_points().filter(F.col("position") <= at_us).select("slot", "position", "cutoff")
+    counts = materialize(lag_counts(replay.visibility_lags(points, at_us), by="slot"), "lags")
+    rows = freshness_of(counts, by="slot", rows=replay.timeline_bound)
+    return replay.per_run(rows).select(*replay.labels(), *[c for c in rows.columns if c != "slot"])
+
+
 def lag_counts(lags: DataFrame, by: str = "policy") -> DataFrame:
     return lags.groupBy(by, "lag_us").agg(F.count(F.lit(1)).alias("n"), F.count_if("unserved").alias("unserved"))
 
@@ -326,15 +341,15 @@ def _served_and_true(replay: Replay, at: int, windows: Sequence[Window], loads:
 
 
 def evaluate(
-    replay: Replay, targets: Sequence[Target] = TARGETS, at: datetime | str | None = None
+    replay: Replay, targets: Sequence[Target] | DataFrame = TARGETS, at: datetime | str | None = None
 ) -> DataFrame:
-    """One outcome row per run: targets, observed quality and pass flags.
+    """One outcome row per run: targets (objects or a stored table), observed quality and pass flags.
 
     The versions, the timeline and the lag counts are each written once, since several aggregates read them.
     """
     if replay.profile.empty:
         raise ValueError("an empty log has no outcomes")
-    by_scenario = {t.scenario: t for t in targets}
+    by_scenario = {t.scenario: t for t in (targets_of(targets) if isinstance(targets, DataFrame) else targets)}
     chosen = [by_scenario.get(r.scenario, Target(r.scenario or "")) for r in replay.runs]
     at_us = replay._at(at)
     replay.materialized()

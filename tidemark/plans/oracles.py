@@ -287,6 +287,20 @@ def lag_metrics(grid: str) -> str:
     )"""
 
 
+def tied(sql: str) -> str:
+    """The same over a log with arrivals cut to the day and event times of their own, one row per key and arrival."""
+    rows = """tied AS (
+      SELECT * EXCLUDE (newest) FROM (
+        SELECT log.* REPLACE (CAST(date_trunc('day', arrival_time) AS TIMESTAMP) AS arrival_time, ts AS event_time),
+          ROW_NUMBER() OVER (PARTITION BY sale_id, date_trunc('day', arrival_time) ORDER BY event_id DESC) AS newest
+        FROM log JOIN (SELECT event_id, ts FROM events) USING (event_id)
+      ) WHERE newest = 1
+    ), v AS (SELECT *, epoch_us"""
+    out = sql.replace("v AS (\n  SELECT *, epoch_us", rows, 1).replace("FROM log\n), b AS", "FROM tied\n), b AS", 1)
+    assert out.count("tied") == 2
+    return out
+
+
 FRESHNESS = with_log(
     """SELECT p AS policy, ROUND(longest, 6) AS freshness_max_minutes, ROUND(p95, 6) AS freshness_p95_minutes,
          CAST(0 AS BIGINT) AS freshness_unserved_points FROM fresh""",
@@ -501,6 +515,16 @@ _CHAINED = f"SELECT {EVENT_COLUMNS} FROM ({snapshot('v', 'a <= (SELECT MAX(t) FR
 _TIED_DAY = "CAST(date_trunc('day', arrival_time) AS TIMESTAMP)"
 _IMMEDIATE = differences_timeline("immediate", "SELECT * FROM v")
 
+_BY_SNAPSHOT = f"""
+      SELECT cut.p, metric, cut.t, cut.c, value, n FROM cut JOIN per USING (c) ASOF JOIN counts ON cut.t >= counts.a"""
+
+
+def _metrics_timeline(per: str, label: str) -> str:
+    """A timeline over full snapshots from a CTE per(c, metric, value)."""
+    body = timeline(_BY_SNAPSHOT).replace("'total_sales' AS metric", "metric").replace("'Total Sales'", label)
+    return with_log(body, f"cut AS ({grid_points('full_refresh', 76)})", CUTOFF_VALUES, f"per AS ({per})", COUNTS)
+
+
 ORACLES: dict[str, str] = {
     "changelog": with_log(WHOLE_LOG),
     "source_profile": with_log(
@@ -608,6 +632,18 @@ ORACLES: dict[str, str] = {
         "SELECT 'commit_snapshot' AS p, t, t AS c FROM chain", commit_chain(8), recursive=True
     ),
     "timeline_commit_always": differences_timeline("commit_snapshot", "SELECT * FROM v"),
+    "timeline_by_category": _metrics_timeline(
+        f"""SELECT k.c, 'total_sales:' || k.category AS metric, {TOTAL} AS value
+        FROM (SELECT DISTINCT cut.c, x.category FROM cut, (SELECT DISTINCT category FROM log) AS x) AS k
+        LEFT JOIN (SELECT state.*, category FROM state JOIN (SELECT event_id, category FROM log) USING (event_id)) AS s
+          ON s.c = k.c AND s.category = k.category GROUP BY ALL""",
+        "metric",
+    ),
+    "timeline_average_sale": _metrics_timeline(
+        """SELECT c, 'average_sale' AS metric, CAST(SUM(m) AS DOUBLE) / NULLIF(COUNT(state.event_id), 0) AS value
+        FROM (SELECT DISTINCT c FROM cut) LEFT JOIN state USING (c) GROUP BY c""",
+        "'Average Sale'",
+    ),
     "loads_immediate": loads("immediate", "SELECT event_id FROM v"),
     "loads_full_refresh": loads("full_refresh", SNAPSHOT_ROWS, f"cut AS ({grid_points('x', 6)})", CUTOFF_VALUES),
     "loads_periodic_snapshot": loads(
@@ -673,6 +709,7 @@ ORACLES: dict[str, str] = {
         f"cut AS ({grid_points('x', 6)})",
     ),
     "freshness": FRESHNESS,
+    "freshness_of_timeline": FRESHNESS,
     "accuracy_live": accuracy(period(None)),
     "accuracy_daily": accuracy(period(24, 8)),
     "accuracy_weekly": accuracy(period(168)),
@@ -713,3 +750,8 @@ ORACLES: dict[str, str] = {
     "stream_commit": with_log(_CHAINED, commit_chain(24), recursive=True),
     "stream_window_native": STREAM_WINDOWS,
 }
+
+for _name in ("window_gate", "reconcile", "commit"):
+    ORACLES[f"timeline_{_name}_tied"] = tied(ORACLES[f"timeline_{_name}"])
+    ORACLES[f"timeline_{_name}_hot_keys"] = ORACLES[f"timeline_{_name}_tied"]
+    ORACLES[f"loads_{_name}_hot_keys"] = tied(ORACLES[f"loads_{_name}"])

@@ -289,6 +289,51 @@ for _name, _policy in TIMELINES.items():
 REGISTRY["timeline_immediate_hot_keys"] = _timeline(P.Immediate(), hot_rows=2)
 REGISTRY["timeline_hot_window_hot_keys"] = _timeline(P.HotWindow(hot=24, every=36, full_every=120), hot_rows=2)
 
+
+
+def _tied_log(spark, d):
+    """Arrivals cut to the day, so that many tie, and each change with an event time of its own."""
+    own = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").alias("event_time"))
+    log = C.changelog(spark, d, [c for c in C.EVENT_COLUMNS if c != "event_time"]).join(own, "event_id")
+    log = log.withColumn("arrival_time", F.date_trunc("day", "arrival_time").cast("timestamp_ntz"))
+    return log.select(*C.EVENT_COLUMNS)
+
+
+def _tied(policy: P.Policy, what: str, hot_rows: int) -> Query:
+    def run(spark, d):
+        replay = Replay(_tied_log(spark, d), [policy], hot_rows=hot_rows)
+        return rounded(getattr(replay, what)())
+
+    return run
+
+
+for _name, _policy in {
+    "window_gate": P.WindowGate(size=6, lateness=12),
+    "reconcile": P.LaggedReconcile(every=12, lag=5),
+    "commit": P.CommitSnapshot(every=8),
+}.items():
+    REGISTRY[f"timeline_{_name}_hot_keys"] = _tied(_policy, "timeline", 2)
+    REGISTRY[f"loads_{_name}_hot_keys"] = _tied(_policy, "row_loads", 2)
+    REGISTRY[f"timeline_{_name}_tied"] = _tied(_policy, "timeline", 10**6)
+
+CATEGORIES = ("Electronics", "Clothing", "Books", "Food")
+
+
+@query
+def timeline_by_category(spark, d):
+    """Total sales of each category along a timeline."""
+    log = C.changelog(spark, d)
+    return rounded(Replay(log, [P.FullRefresh(76)], measures=M.by_value("category", CATEGORIES)).timeline())
+
+
+@query
+def timeline_average_sale(spark, d):
+    """Average sale along a timeline: two additive measures and their ratio."""
+    measures = {"total_sales": M.sales_amount(), "sales": F.lit(1).cast("bigint")}
+    timeline = Replay(C.changelog(spark, d), [P.FullRefresh(76)], measures=measures).timeline()
+    return rounded(M.ratio_metric(timeline, "average_sale", "total_sales", "sales", "Average Sale"))
+
+
 LOADS: dict[str, P.Policy] = {
     "loads_immediate": P.Immediate(),
     "loads_full_refresh": P.FullRefresh(6),
@@ -413,6 +458,14 @@ def visibility_aligned(spark, d):
 
 @query
 def freshness(spark, d):
+    log = C.changelog(spark, d)
+    replay = Replay(log, [P.FullRefresh(76), P.LaggedReconcile(12, 5), P.HotWindow(24, 36, 120)])
+    return rounded(Q.replay_freshness(replay))
+
+
+@query
+def freshness_of_timeline(spark, d):
+    """The same from a stored timeline and an as-of step, as for a timeline of unknown origin."""
     log = C.changelog(spark, d)
     replay = Replay(log, [P.FullRefresh(76), P.LaggedReconcile(12, 5), P.HotWindow(24, 36, 120)])
     names = [r.policy.name for r in replay.runs]
