@@ -21,6 +21,8 @@ SAMPLES, BAND = 128, 4  # 32 bands of 4: a pair at 0.8 shares none with probabil
 SKETCH_BITS = 512
 MARGIN = 0.18  # below the similarity, more than 5 deviations of the estimate from 128 samples
 BLOCK = 1024  # rows of a bucket compared in one group
+CELL = 4096  # rows of small buckets handled in one group
+NEAREST_TURNS = 1
 
 _RNG = np.random.default_rng(8)
 SALTS = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
@@ -128,37 +130,62 @@ def _similar_sketches(pairs: DataFrame, signed: DataFrame, most: int) -> DataFra
     return both.filter(differing_bits("s", "t") <= most).select("a", "b").distinct()
 
 
-def _block_pairs(members: DataFrame, most: int) -> DataFrame:
-    """Pairs of different components within a bucket whose sketches are alike.
+def _slices(rows: np.ndarray, at: np.ndarray, size: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(0, len(rows), size):
+        yield rows[i : i + size], at[i : i + size]
 
-    members: bucket, n (rows of the bucket), id, component, sketch.  A bucket is cut into blocks; each group holds
-    two of them, so no group grows with the bucket.
+
+def _bucket_pairs(members: DataFrame, most: int, nearest: bool) -> DataFrame:
+    """Pairs of different components within a bucket whose sketches are alike: all, or each row's nearest only.
+
+    members: bucket, n (rows of the bucket), id, component, sketch, bands.  A pair is given in the first bucket that its
+    rows share (the nearest may repeat).  Small buckets share a group.  Large ones are cut into
+    blocks and a group holds two of them, so no group grows with the bucket.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        left = group[group["mine"] == i]
-        right = group[group["mine"] == j] if i != j else left
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        x, y = np.stack(left["sketch"].to_numpy()), np.stack(right["sketch"].to_numpy())
-        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        comps, comps_of_others = left["component"].to_numpy(), right["component"].to_numpy()
-        out = []
-        for k in range(len(x)):
-            near = np.bitwise_count(x[k] ^ y).sum(axis=1) <= most
-            near &= comps_of_others != comps[k]
-            if i == j:
-                near &= others > ids[k]
-            out.append(np.column_stack((np.full(near.sum(), ids[k]), others[near])))
-        pairs = np.concatenate(out)
-        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+    def pairs_of(bucket: int, left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        y, others, theirs = np.stack(right["sketch"].to_numpy()), right["id"].to_numpy(), right["component"].to_numpy()
+        out = []
+        for i in range(0, len(left), 128):
+            part = left.iloc[i : i + 128]
+            x, ids = np.stack(part["sketch"].to_numpy()), part["id"].to_numpy()
+            apart = part["component"].to_numpy()[:, None] != theirs
+            bits = np.bitwise_count(x[:, None] ^ y).sum(axis=2, dtype=np.int32)
+            bits[~apart] = SKETCH_BITS
+            if nearest:
+                at = bits.argmin(axis=1)
+                rows = np.flatnonzero(bits[np.arange(len(x)), at] <= most)
+                out.append(np.column_stack((ids[rows], others[at[rows]])))
+            else:
+                rows, at = np.nonzero((bits <= most) & (ids[:, None] < others if left is right else True))
+                keys, theirs_too = np.stack(part["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
+                first = np.concatenate(
+                    [keys[r, (keys[r] == theirs_too[t]).argmax(axis=1)] for r, t in _slices(rows, at)] or [np.empty(0, np.int64)]
+                )
+                rows, at = rows[first == bucket], at[first == bucket]
+                out.append(np.column_stack((ids[rows], others[at])))
+        return np.concatenate(out)
+
+    def result(found: list[np.ndarray]) -> pd.DataFrame:
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}, dtype="int64")
+
+    def within(cell: pd.DataFrame) -> pd.DataFrame:
+        return result([pairs_of(key, bucket, bucket) for key, bucket in cell.groupby("bucket", sort=False)])
+
+    def across(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = (group[group["mine"] == group[side].iloc[0]] for side in ("i", "j"))
+        right = left if group["i"].iloc[0] == group["j"].iloc[0] else right
+        return result([pairs_of(group["bucket"].iloc[0], left, right)] if len(left) and len(right) else [])
+
+    small, large = members.filter(F.col("n") <= BLOCK), members.filter(F.col("n") > BLOCK)
+    cells = F.lit(max(1, math.ceil(members.count() / CELL)))
+    found = small.withColumn("cell", F.pmod("bucket", cells)).groupBy("cell").applyInPandas(within, "a bigint, b bigint")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = large.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    large = large.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    return found.unionByName(large.groupBy("bucket", "i", "j").applyInPandas(across, "a bigint, b bigint")).distinct()
 
 
 def near_duplicates(
@@ -168,11 +195,12 @@ def near_duplicates(
 
     1. Each text gives its shingle set's size, digest, MinHash bands and an odd sketch of its samples.
     2. Documents with equal sets form a class; its smallest id stands for it.  Copies never meet in pairs.
-    3. In each band bucket every class is paired with the smallest id, and with the class that meets the most others
-       in its buckets (the original, where copies were changed each in its own way); sketches sort out the unlike, full
-       sets confirm the rest, and components are formed.
-    4. Buckets that still hold several components are compared whole, in blocks, across components only: after this
-       no link is missing, and a group of thousands of near copies has cost one comparison a member.
+    3. In each band bucket every class is paired with the smallest id; sketches sort out the unlike, full sets confirm
+       the rest, and components are formed.
+    4. In buckets that still hold several components each class is paired with the nearest one of another component,
+       by the sketches, confirmed and joined.
+    5. Buckets that even then hold several components are compared whole, in blocks, across components only: after
+       this no link is missing, and a group of thousands of near copies has cost a few comparisons a member.
 
     Linked are documents with 100 * intersection >= similarity * union.  Null and empty texts have the empty set and
     link with nothing; their component is their own id.  Rows that share an id are one node.  Rows with a null id
@@ -190,27 +218,24 @@ def near_duplicates(
 
     sizes = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(buckets.join(sizes, "bucket"), "buckets")
-    weights = shared.groupBy("id").agg(F.sum("n").alias("weight"))
-    centres = shared.select("bucket", "id").join(weights, "id").groupBy("bucket")
-    centres = centres.agg(F.max(F.struct("weight", "id"))["id"].alias("centre"))
-    stars = shared.join(centres, "bucket").select("id", F.explode(F.array("low", "centre")).alias("other"))
-    stars = stars.filter("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    stars = materialize(_similar_sketches(stars, chosen, most), "stars")
-    links = materialize(_confirmed(stars, docs, key, text, shingle, similarity), "links")
+    tried = shared.filter("low < id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    tried = materialize(_similar_sketches(tried, chosen, most), "stars")
+    links = materialize(_confirmed(tried, docs, key, text, shingle, similarity), "links")
     found = materialize(connected_components(links, "a", "b"), "components")
 
-    members = shared.join(found, F.col("id") == F.col("node"), "left")
-    members = materialize(members.select("bucket", "id", F.coalesce("component", "id").alias("component")), "members")
-    several = members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("component").alias("_low"), F.max("component").alias("_high")
-    )
-    several = several.filter("_low < _high").select("bucket", "n")
-    rest = members.join(several, "bucket").join(chosen.select("id", "sketch"), "id")
-    pairs = _block_pairs(rest, most).join(stars, ["a", "b"], "left_anti")
-    more = materialize(_confirmed(materialize(pairs, "pairs"), docs, key, text, shingle, similarity), "more-links")
-    if not more.isEmpty():
-        tied = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-        found = materialize(connected_components(tied, "a", "b"), "components")
+    for turn in range(NEAREST_TURNS + 1):
+        members = shared.join(found, F.col("id") == F.col("node"), "left")
+        members = materialize(members.select("bucket", "n", "id", F.coalesce("component", "id").alias("component")), "members")
+        several = members.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+        several = several.filter("_low < _high").select("bucket")
+        rest = materialize(members.join(several, "bucket").join(chosen.select("id", "sketch", "bands"), "id"), "mixed-buckets")
+        pairs = _bucket_pairs(rest, most, nearest=turn < NEAREST_TURNS).join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        more = materialize(_confirmed(pairs, docs, key, text, shingle, similarity), "links")
+        if not more.isEmpty():
+            tied = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+            found = materialize(connected_components(tied, "a", "b"), "components")
+        tried = tried.unionByName(pairs)
 
     named = classes.join(found, F.col("rep") == F.col("node"), "left")
     named = named.select("digest", F.coalesce("component", "rep").alias("_component"))
