@@ -33,8 +33,8 @@ class Model:
     def __init__(self, lanes: int, ids: int):
         self.counts = np.ones(ids, np.int64)
         self.total = ids
-        self.next1, self.sure1 = np.zeros(ids, np.int64), np.zeros(ids, np.int64)
-        self.next2, self.sure2 = np.zeros(1 << HASHED, np.int64), np.zeros(1 << HASHED, np.int64)
+        self.next1 = np.zeros(ids, np.int64)  # the id that followed, times 16, and how sure that is
+        self.next2 = np.zeros(1 << HASHED, np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.by_sure2 = np.full(16, 1 << 15, np.int64)
         self.by_sure1 = np.full(32, 1 << 15, np.int64)
@@ -46,8 +46,8 @@ class Model:
         """The ids predicted by order 2 and order 1 for the first m lanes, and their shares of 2**16."""
         last, before = self.last[:m], self.before[:m]
         self.at2 = ((last * 0x9E3779B1 + before * 0x85EBCA6B) >> 9) & ((1 << HASHED) - 1)
-        self.p2, self.c2 = self.next2[self.at2], self.sure2[self.at2]
-        self.p1, self.c1 = self.next1[last], self.sure1[last]
+        both2, both1 = self.next2[self.at2], self.next1[last]
+        self.p2, self.c2, self.p1, self.c1 = both2 >> 4, both2 & 15, both1 >> 4, both1 & 15
         self.same = self.p1 == self.p2
         self.c12 = self.c1 + 16 * self.same
         self.size = np.frexp(self.counts[self.p2])[1]
@@ -68,10 +68,10 @@ class Model:
         np.clip(table, 32, 65504, out=table)
 
     @staticmethod
-    def _follow(following: np.ndarray, sure: np.ndarray, at: np.ndarray, c: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> None:
+    def _follow(following: np.ndarray, at: np.ndarray, p: np.ndarray, c: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> None:
         keep = hit | (c > 2)
-        following[at[~keep]] = ids[~keep]
-        sure[at] = np.where(hit, np.minimum(c + 1, 15), np.where(keep, c >> 1, 0))
+        sure = np.where(hit, np.minimum(c + 1, 15), np.where(keep, c >> 1, 0))
+        following[at] = (np.where(keep, p, ids) << 4) | sure
 
     def update(self, ids: np.ndarray) -> None:
         m = len(ids)
@@ -84,8 +84,8 @@ class Model:
         self._learn(self.by_count, self.size, hit2)
         missed = ~hit2 & ~self.same
         self._learn(self.second, self.c1[missed], hit1[missed])
-        self._follow(self.next2, self.sure2, self.at2, self.c2, hit2, ids)
-        self._follow(self.next1, self.sure1, self.last[:m], self.c1, hit1, ids)
+        self._follow(self.next2, self.at2, self.p2, self.c2, hit2, ids)
+        self._follow(self.next1, self.last[:m], self.p1, self.c1, hit1, ids)
         np.add.at(self.counts, ids, GAIN)
         self.total += GAIN * m
         if self.total > MOST:

@@ -36,21 +36,32 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.pieces: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.led_by_space = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.led_by_space[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # how a space is written
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces in one go: of the ids, those of tokens led by a space begin a piece."""
+        ids = self._encode(" " + " ".join(pieces))
+        begins = (4 * np.flatnonzero(self.led_by_space[ids])).tolist()
+        plain = ids.tobytes()
+        self.pieces.update(zip(pieces, (plain[b:e] for b, e in zip(begins, [*begins[1:], len(plain)]))))
 
     def ids(self, text: str) -> bytes:
         if "<|" in text or _RUN_OF_SPACE.search(text):
-            return self._encode([text])[0]
+            return self._encode(text).tobytes()
         first, *rest = text.split(" ")
         new = list(set(rest).difference(self.pieces))
         if new:
             if len(self.pieces) > CACHED_PIECES:
                 self.pieces.clear()
                 new = list(set(rest))
-            self.pieces.update(zip(new, self._encode([" " + p for p in new])))
-        return b"".join((*self._encode([first]), *map(self.pieces.__getitem__, rest)))
+            # An empty piece is a space at the end of the text: at the end it stays a token of its own.
+            self._learn([*(p for p in new if p), ""] if "" in new else new)
+        return b"".join((self._encode(first).tobytes(), *map(self.pieces.__getitem__, rest)))
 
 
 def write_tokens(
