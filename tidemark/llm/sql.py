@@ -1,3 +1,136 @@
-"""DuckDB SQL of the numbered operators, where SQL can express them."""
+"""DuckDB SQL of the numbered operators, where SQL can express them; worked out by brute force.
+
+Files in a format of their own (4), checksums that SQL does not have (3, 9), trained models (9, 10) and what takes SQL
+minutes on small tables (7, every window of every text) are left to tests.
+"""
 
 ORACLES: dict[str, str] = {}
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+
+def _components(nodes: str, node: str, links: str) -> str:
+    """CTEs reached(a, b) and component(node, component) of symmetric links(a, b)."""
+    return f"""reached(a, b) AS (
+      SELECT {node}, {node} FROM {nodes}
+      UNION SELECT reached.a, {links}.b FROM reached JOIN {links} ON reached.b = {links}.a
+    ), component AS (SELECT a AS node, MIN(b) AS component_id FROM reached GROUP BY a)"""
+
+
+_ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_ASSIGN += r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _found(kind: str, rank: int, pattern: str, keep: str = "TRUE") -> str:
+    """Matches with their places: the pieces between them, and the matches before, add up."""
+    return f"""
+    SELECT doc_id, '{kind}' AS kind, {rank} AS rank, value, place AS start, place + length(value) AS stop FROM (
+      SELECT doc_id, m[i] AS value, g2[i] AS part,
+        list_sum(list_transform(g[1:i], lambda x: length(x))) + COALESCE(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS place
+      FROM (
+        SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g,
+          {f"regexp_extract_all(text, '{pattern}', 1)" if kind == "assign" else "NULL::VARCHAR[]"} AS g2
+        FROM documents WHERE regexp_matches(text, '{pattern}')
+      ), UNNEST(range(1, len(m) + 1)) AS t(i)
+    ) WHERE {keep}"""
+
+
+ORACLES["op1_secrets"] = f"""
+WITH base AS ({_found("assign", 0, _ASSIGN, "length(part) >= 6")}
+  UNION ALL {_found("access", 1, "AKIA[A-Z0-9]{16,}")}
+  UNION ALL {_found("hex", 2, "[0-9a-f]{24,}")}
+), candidate AS ({_found("entropy", 3, "[A-Za-z0-9+/_=-]{24,}")}
+), tested AS (
+  SELECT doc_id, start, value, CASE WHEN regexp_full_match(value, '[0-9a-fA-F]+') THEN 3.0 ELSE 4.0 END AS least FROM candidate
+  WHERE NOT regexp_matches(value, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}')
+    AND NOT regexp_matches(lower(value), 'example|placeholder|changeme|dummy|your[_-]|xxxx|abcdefghijkl|0123456789')
+    AND regexp_matches(value, '[0-9]')
+), windows AS (
+  SELECT doc_id, start, least, i, SUM(n * log2(n)) AS s FROM (
+    SELECT doc_id, start, least, i, substr(value, i + k, 1) AS c, COUNT(*) AS n
+    FROM tested, UNNEST(range(1, length(value) - 22)) AS t(i), UNNEST(range(0, 24)) AS u(k) GROUP BY ALL
+  ) GROUP BY ALL
+), hot AS (
+  SELECT *, SUM(CASE WHEN i - before <= 24 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, start ORDER BY i) AS run FROM (
+    SELECT doc_id, start, i, COALESCE(LAG(i) OVER (PARTITION BY doc_id, start ORDER BY i), -100) AS before
+    FROM windows WHERE s <= 24 * (log2(24) - least) + 1e-6)
+), spans AS (
+  SELECT doc_id, kind, rank, start, stop FROM base UNION ALL
+  SELECT doc_id, 'entropy', 3, start + MIN(i) - 1, start + MAX(i) + 23 FROM hot GROUP BY doc_id, start, run
+)
+SELECT doc_id, CAST(COUNT(*) FILTER (rank = 0) AS BIGINT) AS n_assign, CAST(COUNT(*) FILTER (rank = 1) AS BIGINT) AS n_access,
+  CAST(COUNT(*) FILTER (rank = 2) AS BIGINT) AS n_hex,
+  sha256(COALESCE(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
+  COALESCE(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank IS NOT NULL), '') AS spans
+FROM documents LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
+
+ORACLES["op2_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, COALESCE(regexp_extract_all({_LOWER}, {_ALNUM}), []) AS words FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS words FROM benchmark WHERE text IS NOT NULL),
+w AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[k:k + size - 1], ' ') AS gram
+  FROM (SELECT *, LEAST(13, len(words)) AS size FROM i WHERE len(words) > 0), UNNEST(range(1, len(words) - size + 2)) AS t(k)
+), g AS (
+  SELECT doc_id, k, size, array_to_string(words[k:k + size - 1], ' ') AS gram
+  FROM d, (SELECT DISTINCT size FROM w) AS s, UNNEST(range(1, len(words) - size + 2)) AS t(k)
+), hit AS (SELECT doc_id, item_id, k, size FROM g JOIN w USING (size, gram)),
+n AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM hit, UNNEST(range(k, k + size)) AS t(p) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items, sha256(COALESCE(names, '')) AS items_sha256,
+  COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+ORACLES["op5_near_vectors"] = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v AS x JOIN v AS y
+    ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.93
+), {_components("embeddings", "vec_id", "links")},
+n AS (SELECT a AS vec_id, COUNT(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN component ON vec_id = node LEFT JOIN n USING (vec_id)"""
+
+ORACLES["op6_mix"] = f"""
+WITH d AS (SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, {_WORD})), 0) AS size FROM documents),
+s AS (
+  SELECT source, source_size, 3.0::DOUBLE * source_size AS cap,
+    CAST([5, 2, 1][(ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w
+  FROM (SELECT source, SUM(size) AS source_size FROM d GROUP BY source)
+), levels AS (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY cap / w, source NULLS LAST) AS k,
+    ((SELECT SUM(source_size) FROM s) - COALESCE(SUM(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / SUM(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s
+), targets AS (
+  SELECT source, source_size, LEAST(cap, w * (SELECT arg_min(level, k) FROM levels WHERE level <= cap / w)) AS target FROM levels
+), placed AS (
+  SELECT d.doc_id, d.size, CAST(source_size AS BIGINT) AS source_size, target,
+    ROW_NUMBER() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS rank,
+    CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    CAST('0x' || substr(md5(concat_ws(':', '6', d.source)), 1, 8) AS UBIGINT) / 4294967296.0::DOUBLE AS start
+  FROM d JOIN targets ON d.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(size * (floor(start + (rank + 1) * rate) - floor(start + rank * rate)) AS BIGINT) AS taken FROM placed"""
+
+ORACLES["op8_near_duplicates"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, COALESCE(regexp_extract_all({_LOWER}, {_WORD}), []) AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[k:k + size - 1], ' ') AS gram
+  FROM (SELECT *, LEAST(4, len(words)) AS size FROM d WHERE len(words) > 0), UNNEST(range(1, len(words) - size + 2)) AS t(k)
+), n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, COUNT(*) AS common FROM s AS x JOIN s AS y USING (gram) WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+    JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE 100 * common >= 80 * (p.n + q.n - common)
+), {_components("documents", "doc_id", "links")}
+SELECT doc_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN component ON doc_id = node LEFT JOIN n USING (doc_id)"""
