@@ -751,6 +751,11 @@ ORACLES: dict[str, str] = {
     "stream_window_native": STREAM_WINDOWS,
 }
 
+ORACLES["saved_snapshots"] = (
+    f"SELECT 'S4' AS scenario, *, 'scenarios' AS run_type FROM ({snapshots_timeline(grid_points('full_refresh', 76))})"
+)
+ORACLES["stream_many_files"] = ORACLES["stream_latest_state"]
+ORACLES["stream_dedup"] = tied(ORACLES["stream_commit"])
 for _name in ("window_gate", "reconcile", "commit"):
     ORACLES[f"timeline_{_name}_tied"] = tied(ORACLES[f"timeline_{_name}"])
     ORACLES[f"timeline_{_name}_hot_keys"] = ORACLES[f"timeline_{_name}_tied"]

@@ -92,6 +92,19 @@ def saved_results(spark, d):
     return sinks.read_csv(spark, f"{root}/row_loads", schema)
 
 
+@query
+def saved_snapshots(spark, d):
+    """The timeline of a small study, stored with the other result tables and read back."""
+    log = C.changelog(spark, d)
+    replay = Replay(log, [Run(P.FullRefresh(76), "S4")])
+    timeline = replay.timeline()
+    loads = reports.row_load_report(replay.row_loads(), sequence.source_row_number(log, replay.profile.rows))
+    root = scratch_path(spark, "results")
+    sinks.save_results(root, timeline, Q.evaluate(replay, at=AT), loads)
+    schema = T.StructType([*timeline.schema.fields, T.StructField("run_type", T.StringType())])
+    return rounded(sinks.read_csv(spark, f"{root}/snapshots", schema))
+
+
 @query
 def csv_export(spark, d):
     """The log as CSV with a header, read back."""
@@ -619,6 +632,30 @@ def stream_latest_state(spark, d):
     return jobs.read_latest_state(spark, f"{root}/table")
 
 
+@query
+def stream_many_files(spark, d):
+    """The same state from one micro-batch for each landed file."""
+    root = scratch_path(spark, "files")
+    landing.replay_in_steps(
+        C.changelog(spark, d).repartition(3, "sale_id"), CUTS, f"{root}/in",
+        lambda: jobs.start_latest_state(
+            jobs.read_stream(spark, f"{root}/in", files_per_trigger=1), f"{root}/table", f"{root}/checkpoint"
+        ),
+    )
+    return jobs.read_latest_state(spark, f"{root}/table")
+
+
+@query
+def stream_dedup(spark, d):
+    """Commits over a stream in which many changes of a key share an arrival."""
+    root = scratch_path(spark, "dedup")
+    landing.replay_in_steps(
+        _tied_log(spark, d), CUTS, f"{root}/in",
+        lambda: jobs.start_commits(jobs.read_stream(spark, f"{root}/in"), root, f"{root}/checkpoint", 24),
+    )
+    return jobs.read_committed(spark, root)
+
+
 @query
 def stream_reconcile(spark, d):
     root = scratch_path(spark, "reconcile")

@@ -43,6 +43,12 @@ def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def _log_batch(batch: DataFrame, root: str, batch_id: int, key: str) -> DataFrame:
+    """Store the observed rows of a batch and read them back, so that the source is read once for each batch."""
+    _write_batch(observed_log(batch, key), f"{root}/log", batch_id)
+    return batch.sparkSession.read.schema(_LOG_DDL).parquet(f"{root}/log/batch_id={batch_id}")
+
+
 def _read_batches(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
     """All batches of a sink, or those before one; empty when nothing was written yet."""
     full = f"{schema}, batch_id bigint"
@@ -92,7 +98,7 @@ def start_reconcile(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        _write_batch(observed_log(batch, key), f"{root}/log", batch_id)
+        batch = _log_batch(batch, root, batch_id, key)
         bounds = profile(batch)
         if bounds.empty:
             return
@@ -139,7 +145,7 @@ def start_commits(stream: DataFrame, root: str, checkpoint: str, every: float, k
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        _write_batch(observed_log(batch, key), f"{root}/log", batch_id)
+        batch = _log_batch(batch, root, batch_id, key)
         last_commit = (
             _read_batches(spark, f"{root}/commits", _COMMIT_DDL, before=batch_id).agg(F.max("commit_us")).first()[0]
         )
