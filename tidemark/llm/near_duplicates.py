@@ -17,9 +17,10 @@ from .text import WordHash, byte_texts, mixed, space_words, window_hashes
 
 SHINGLE = 5
 SIMILARITY = 80  # percent
-SAMPLES, BAND = 128, 4  # 32 bands of 4: a pair at 0.8 shares none with probability 5e-8
-SKETCH_BITS = 512
-MARGIN = 0.18  # below the similarity, more than 5 deviations of the estimate from 128 samples
+SAMPLES, BAND = 256, 4
+BANDED = 128  # samples in bands, 32 of 4: a pair at 0.8 shares none with probability 5e-8
+SKETCH_BITS = 1024
+MARGIN = 0.13  # below the similarity, 5 deviations of the estimate from 256 samples
 BLOCK = 1024  # rows of a bucket compared in one group
 CELL = 4096  # rows of small buckets handled in one group
 NEAREST_TURNS = 1
@@ -80,7 +81,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     rows.append((0, None, None, None))
                     continue
                 minima = minhash(shingles)
-                rows.append((len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), band_keys(minima), odd_sketch(minima)))
+                rows.append((len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), band_keys(minima[:BANDED]), odd_sketch(minima)))
             longs = pa.list_(pa.int64())
             columns = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
@@ -115,7 +116,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int
                 keep.append(100 * common >= similarity * (len(first) + len(second) - common) > 0)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(ends, "id", "left_semi")
     texts = materialize(texts, "texts")
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
