@@ -23,7 +23,7 @@ from .text import WordHash, byte_texts, mixed, space_words
 
 ORDER = 2
 PRIOR = 30.0  # weight of the shorter context's estimate, in counts
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 18
 BUCKET_BYTES = 12_000_000  # of text for each bucket of n-gram hashes
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # no word's hash but by a chance of 2**-64
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 ALNUM = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 
 
 def alnum_words(text: bytes | None) -> list[bytes]:
