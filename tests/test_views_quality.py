@@ -231,3 +231,9 @@ def test_sinks_round_trip(spark):
     text = params.select(sinks.params_to_json("p").alias("t"))
     assert text.first()[0] == '{"a":1.5,"b":2.0}'
     assert text.select(sinks.params_from_json("t")).first()[0] == {"a": 1.5, "b": 2.0}
+
+
+def test_targets_as_a_table(spark):
+    assert Q.targets_of(Q.targets_table(spark)) == list(Q.TARGETS)
+    named = spark.createDataFrame([("x", 5.0)], "scenario string, freshness_target_minutes double")
+    assert Q.targets_of(named) == [Q.Target("x", freshness_target_minutes=5.0)]
