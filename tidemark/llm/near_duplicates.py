@@ -61,6 +61,11 @@ def odd_sketch(minima: np.ndarray) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
 
 
+def unsigned(sketches) -> np.ndarray:
+    """Stacked sketches as unsigned words: numpy counts the bits of a negative number's absolute value."""
+    return np.stack([np.asarray(s) for s in sketches]).view(np.uint64)
+
+
 def most_differing_bits(similarity: float) -> int:
     """Sketch bits that differ at an estimated similarity: the odd-sketch estimate solved for the XOR count."""
     differing = 2 * SAMPLES * (1 - similarity)
@@ -145,11 +150,11 @@ def _bucket_pairs(members: DataFrame, most: int, nearest: bool) -> DataFrame:
     """
 
     def pairs_of(bucket: int, left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-        y, others, theirs = np.stack(right["sketch"].to_numpy()), right["id"].to_numpy(), right["component"].to_numpy()
+        y, others, theirs = unsigned(right["sketch"]), right["id"].to_numpy(), right["component"].to_numpy()
         out = []
         for i in range(0, len(left), 128):
             part = left.iloc[i : i + 128]
-            x, ids = np.stack(part["sketch"].to_numpy()), part["id"].to_numpy()
+            x, ids = unsigned(part["sketch"]), part["id"].to_numpy()
             apart = part["component"].to_numpy()[:, None] != theirs
             bits = np.bitwise_count(x[:, None] ^ y).sum(axis=2, dtype=np.int32)
             bits[~apart] = SKETCH_BITS
