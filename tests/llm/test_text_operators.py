@@ -43,6 +43,21 @@ def test_redacted(spark):
     assert rows[0] is None and rows[1] == "" and rows[2] == "plain text" and rows[3] == '***"'
 
 
+def entropy_of(spark, texts):
+    rows = {r.doc_id: r.found for r in S.find_secrets(docs_of(spark, texts), "found").collect()}
+    return [[(s.start, s.end) for s in rows[i] if s.kind == "entropy"] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("glue", ["", "KEY=", "/", "k-", "SIGNING_KEY=", "src/main/keys_2", "AB_"])
+@pytest.mark.parametrize("key", [HEX.upper(), "Q7ZL2WNXK5TB4MHR6VYJ3DGFPCSA7EUI", "q8zl0wnxk5tb4mhr9vyj1dgfpcsa7eui"])
+def test_secrets_glued_to_names_and_paths(spark, glue, key):
+    for spans in entropy_of(spark, [f"é {glue}{key} b", f"{glue}{key}/x-{key}"]):
+        assert spans and all(b[0] > a[1] for a, b in zip(spans, spans[1:]))
+        assert any(start <= 2 + len(glue) and end >= len(glue) + len(key) for start, end in spans)
+    names = ["/usr/share/documentation-2/translations_of_the_manual", "DEFAULT_MAXIMUM_NUMBER_OF_CONNECTIONS_2", "a" * 30 + "=2"]
+    assert not any(entropy_of(spark, names))
+
+
 WORDS = "a b c the of and x1".split()
 
 
