@@ -120,6 +120,28 @@ def test_repeats_equal_brute_force(spark, tmp_path, monkeypatch, length, letters
         assert len(r.kept) == r.n_bytes - r.n_removed
 
 
+@pytest.mark.parametrize("length,letters", [(6, "ab"), (9, "abc"), (40, "abcdefgh")])
+def test_repeats_form_no_large_group(spark, tmp_path, monkeypatch, length, letters):
+    extents = R.extents
+
+    def bounded(lefts, rights, needed):
+        assert len(lefts) <= 8
+        return extents(lefts, rights, needed)
+
+    for name, value in (("LARGE", 4), ("CELL", 8), ("extents", bounded)):
+        monkeypatch.setattr(R, name, value)
+    rng = random.Random(length)
+    some = lambda most: "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+    common, shorter = (("abcdefgh" * 10)[:n] for n in (3 * length // 2 - 1, length - 1))
+    texts = [None, "a" * 60, "a" * 61 + "b"]
+    texts += [some(3 * length) + (common if k % 3 else shorter) + some(3 * length) for k in range(60)]
+    texts += [*texts[-3:], *[some(length) + common[: length + k] + some(length) for k in range(length // 2)]]
+    rows = {r.doc_id: r for r in R.without_repeats(stored(docs_of(spark, texts), tmp_path), length=length).collect()}
+    for i, expected in enumerate(without_repeats(texts, length)):
+        r = rows[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected
+
+
 def test_repeats_of_nothing(spark, tmp_path):
     assert R.without_repeats(stored(docs_of(spark, []), tmp_path)).count() == 0
 

@@ -22,7 +22,7 @@ from .text import byte_texts, mixed
 
 LENGTH = 400
 LARGE = 256  # different surroundings of one gram from which on they are grouped by half of them as well
-CELL = 1024  # surroundings handled in one group
+CELL = 1024  # surroundings handled in one group, which no group exceeds: grams with more of them go by their windows
 FILTER_BITS = 23  # bits of the row filter sent to the tasks: 1 MB, whatever the input
 
 _STEP = 0x9E3779B97F4A7C15
@@ -196,6 +196,48 @@ def _only(docs: DataFrame, bits: bytes) -> DataFrame:
     return docs.mapInArrow(run, "row bigint, data binary")
 
 
+def shared_windows(bodies: DataFrame, length: int) -> DataFrame:
+    """row, start, end: what is repeated around the anchors of grams with many surroundings; no group of rows is formed.
+
+    Each string of ``length`` bytes around an anchor becomes a row (gram, window hash), at the first of its least grams
+    only, so no place comes twice.  The hashes are counted, partly before the shuffle, and those found twice are joined
+    back.  All strings of an anchor hold its gram, so the repeated ones together are one span.
+    """
+    gram = length // 2
+    width = length - gram + 1
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = RollingHash()
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            took, froms, hashes = [], [], []
+            for k, (left, body) in enumerate(zip(batch.column("left").to_pylist(), byte_texts(batch, "body"))):
+                if len(body) < length:
+                    continue
+                sums = rolling.prefixes(np.frombuffer(body, np.uint8))
+                at = np.arange(len(body) - gram + 1)
+                grams = rolling.between(sums, at, at + gram)
+                least = sliding(grams, width, np.minimum)
+                same = np.flatnonzero(grams[:left] == grams[left])
+                first = max(same[-1] + 1 if len(same) else 0, left - width + 1)
+                start = first + np.flatnonzero(least[first : left + 1] == grams[left])
+                took.append(np.full(len(start), k))
+                froms.append(start - left)
+                hashes.append(rolling.between(sums, start, start + length).view(np.int64))
+            if not took:
+                continue
+            chosen = batch.select(["gram", "n", "row", "at"]).take(pa.array(np.concatenate(took)))
+            start = chosen.column("at").to_numpy() + np.concatenate(froms)
+            columns = [*chosen.columns, pa.array(start.astype(np.int32)), pa.array(np.concatenate(hashes))]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "n", "row", "at", "start", "window"])
+
+    found = bodies.mapInArrow(windows, "gram bigint, n bigint, row bigint, at int, start int, window bigint")
+    found = materialize(found, "windows")
+    twice = found.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("gram", "window")
+    # Surroundings that come more than once are repeated as a whole already.
+    spans = found.filter("n = 1").join(twice, ["gram", "window"], "left_semi").groupBy("row", "at")
+    return spans.agg(F.min("start").alias("start"), (F.max("start") + length).cast("int").alias("end")).drop("at")
+
+
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """row, start, end: covered by strings of ``length`` bytes that start elsewhere as well; they overlap, unmerged."""
     gram = length // 2
@@ -228,12 +270,19 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
 
     grams = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("_least")).filter("kinds > 1 AND _least = 1")
     open_ = materialize(kinds.join(grams.select("gram", "kinds"), "gram"), "surroundings")
-    texts = _only(docs, _row_filter(open_, "row"))
-    low = F.col("at") - F.col("left")
-    bodies = open_.join(texts, "row").select(
-        "gram", "kinds", "n", "row", "at", "left",
-        F.substring("data", low + 1, F.col("left") + F.lit(gram) + F.col("right")).alias("body"),
-    )
+
+    def with_bodies(rows: DataFrame, bits: bytes) -> DataFrame:
+        low = F.col("at") - F.col("left")
+        return rows.join(_only(docs, bits), "row").select(
+            "gram", "kinds", "n", "row", "at", "left",
+            F.substring("data", low + 1, F.col("left") + F.lit(gram) + F.col("right")).alias("body"),
+        )
+
+    many, few = open_.filter(F.col("kinds") > CELL), open_.filter(F.col("kinds") <= CELL)
+    bits = _row_filter(many, "row")
+    if any(bits):
+        whole = whole.unionByName(shared_windows(with_bodies(many, bits), length))
+    bodies = with_bodies(few, _row_filter(few, "row"))
     # Two surroundings that repeat enough share half of what is needed on one side: large groups are cut by that.
     half = -(-(length - gram) // 2)
     left_part = F.when(F.col("left") >= half, F.xxhash64(F.lit("left"), F.substring("body", F.col("left") - half + 1, F.lit(half))))
@@ -241,7 +290,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     right_part = F.when(rest >= half, F.xxhash64(F.lit("right"), F.substring("body", F.col("left") + gram + 1, F.lit(half))))
     part = F.when(F.col("kinds") > LARGE, F.array_compact(F.array(left_part, right_part))).otherwise(F.array(F.lit(0).cast("bigint")))
     bodies = bodies.withColumn("part", F.explode(part)).withColumn("group", F.xxhash64("gram", "part"))
-    sizes = open_.agg(F.count(F.lit(1))).first()[0]  # one number
+    sizes = few.agg(F.count(F.lit(1))).first()[0]  # one number
     cells = F.lit(max(1, math.ceil(sizes / CELL)))
 
     def solve(cell: pd.DataFrame) -> pd.DataFrame:
