@@ -58,6 +58,19 @@ def test_secrets_glued_to_names_and_paths(spark, glue, key):
     assert not any(entropy_of(spark, names))
 
 
+def test_secrets_beside_allowed_words(spark):
+    key, uuid = "Zk9x0PqLw2Vb7Tn4Rm8Yc1Hd6Jf3Gs5", "123e4567-e89b-12d3-a456-426614174000"
+    glued = [f"EXAMPLE_HMAC_KEY={key}", f"/dummy/{key}", f"{uuid}/{key}", f"{uuid}_{key}", f"{key}=xxxx/abcdefghijklm"]
+    for text, spans in zip(glued, entropy_of(spark, glued)):
+        at = text.index(key)
+        assert any(start <= at and end >= at + len(key) for start, end in spans)
+    rng = random.Random(5)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwyz0123456789+") for _ in range(2000))
+    (spans,) = entropy_of(spark, [blob[:1000] + "xXxx" + blob[1000:]])
+    assert sum(end - start for start, end in spans) > 1500 and not any(start < 1004 and end > 1000 for start, end in spans)
+    assert not any(entropy_of(spark, [f"example-{key}", f"KEY=your_{key}", uuid, f"/usr/{uuid}/translations_of_manual"]))
+
+
 WORDS = "a b c the of and x1".split()
 
 

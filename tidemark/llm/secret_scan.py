@@ -36,13 +36,15 @@ CLASSES = (
     CharacterClass("base64", "A-Za-z0-9+/_=-", 4.0),
 )
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
-# A candidate that holds one of these is no secret: identifiers, placeholders, alphabets; or it has no digit at all.
+# The piece of a candidate that holds one of these is no secret: identifiers, placeholders, alphabets; or it has no digit at all.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?i:example|placeholder|changeme|dummy|your[_-]|xxxx)",
     r"(?i:abcdefghijkl)|0123456789",
     r"^[^0-9]+$",
 )
+# What a match suppresses around it: up to the next = / _ (a - joins the words of one name), but not more than this.
+REACH = 2 * WINDOW
 SCALE = 1 << 20  # c * log2(c) as whole numbers, so that running sums do not drift
 
 
@@ -129,12 +131,22 @@ def class_runs(value: str, suppressed: str, window: int = WINDOW, classes: Seque
         ELSE concat(runs, array(r)) END)"""
 
 
+def _unsuppressed(value: str, allowed: Sequence[str]) -> str:
+    """SQL: the candidate with spaces in place of the pieces that an allowed pattern suppresses."""
+    near = f"[^=/_]{{0,{REACH}}}"
+    for a in allowed:
+        masked = f"""aggregate({_matches("v", f"(?:{near}(?:{a})){{1,8}}{near}")}, v, (t, m) -> concat(
+            left(t, CAST(m.start AS int)), repeat(' ', length(m.value)), substring(t, CAST(m.start AS int) + length(m.value) + 1)))"""
+        value = f"element_at(transform(array({value}), v -> IF(v RLIKE {_quoted(a)}, {masked}, v)), 1)"
+    return value
+
+
 def find_secrets(docs: DataFrame, name: str, text: str = "text", allowed: Sequence[str] = ALLOWED) -> DataFrame:
     """The documents with a column ``name``: an array of (start, rank, end, kind), sorted, in code points, end exclusive.
 
     assign, access and hex are the leftmost non-overlapping matches of their patterns, each kind for itself.  entropy
-    spans are the runs of windows with many bits a character, for the class of characters they lie in, in the candidates
-    that the allow-list lets through; they come on top and never remove a span.  Null and empty texts have no spans.  One projection over the scan: no
+    spans are the runs of windows with many bits a character, for the class of characters they lie in, in what
+    the allow-list leaves of the candidates; they come on top and never remove a span.  Null and empty texts have no spans.  One projection over the scan: no
     shuffle, no Python, and rows are handled each for itself, so repeated rows or ids do not matter.  The work grows
     with the text, and with the square of the number of matches within one text.
     """
@@ -154,7 +166,8 @@ def find_secrets(docs: DataFrame, name: str, text: str = "text", allowed: Sequen
     def suppressed(value: str) -> str:
         return " OR ".join(f"{value} RLIKE {_quoted(a)}" for a in allowed) or "false"
 
-    entropy = f"""flatten(transform(filter(`{placed[3]}`, x -> NOT ({suppressed("x.value")})), x -> transform(
+    entropy = f"""flatten(transform(transform(`{placed[3]}`,
+            x -> named_struct('start', x.start, 'value', {_unsuppressed("x.value", allowed)})), x -> transform(
         {class_runs("x.value", suppressed("p.value"))},
         r -> named_struct('start', x.start + r.start, 'rank', 3, 'end', x.start + r.end, 'kind', 'entropy'))))"""
     found = f"array_sort(concat({spans(0, f'filter(`{placed[0]}`, {secret})')}, {spans(1, f'`{placed[1]}`')}, {spans(2, f'`{placed[2]}`')}, {entropy}))"
