@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from . import decontaminate as D, embeddings as E, language_model as L, mixing, near_duplicates as N, quality as Q, repeats as R
-from . import secret_scan as S, shards, tokens as T
+from . import merkle as M, pieces as P, secret_scan as S, shards, tokens as T
 from .text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,35 @@ def op4_token_files(spark, d):
 @query
 def op7_without_repeats(spark, d):
     return R.without_repeats(table(spark, d, "documents", ["doc_id", "text"]))
+
+
+@query
+def op11_piece_tokens(spark, d):
+    model = P.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    tokens = P.encode(table(spark, d, "documents", ["doc_id", "text"]), model, ids="ids").drop("text")
+    return P.decode(tokens, model, text="decoded").select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_merkle_manifest(spark, d):
+    others = ["doc_id", "source", "lang", "n_chars"]
+    docs = table(spark, d, "documents", [*others, "text"])
+    turned = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    changed = F.when(turned & F.contains("text", F.lit("\n")), M.leaf(*others, F.replace("text", F.lit("\n"), F.lit(""))))
+    leaves = docs.select("doc_id", "source", M.leaf(*others, "text").alias("leaf"), changed.alias("changed"))
+    rows, root = M.manifest(materialize(leaves, "leaves"), "leaf")
+    folded = M.fold(F.coalesce("changed", "leaf"), "steps")
+    return rows.select(
+        "doc_id",
+        M.text_of("leaf").alias("leaf"),
+        M.text_of("subroot").alias("subroot"),
+        F.lit(root).alias("root"),
+        F.sha2(M.proof("steps"), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+        (folded == F.lit(root)).alias("verified"),
+    )
