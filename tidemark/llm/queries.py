@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_path
 from . import decontaminate as D, embeddings as E, language_model as L, mixing, near_duplicates as N, quality as Q, repeats as R
-from . import merkle as M, pieces as P, secret_scan as S, shards, tokens as T
+from . import merkle as M, pieces as P, repair as C, secret_scan as S, shards, tokens as T
 from .text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +150,46 @@ def op13_merkle_manifest(spark, d):
         folded.alias("folded_root"),
         (folded == F.lit(root)).alias("verified"),
     )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations with faults put in where a checksum of conversation and turn says so; nulls are one space."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(name("conv_id"), F.lit(":"), name("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", name("role").alias("role"), name("text").alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.filter("kind > 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"),
+        F.when(F.col("kind") == 3, 2).otherwise(1).alias("times"),
+    )
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "copy")
+
+
+@query
+def op12_repair_conversations(spark, d):
+    conversations = table(spark, d, "conversations", ["conv_id", "turn", "role", "text"])
+    order = [F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc()]
+    found = materialize(C.with_faults(damaged(conversations), "conv_id", order), "faults")
+    runs = C.runs_of(found)
+    edits = C.find_edits(runs)
+    hashes = C.line_hashes(C.apply_edits(found, edits))
+    count = lambda fault: F.count_if(F.col("fault") == fault).alias(fault)
+    spread = F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")
+    summary = found.groupBy("conv").agg(
+        F.first("conv_id").alias("_conv_id"),
+        F.coalesce(spread, F.lit(0)).alias("gaps"),
+        *[count(fault) for fault in ("blank", "duplicate", "truncated")],
+    )
+    for part in (C.illegal_pairs(runs), C.audits(edits), hashes):
+        summary = summary.join(part, "conv", "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    rows = conversations.select("conv_id").distinct()
+    return rows.join(summary, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left").select(
+        "conv_id",
+        *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )

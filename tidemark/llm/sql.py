@@ -134,3 +134,122 @@ links AS (
 ), {_components("documents", "doc_id", "links")}
 SELECT doc_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents JOIN component ON doc_id = node LEFT JOIN n USING (doc_id)"""
+
+
+def _crc32(text: str) -> str:
+    """The CRC-32 of a short ASCII text: each character is mixed in, then eight bits are shifted out."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda x: list_prepend(ascii(x)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1])))"
+    turn = "CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce(list_prepend(4294967295, {steps}), lambda c, b: {turn}), 4294967295)"
+
+
+# Shortest edits row by row: the least of (cost, letters, lines so far) for each conversation, row and state.  Two ways
+# to a state of equal cost are never one the beginning of the other, so the least letters so far stay the least.
+ORACLES["op12_repair_conversations"] = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+    {_crc32("COALESCE(conv_id::VARCHAR, ' ') || ':' || COALESCE(turn::VARCHAR, ' ')")} % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    UNNEST(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM raw WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    role[1:1] || lead(role) OVER (PARTITION BY conv_id ORDER BY i)[1:1] AS pair
+  FROM placed
+), inserts(q, q1, cost, letters, lines) AS (
+  VALUES (0, 0, 0, '', ''), (0, 2, 2, 'I', chr(10) || 'user:'), (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+    (1, 1, 0, '', ''), (1, 2, 2, 'I', chr(10) || 'user:'), (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+    (2, 2, 0, '', ''), (2, 3, 2, 'I', chr(10) || 'assistant:'), (3, 3, 0, '', ''), (3, 2, 2, 'I', chr(10) || 'user:')
+), moves(letter, q1, initial, q2, cost, role) AS (
+  VALUES ('D', 0, NULL, 0, 3, NULL), ('D', 1, NULL, 1, 3, NULL), ('D', 2, NULL, 2, 3, NULL), ('D', 3, NULL, 3, 3, NULL),
+    ('K', 0, 's', 1, 0, NULL), ('K', 0, 'u', 2, 0, NULL), ('K', 1, 'u', 2, 0, NULL), ('K', 2, 'a', 3, 0, NULL),
+    ('K', 3, 'u', 2, 0, NULL), ('R', 0, NULL, 2, 2, 'user'), ('R', 1, NULL, 2, 2, 'user'),
+    ('R', 2, NULL, 3, 2, 'assistant'), ('R', 3, NULL, 2, 2, 'user')
+), ways(conv_id, i, q, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {{'cost': 0, 'letters': '', 'lines': ''}} FROM judged
+  UNION ALL
+  SELECT conv_id, i, q2, MIN(best) FROM (
+    SELECT w.conv_id, j.i, m.q2, {{
+      'cost': w.best.cost + n.cost + m.cost + CASE WHEN j.fault = 'truncated' AND m.letter <> 'D' THEN 1 ELSE 0 END,
+      'letters': w.best.letters || n.letters || m.letter,
+      'lines': w.best.lines || n.lines
+        || CASE WHEN m.letter = 'D' THEN '' ELSE chr(10) || COALESCE(m.role, j.role) || ':' || j.text END}} AS best
+    FROM ways AS w JOIN inserts AS n ON n.q = w.q JOIN moves AS m ON m.q1 = n.q1
+    JOIN judged AS j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+    WHERE (m.letter = 'D' OR j.fault NOT IN ('blank', 'duplicate')) AND (m.initial IS NULL OR m.initial = j.role[1:1])
+  ) GROUP BY conv_id, i, q2
+), totals AS (
+  SELECT conv_id, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) AS n,
+    COUNT(*) FILTER (fault = 'blank') AS blank, COUNT(*) FILTER (fault = 'duplicate') AS duplicate,
+    COUNT(*) FILTER (fault = 'truncated') AS truncated, COUNT(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), answers AS (
+  SELECT conv_id, MIN(best) AS best FROM (
+    SELECT w.conv_id, {{'cost': w.best.cost + n.cost, 'letters': w.best.letters || n.letters, 'lines': w.best.lines || n.lines}} AS best
+    FROM ways AS w JOIN totals AS t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.n = w.i
+    JOIN inserts AS n ON n.q = w.q WHERE n.q1 IN (0, 3)
+  ) GROUP BY conv_id
+)
+SELECT c.conv_id, COALESCE(t.gaps, 0)::BIGINT AS gaps, COALESCE(t.blank, 0)::BIGINT AS blank,
+  COALESCE(t.duplicate, 0)::BIGINT AS duplicate, COALESCE(t.truncated, 0)::BIGINT AS truncated,
+  COALESCE(t.illegal, 0)::BIGINT AS illegal, COALESCE(a.best.cost, 0)::BIGINT AS cost,
+  COALESCE(a.best.letters, '') AS audit, sha256(COALESCE(a.best.lines[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c
+LEFT JOIN totals AS t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN answers AS a ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+def _field(value: str) -> str:
+    return f"COALESCE(strlen(({value})::VARCHAR) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """CTEs of the nodes (tree, level, i, n, h) above leaves (tree, i, n, h), and of what stands beside each."""
+    return f"""{name}(tree, level, i, n, h) AS (
+      SELECT tree, 0, i, n, h FROM {leaves}
+      UNION ALL SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {name}
+      WHERE n > 1 GROUP BY tree, level, i // 3, n
+    ), {name}_beside AS (
+      SELECT a.tree, a.level, a.i, COALESCE(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+        COALESCE(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+      FROM {name} AS a LEFT JOIN {name} AS b
+        ON a.tree = b.tree AND a.level = b.level AND a.i // 3 = b.i // 3 AND a.i <> b.i
+      WHERE a.n > 1 GROUP BY a.tree, a.level, a.i
+    )"""
+
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, {_leaf("text")} AS leaf,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS changed
+  FROM documents
+), leaves AS (
+  SELECT doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    COUNT(*) OVER (PARTITION BY tree) AS n, leaf AS h, changed FROM docs
+), {_tree("lower_nodes", "leaves")}, subroots AS (
+  SELECT 0 AS tree, tree AS i, COUNT(*) OVER () AS n, h FROM lower_nodes WHERE n = 1
+), {_tree("upper_nodes", "subroots")}, climb(doc_id, tree, leaf, first, level, i, h, proof) AS (
+  SELECT doc_id, tree, h, i, 0, i, changed, '' FROM leaves
+  UNION ALL SELECT c.doc_id, c.tree, c.leaf, c.first, c.level + 1, c.i // 3, sha256(s.before || c.h || s.after), proof || s.before || s.after
+  FROM climb AS c JOIN lower_nodes_beside AS s ON s.tree = c.tree AND s.level = c.level AND s.i = c.i
+), finish(doc_id, tree, leaf, first, level, i, h, proof) AS (
+  SELECT c.doc_id, c.tree, c.leaf, c.first, 0, c.tree, c.h, c.proof FROM climb AS c
+  JOIN lower_nodes AS n ON n.tree = c.tree AND n.level = c.level AND n.i = c.i AND n.n = 1
+  UNION ALL SELECT c.doc_id, c.tree, c.leaf, c.first, c.level + 1, c.i // 3, sha256(s.before || c.h || s.after), proof || s.before || s.after
+  FROM finish AS c JOIN upper_nodes_beside AS s ON s.level = c.level AND s.i = c.i
+)
+SELECT f.doc_id, f.leaf, r.h AS subroot, n.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = n.h AS verified
+FROM finish AS f JOIN upper_nodes AS n ON n.level = f.level AND n.n = 1 JOIN subroots AS r ON r.i = f.tree
+"""
