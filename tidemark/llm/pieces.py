@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, types as T
 from .text import with_column
 
 SPACE = "▁"
-CACHED_WORDS = 200_000
-CACHED_PAIRS = 400_000
+CACHED_WORDS = 100_000
+CACHED_PAIRS = 200_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces, as model files number them
 
 
