@@ -135,7 +135,8 @@ def test_several_additive_measures(spark):
 
 @pytest.mark.parametrize("gaps", ["regular", "random", "clumped"])
 @pytest.mark.parametrize("every", [0.5, 3, 1000])
-def test_commit_chain(spark, gaps, every):
+@pytest.mark.parametrize("options", [{}, {"block": 1}, {"block": 7}, {"block": 7, "walked": 0}])
+def test_commit_chain(spark, gaps, every, options):
     import random
 
     rng = random.Random(7)
@@ -151,7 +152,7 @@ def test_commit_chain(spark, gaps, every):
         if due is None or t >= due:
             expected.append(t)
             due = t + every * HOUR
-    got = commit_chain(log, hours(every), micros_of(times[0]), micros_of(times[-1]))
+    got = commit_chain(log, hours(every), micros_of(times[0]), micros_of(times[-1]), **options)
     assert sorted(r[0] for r in got.collect()) == [micros_of(t) for t in expected]
 
 

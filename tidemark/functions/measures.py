@@ -1,13 +1,15 @@
 """Measures over served rows.
 
 An additive measure is one column expression per row; its sum is maintained along a timeline.  Sums run over
-decimals, so a running sum equals the direct sum exactly.  A snapshot measure is a function from a served DataFrame
+decimals, so a running sum equals the direct sum exactly.  ``Largest``, ``Smallest`` and ``DistinctCount`` run along a
+timeline too, although rows cannot be subtracted from them.  A snapshot measure is a function from a served DataFrame
 to a DataFrame and is summarised to one value per snapshot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -38,6 +40,30 @@ def as_total(col: Column) -> Column:
     return F.coalesce(col.cast("double"), F.lit(0.0))
 
 
+@dataclass(frozen=True)
+class Largest:
+    """The greatest value of a column among the served rows; no value where there is none."""
+
+    column: Column
+    label: str = "Largest"
+
+
+@dataclass(frozen=True)
+class Smallest:
+    """The least value of a column among the served rows; no value where there is none."""
+
+    column: Column
+    label: str = "Smallest"
+
+
+@dataclass(frozen=True)
+class DistinctCount:
+    """How many different values of a column the served rows have; nulls are not counted."""
+
+    column: Column
+    label: str = "Distinct Count"
+
+
 ADDITIVE_MEASURES: Mapping[str, Callable[[], Column]] = {"total_sales": sales_amount}
 MEASURE_LABELS: Mapping[str, str] = {"total_sales": "Total Sales"}
 
@@ -73,11 +99,6 @@ def max_visible_arrival(served: DataFrame) -> DataFrame:
     return served.agg(F.max("arrival_time").alias("max_visible_arrival_time"))
 
 
-def visible_horizon(cutoff: Column, table_maximum: Column) -> Column:
-    """Later of a policy's cutoff and the newest served arrival; either may be null."""
-    return F.greatest(cutoff, table_maximum)
-
-
 SNAPSHOT_MEASURES: Mapping[str, SnapshotMeasure] = {"total_sales": total_sales}
 
 

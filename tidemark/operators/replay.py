@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clock import ceil_div, hours, micros_of, to_micros, to_timestamp
 from ..functions.ladder import running, time_widths
-from ..functions.measures import ADDITIVE_MEASURES, MEASURE_LABELS, as_total, is_live
+from ..functions.measures import ADDITIVE_MEASURES, MEASURE_LABELS, DistinctCount, Largest, Smallest, as_total, is_live
 from ..functions.skew import HOT_ROWS, hot_groups, same_keys, split_hot
 from ..session import materialize
 from ..sources.changelog import Profile, profile as profile_of
 from .policies import Policy, Prepared, Row, WindowGate
+from .spans import covering, distinct_counts
 
 TIMELINE_COLUMNS = (
     "policy",
@@ -57,7 +58,8 @@ class Run:
 class Replay:
     """Policies applied to one log.
 
-    ``measures`` maps names to additive per-row columns.  The log's size and bounds are read once (``profile``).
+    ``measures`` maps names to additive per-row columns, or to the greatest, least or number of different values of
+    one.  The log's size and bounds are read once (``profile``).
     """
 
     def __init__(
@@ -66,14 +68,16 @@ class Replay:
         runs: Sequence[Policy | Run],
         *,
         key: str = "sale_id",
-        measures: Mapping[str, Column] | None = None,
+        measures: Mapping[str, Column | Largest | Smallest | DistinctCount] | None = None,
         profile: Profile | None = None,
         hot_rows: int = HOT_ROWS,
     ):
         self.log = log
         self.runs = [r if isinstance(r, Run) else Run(r) for r in runs]
         self.key = key
-        self.measures = dict(measures or {n: m() for n, m in ADDITIVE_MEASURES.items()})
+        measures = dict(measures or {n: m() for n, m in ADDITIVE_MEASURES.items()})
+        self.measures = {n: m for n, m in measures.items() if isinstance(m, Column)}
+        self.lasting = {n: m for n, m in measures.items() if n not in self.measures}
         self.hot_rows = hot_rows
         gated = any(r.policy.needs_event_time for r in self.runs)
         self.profile = profile if profile is not None else profile_of(log, event_bounds=gated)
@@ -107,6 +111,7 @@ class Replay:
             *([to_micros("event_time").alias("event_us")] if has_event_time else []),
             is_live().alias("live"),
             *[m.alias(f"measure_{i}") for i, m in enumerate(self.measures.values())],
+            *[m.column.alias(f"lasting_{i}") for i, m in enumerate(self.lasting.values())],
         )
         kept = rows.columns
         for i, prepared in enumerate(self._prepared):
@@ -324,8 +329,7 @@ class Replay:
             },
             by=["slot"],
             at={"observed": F.max("observed")},
-            # A row adds up to three positions; grid points and marks come on top.
-            widths=time_widths(4 * self.profile.rows + max((g.size for g in grids if g is not None), default=0)),
+            widths=self._widths,
             bound=None if None in grids else max((g.size for g in grids), default=0),
         )
         return found.filter("observed").withColumn("event_count", F.coalesce("event_count", F.lit(0)))
@@ -353,8 +357,52 @@ class Replay:
         )
         return seen.filter(~F.col("slot").isin(regular)).unionByName(behind)
 
+    @property
+    def _widths(self) -> tuple[int, int]:
+        """Slots for the positions of one policy: a row adds up to three, grid points and marks come on top."""
+        grids = [p.grid(self.profile) for p in self._distinct_policies]
+        return time_widths(4 * self.profile.rows + max((g.size for g in grids if g is not None), default=0))
+
+    def _lasting_points(self, points: DataFrame) -> DataFrame:
+        """(slot, position, metric, value, value_label) of the measures that rows cannot be subtracted from."""
+        names = list(self.lasting)
+        spans = self.per_policy(*[f"lasting_{i}" for i in range(len(names))])
+        start, end = F.col("visible"), F.col("superseded")
+        kinds = {Largest: "max", Smallest: "min"}
+        extremes = {n: (kinds[type(m)], F.col(f"lasting_{i}")) for i, (n, m) in enumerate(self.lasting.items()) if type(m) in kinds}
+        found = []
+        if extremes:
+            found.append((covering(spans, points, start, end, extremes, by=["slot"], widths=self._widths), list(extremes)))
+        for i, (name, measure) in enumerate(self.lasting.items()):
+            if isinstance(measure, DistinctCount):
+                value = F.col(f"lasting_{i}")
+                found.append((distinct_counts(spans, points, start, end, value, name, by=["slot"], widths=self._widths), [name]))
+        rows = None
+        for values, metrics in found:
+            each = F.array(
+                *[
+                    F.struct(
+                        F.lit(n).alias("metric"),
+                        F.col(f"`{n}`").cast("double").alias("value"),
+                        F.lit(MEASURE_LABELS.get(n, self.lasting[n].label)).alias("value_label"),
+                    )
+                    for n in metrics
+                ]
+            )
+            values = values.select("slot", "position", F.explode(each).alias("_m")).filter(F.col("_m.value").isNotNull())
+            rows = values if rows is None else rows.unionByName(values)
+        return rows
+
     def timeline(self) -> DataFrame:
-        """One row per run, measure and observation point: the served value and how far it reaches."""
+        """One row per run, measure and observation point: the served value and how far it reaches.
+
+        A measure without a value at a point, such as a maximum of nothing, has no row there.
+        """
+        points, lasting = self.timeline_points(), None
+        if self.lasting:
+            points = materialize(points, "points")
+            lasting = self._lasting_points(points.select("slot", "position"))
+            lasting = points.select("slot", "position", "event_count", "cutoff").join(lasting, ["slot", "position"])
         measures = F.array(
             *[
                 F.struct(
@@ -365,11 +413,16 @@ class Replay:
                 for m, name in enumerate(self.measures)
             ]
         )
-        rows = self.per_run(self.timeline_points()).select(
+        rows = None
+        if self.measures:
+            rows = points.select("slot", "position", "event_count", "cutoff", F.explode(measures).alias("_m"))
+        if lasting is not None:
+            rows = lasting if rows is None else rows.unionByName(lasting)
+        rows = self.per_run(rows).select(
             *self.labels(),
             to_timestamp("position").alias("arrival_time"),
             F.col("event_count"),
-            F.explode(measures).alias("_m"),
+            "_m",
             to_timestamp("cutoff").alias("max_visible_arrival_time"),
         )
         labels = [c for c in ("scenario", "policy") if c in rows.columns]

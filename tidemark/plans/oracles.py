@@ -760,3 +760,76 @@ for _name in ("window_gate", "reconcile", "commit"):
     ORACLES[f"timeline_{_name}_tied"] = tied(ORACLES[f"timeline_{_name}"])
     ORACLES[f"timeline_{_name}_hot_keys"] = ORACLES[f"timeline_{_name}_tied"]
     ORACLES[f"loads_{_name}_hot_keys"] = tied(ORACLES[f"loads_{_name}"])
+
+
+# -- measures that rows cannot be subtracted from ------------------------------------------------------------
+
+
+def living_timeline(metric: str, label: str, value: str) -> str:
+    """A value of all rows that are the newest of their key and live, looked up anew at every arrival."""
+    return with_log(
+        f"""SELECT 'immediate' AS policy, '{metric}' AS metric, {ts('a')} AS arrival_time, CAST(n AS BIGINT) AS event_count,
+          ROUND(value, 6) AS value, '{label}' AS value_label, {ts('a')} AS max_visible_arrival_time
+        FROM (
+          SELECT counts.a, ANY_VALUE(n) AS n, CAST({value} AS DOUBLE) AS value
+          FROM counts LEFT JOIN life ON life.a <= counts.a AND life.gone > counts.a AND NOT life.is_deleted GROUP BY counts.a
+        ) WHERE value IS NOT NULL""",
+        "life AS (SELECT *, LEAD(a, 1, 9223372036854775807) OVER (PARTITION BY sale_id ORDER BY a, event_id) AS gone FROM v)",
+        COUNTS,
+    )
+
+
+ORACLES["timeline_max_sale"] = living_timeline("max_sale", "Largest", "MAX(life.m)")
+ORACLES["timeline_distinct_products"] = living_timeline(
+    "distinct_products", "Distinct Count", "COUNT(DISTINCT product_name || '/' || region_name || '/' || quantity)"
+)
+ORACLES["timeline_sale_range"] = with_log(
+    f"""SELECT p AS policy, metric, {ts('t')} AS arrival_time, CAST(n AS BIGINT) AS event_count, ROUND(value, 6) AS value,
+      value_label, {ts('c')} AS max_visible_arrival_time
+    FROM (
+      SELECT p, t, c, n FROM refreshed ASOF JOIN counts ON refreshed.t >= counts.a
+      UNION ALL SELECT p, a, c, n FROM counts ASOF JOIN reconciled ON counts.a >= reconciled.t
+    ) JOIN metrics USING (c) WHERE value IS NOT NULL""",
+    f"refreshed AS ({grid_points('full_refresh', 76)})",
+    f"reconciled AS ({reconcile_cuts('lagged_reconcile', 12, 5)})",
+    "cut AS (SELECT * FROM refreshed UNION ALL SELECT * FROM reconciled)",
+    CUTOFF_VALUES,
+    f"""metrics AS (
+      SELECT c, 'total_sales' AS metric, value, 'Total Sales' AS value_label FROM vals
+      UNION ALL SELECT c, 'max_sale', CAST(MAX(m) AS DOUBLE), 'Largest' FROM state GROUP BY c
+      UNION ALL SELECT c, 'min_sale', CAST(MIN(m) AS DOUBLE), 'Smallest' FROM state GROUP BY c
+    )""",
+    COUNTS,
+)
+
+# -- streams -------------------------------------------------------------------------------------------------
+
+ORACLES["stream_keyed_state"] = ORACLES["stream_latest_state"]
+ORACLES["stream_dedup_torn"] = tied(with_log(f"SELECT {EVENT_COLUMNS} FROM v"))
+ORACLES["stream_window_gate"] = tied(with_log(f"SELECT {EVENT_COLUMNS} FROM ({gate(6, 12)})"))
+
+# -- stored states, merges, calendars ------------------------------------------------------------------------
+
+ORACLES["snapshot_from_stored"] = ORACLES["snapshot_as_of"]
+ORACLES["bucketed_merge"] = ORACLES["incremental_merge"]
+ORACLES["bucketed_backfill"] = ORACLES["backfill_partition"]
+
+# Each refresh ranks what it reads.
+_CALENDAR = f"""
+refreshes AS (SELECT seen, epoch_us(seen) AS t, BOOL_OR(user_id % 10 = 0) AS whole
+  FROM (SELECT user_id, MAX(ts) AS seen FROM events GROUP BY user_id) GROUP BY seen),
+loaded AS (
+  SELECT * FROM (
+    SELECT seen, event_id, m, is_deleted, ROW_NUMBER() OVER (PARTITION BY seen, sale_id ORDER BY a DESC, event_id DESC) AS rn
+    FROM refreshes JOIN v ON a <= t AND (whole OR a >= t - 24 * {HOUR})
+  ) WHERE rn = 1 AND NOT is_deleted
+)"""
+ORACLES["calendar_loads"] = with_log(
+    "SELECT event_id, COUNT(*) AS load_count, MIN(seen) AS first_loaded FROM loaded GROUP BY event_id", _CALENDAR
+)
+ORACLES["calendar_loads_hot_keys"] = ORACLES["calendar_loads"]
+ORACLES["calendar_refreshes"] = with_log(
+    "SELECT seen AS \"at\", COUNT(event_id) AS loaded_rows, ROUND(CAST(COALESCE(SUM(m), 0) AS DOUBLE), 6) AS loaded_sales "
+    "FROM refreshes LEFT JOIN loaded USING (seen) GROUP BY seen",
+    _CALENDAR,
+)

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import measures as M
 from ..functions.clock import hours, to_micros, to_timestamp
-from ..operators import asof, maintain, policies as P, quality as Q, reports, sequence, views
+from ..operators import asof, calendar, maintain, policies as P, quality as Q, reports, sequence, views
+from ..operators.keyed_table import KeyedTable
 from ..operators.replay import Replay, Run
 from ..session import materialize, scratch_path
-from ..sources import changelog as C, sinks
-from ..streaming import jobs, landing
+from ..sources import changelog as C, sinks, snapshots
+from ..streaming import gate, jobs, keyed, landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -148,6 +149,16 @@ def snapshot_as_of(spark, d):
     return views.snapshot_as_of(C.changelog(spark, d), AT)
 
 
+@query
+def snapshot_from_stored(spark, d):
+    """The state as of a time from the newest stored state and the tail of a stored log."""
+    root = scratch_path(spark, "states")
+    sinks.save_log(C.changelog(spark, d), f"{root}/log")
+    for at in (CUTS[0], EARLIER):
+        snapshots.store_state(spark, f"{root}/log", f"{root}/states", at)
+    return snapshots.state_as_of(spark, f"{root}/log", f"{root}/states", AT)
+
+
 @query
 def latest_rows(spark, d):
     return views.latest_rows(C.changelog(spark, d))
@@ -361,6 +372,61 @@ for _name, _policy in LOADS.items():
     REGISTRY[_name] = _loads(_policy)
 
 
+def sold_item() -> Column:
+    return F.concat_ws("/", "product_name", "region_name", F.col("quantity").cast("string"))
+
+
+@query
+def timeline_max_sale(spark, d):
+    """The greatest single sale that readers see, at every arrival."""
+    measures = {"max_sale": M.Largest(M.sales_amount())}
+    return rounded(Replay(C.changelog(spark, d), [P.Immediate()], measures=measures).timeline())
+
+
+@query
+def timeline_sale_range(spark, d):
+    """Total, greatest and least sale side by side, behind two policies."""
+    measures = {"total_sales": M.sales_amount(), "max_sale": M.Largest(M.sales_amount()), "min_sale": M.Smallest(M.sales_amount())}
+    return rounded(Replay(C.changelog(spark, d), [P.FullRefresh(76), P.LaggedReconcile(12, 5)], measures=measures).timeline())
+
+
+@query
+def timeline_distinct_products(spark, d):
+    """How many different products (by region and quantity) the served sales have, at every arrival."""
+    measures = {"distinct_products": M.DistinctCount(sold_item())}
+    return rounded(Replay(C.changelog(spark, d), [P.Immediate()], measures=measures).timeline())
+
+
+def _calendar(spark, d):
+    """Refreshes at the times at which users were last seen; those of every tenth user read everything."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    last = events.groupBy("user_id").agg(F.max("ts").alias("at"))
+    return last.select(F.col("at").cast("timestamp_ntz").alias("at"), (F.col("user_id") % 10 == 0).alias("full"))
+
+
+def _calendar_loads(spark, d, hot_rows: int = C.HOT_ROWS):
+    log = C.changelog(spark, d, [c for c in C.EVENT_COLUMNS if c != "event_time"])
+    return calendar.calendar_loads(log, _calendar(spark, d), 24, log.count(), hot_rows=hot_rows)
+
+
+@query
+def calendar_loads(spark, d):
+    """How often refreshes at irregular times write each row, and when readers see it first."""
+    return calendar.load_counts(_calendar_loads(spark, d))
+
+
+@query
+def calendar_loads_hot_keys(spark, d):
+    """The same with a limit at which nearly every key counts as hot."""
+    return calendar.load_counts(_calendar_loads(spark, d, hot_rows=1))
+
+
+@query
+def calendar_refreshes(spark, d):
+    """What each refresh of the calendar loads."""
+    return rounded(calendar.refresh_totals(_calendar_loads(spark, d), _calendar(spark, d)))
+
+
 @query
 def rows_loaded(spark, d):
     """Load volume of several policies from one pass over the log."""
@@ -595,6 +661,32 @@ def backfill_partition(spark, d):
     return maintain.backfill_partition(views.snapshot_as_of(log, CUTS[0]), log, EARLIER, AT)
 
 
+def _keyed_table(spark, state: DataFrame) -> KeyedTable:
+    path = scratch_path(spark, "keyed-table")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in C.LOG_SCHEMA.fields)
+    table = KeyedTable(spark, f"tidemark_{path.rpartition('-')[2]}", path, ddl)
+    table.fill(state)
+    return table
+
+
+@query
+def bucketed_merge(spark, d):
+    """Two merges into a stored table, each of which rewrites the buckets it touches."""
+    log = materialize(C.changelog(spark, d), "log")
+    table = _keyed_table(spark, views.snapshot_as_of(log, CUTS[0]))
+    table.merge(log, CUTS[0], EARLIER)
+    table.merge(log, EARLIER, AT)
+    return table.read()
+
+
+@query
+def bucketed_backfill(spark, d):
+    log = materialize(C.changelog(spark, d), "log")
+    table = _keyed_table(spark, views.snapshot_as_of(log, CUTS[0]))
+    table.backfill(log, EARLIER, AT)
+    return table.read()
+
+
 @query
 def rows_of_keys(spark, d):
     log = C.changelog(spark, d)
@@ -686,3 +778,46 @@ def stream_window_native(spark, d):
         ),
     )
     return rounded(jobs.read_windowed_sales(spark, f"{root}/table").drop("batch_id"))
+
+
+@query
+def stream_keyed_state(spark, d):
+    """The latest state from the state store, over three runs that each go on where the one before stopped."""
+    root = scratch_path(spark, "keyed")
+    landing.replay_in_steps(
+        C.changelog(spark, d), CUTS, f"{root}/in",
+        lambda: keyed.start_keyed_state(jobs.read_stream(spark, f"{root}/in"), f"{root}/checkpoint"),
+    )
+    return keyed.read_keyed_state(spark, f"{root}/checkpoint")
+
+
+def _torn_log(spark, d):
+    """The tied log in three parts cut within a day, so that rows of one key and arrival are torn apart."""
+    log, day = _tied_log(spark, d), F.col("arrival_time")
+    cuts = [F.lit(c).cast("timestamp_ntz") for c in CUTS]
+    early = [(day < c) | ((day == c) & (F.col("event_id") % 2 == 0)) for c in cuts]
+    return [log.filter(early[0]), log.filter(~early[0] & early[1]), log.filter(~early[1])]
+
+
+@query
+def stream_dedup_torn(spark, d):
+    """One row for each key and arrival, though ties lie in different micro-batches."""
+    root = scratch_path(spark, "torn")
+    for part in _torn_log(spark, d):
+        landing.land(
+            part, f"{root}/in",
+            lambda: keyed.start_dedup(jobs.read_stream(spark, f"{root}/in"), f"{root}/table", f"{root}/checkpoint"),
+        )
+    return keyed.read_dedup(spark, f"{root}/table", f"{root}/checkpoint")
+
+
+@query
+def stream_window_gate(spark, d):
+    """The rows that the exact gate accepts from a stream whose cuts tear arrivals apart."""
+    root = scratch_path(spark, "gate")
+    for part in _torn_log(spark, d):
+        landing.land(
+            part, f"{root}/in",
+            lambda: gate.start_gate(jobs.read_stream(spark, f"{root}/in"), root, f"{root}/checkpoint", 6, 12),
+        )
+    return gate.read_gate(spark, root, 6, 12)

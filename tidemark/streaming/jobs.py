@@ -30,7 +30,7 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path)
 
 
-def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def start_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
@@ -39,17 +39,17 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
     )
 
 
-def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def _log_batch(batch: DataFrame, root: str, batch_id: int, key: str) -> DataFrame:
     """Store the observed rows of a batch and read them back, so that the source is read once for each batch."""
-    _write_batch(observed_log(batch, key), f"{root}/log", batch_id)
-    return batch.sparkSession.read.schema(_LOG_DDL).parquet(f"{root}/log/batch_id={batch_id}")
+    write_batch(observed_log(batch, key), f"{root}/log", batch_id)
+    return batch.sparkSession.read.schema(LOG_DDL).parquet(f"{root}/log/batch_id={batch_id}")
 
 
-def _read_batches(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+def read_batches(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
     """All batches of a sink, or those before one; empty when nothing was written yet."""
     full = f"{schema}, batch_id bigint"
     try:
@@ -61,7 +61,7 @@ def _read_batches(spark: SparkSession, path: str, schema: str, before: int | Non
     return rows if before is None else rows.filter(F.col("batch_id") < before)
 
 
-_LOG_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LOG_SCHEMA.fields)
+LOG_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LOG_SCHEMA.fields)
 
 
 # -- latest state --------------------------------------------------------------------------------------------
@@ -71,13 +71,13 @@ def start_latest_state(stream: DataFrame, table: str, checkpoint: str, key: str
     """Keep the newest change per key; a batch writes one row per key it touches, tombstones included."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(latest_rows(batch, key=key), table, batch_id)
+        write_batch(latest_rows(batch, key=key), table, batch_id)
 
-    return _start(stream, each, checkpoint)
+    return start_batches(stream, each, checkpoint)
 
 
 def read_latest_state(spark: SparkSession, table: str, key: str = KEY) -> DataFrame:
-    newest = latest_rows(_read_batches(spark, table, _LOG_DDL).select(*EVENT_COLUMNS), key=key)
+    newest = latest_rows(read_batches(spark, table, LOG_DDL).select(*EVENT_COLUMNS), key=key)
     return newest.filter(is_live())
 
 
@@ -102,7 +102,7 @@ def start_reconcile(
         bounds = profile(batch)
         if bounds.empty:
             return
-        before = _read_batches(spark, f"{root}/fired", _FIRED_DDL, before=batch_id)
+        before = read_batches(spark, f"{root}/fired", _FIRED_DDL, before=batch_id)
         first, last_cell, last_cutoff = before.agg(
             F.min("fired_us"), F.max("cell"), F.max("cutoff_us")
         ).first()  # one row
@@ -114,16 +114,16 @@ def start_reconcile(
             .filter(F.col("cell") > (-1 if last_cell is None else last_cell))
             .withColumn("cutoff_us", F.col("fired_us") - late)
         )
-        _write_batch(fired, f"{root}/fired", batch_id)
+        write_batch(fired, f"{root}/fired", batch_id)
         cutoff = spark.read.schema(_FIRED_DDL).parquet(f"{root}/fired/batch_id={batch_id}").agg(F.max("cutoff_us"))
         cutoff = cutoff.first()[0]
         if cutoff is None:
             return
-        log = _read_batches(spark, f"{root}/log", _LOG_DDL).select(*EVENT_COLUMNS)
+        log = read_batches(spark, f"{root}/log", LOG_DDL).select(*EVENT_COLUMNS)
         news = increment(log, None if last_cutoff is None else datetime_of(last_cutoff), datetime_of(cutoff))
-        _write_batch(latest_rows(news, key=key), f"{root}/served", batch_id)
+        write_batch(latest_rows(news, key=key), f"{root}/served", batch_id)
 
-    return _start(stream, each, checkpoint)
+    return start_batches(stream, each, checkpoint)
 
 
 def read_reconciled(spark: SparkSession, root: str, key: str = KEY) -> DataFrame:
@@ -131,7 +131,7 @@ def read_reconciled(spark: SparkSession, root: str, key: str = KEY) -> DataFrame
 
 
 def read_reconciles(spark: SparkSession, root: str) -> DataFrame:
-    return _read_batches(spark, f"{root}/fired", _FIRED_DDL)
+    return read_batches(spark, f"{root}/fired", _FIRED_DDL)
 
 
 # -- commit snapshots ----------------------------------------------------------------------------------------
@@ -147,25 +147,25 @@ def start_commits(stream: DataFrame, root: str, checkpoint: str, every: float, k
         spark = batch.sparkSession
         batch = _log_batch(batch, root, batch_id, key)
         last_commit = (
-            _read_batches(spark, f"{root}/commits", _COMMIT_DDL, before=batch_id).agg(F.max("commit_us")).first()[0]
+            read_batches(spark, f"{root}/commits", _COMMIT_DDL, before=batch_id).agg(F.max("commit_us")).first()[0]
         )
         due = batch
         if last_commit is not None:
             due = batch.filter(to_micros("arrival_time") >= max(last_commit + step, last_commit + 1))
         bounds = profile(due)
         commits = commit_chain(due, step, bounds.first_arrival, bounds.last_arrival, bounds.rows)
-        _write_batch(commits.select("commit_us", to_timestamp("commit_us").alias("commit_cutoff")), f"{root}/commits", batch_id)
+        write_batch(commits.select("commit_us", to_timestamp("commit_us").alias("commit_cutoff")), f"{root}/commits", batch_id)
 
-    return _start(stream, each, checkpoint)
+    return start_batches(stream, each, checkpoint)
 
 
 def read_commits(spark: SparkSession, root: str) -> DataFrame:
-    return _read_batches(spark, f"{root}/commits", _COMMIT_DDL)
+    return read_batches(spark, f"{root}/commits", _COMMIT_DDL)
 
 
 def read_committed(spark: SparkSession, root: str, key: str = KEY) -> DataFrame:
     """State as of the newest commit, whatever was logged after it."""
-    log = _read_batches(spark, f"{root}/log", _LOG_DDL).select(*EVENT_COLUMNS)
+    log = read_batches(spark, f"{root}/log", LOG_DDL).select(*EVENT_COLUMNS)
     return committed_snapshot(log, read_commits(spark, root), key)
 
 
@@ -202,10 +202,10 @@ _WINDOW_DDL = "window_start timestamp_ntz, window_end timestamp_ntz, total_sales
 def start_windowed_sales(
     stream: DataFrame, table: str, checkpoint: str, size: str, lateness: str
 ) -> StreamingQuery:
-    return _start(
-        windowed_sales(stream, size, lateness), lambda batch, i: _write_batch(batch, table, i), checkpoint
+    return start_batches(
+        windowed_sales(stream, size, lateness), lambda batch, i: write_batch(batch, table, i), checkpoint
     )
 
 
 def read_windowed_sales(spark: SparkSession, table: str) -> DataFrame:
-    return _read_batches(spark, table, _WINDOW_DDL)
+    return read_batches(spark, table, _WINDOW_DDL)

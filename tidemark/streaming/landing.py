@@ -23,6 +23,10 @@ def replay_in_steps(
             rows = rows.filter(F.col("arrival_time") > ntz(lower))
         if upper is not None:
             rows = rows.filter(F.col("arrival_time") <= ntz(upper))
-        rows.select(*EVENT_COLUMNS).write.mode("append").parquet(folder)
-        query = start()
-        query.awaitTermination()
+        land(rows, folder, start)
+
+
+def land(rows: DataFrame, folder: str, start: Callable[[], StreamingQuery]) -> None:
+    """Add rows to a landing folder and let the job catch up."""
+    rows.select(*EVENT_COLUMNS).write.mode("append").parquet(folder)
+    start().awaitTermination()
