@@ -276,14 +276,15 @@ def lag_metrics(grid: str) -> str:
     """CTE lags(p, cadence, lag) over a grid of arrivals and CTE fresh(p, cadence, longest, p95)."""
     return f"""
     lags AS (
-      SELECT p, cadence, GREATEST(a - c, 0) / 6e7 AS lag FROM (
+      SELECT p, cadence, GREATEST(a - COALESCE(c, t0), 0) / 6e7 AS lag, c IS NULL AS unserved FROM (
         SELECT r.p, r.cadence, r.a, cut.c FROM
           (SELECT * FROM (SELECT DISTINCT p, cadence FROM cut), ({grid})) AS r
-          ASOF JOIN cut ON r.p = cut.p AND r.cadence = cut.cadence AND r.a >= cut.t
-      )
+          ASOF LEFT JOIN cut ON r.p = cut.p AND r.cadence = cut.cadence AND r.a >= cut.t
+      ), b
     ),
     fresh AS (
-      SELECT p, cadence, MAX(lag) AS longest, QUANTILE_CONT(lag, 0.95) AS p95 FROM lags GROUP BY p, cadence
+      SELECT p, cadence, MAX(lag) AS longest, QUANTILE_CONT(lag, 0.95) AS p95,
+        COUNT(*) FILTER (unserved) AS unserved FROM lags GROUP BY p, cadence
     )"""
 
 
@@ -303,7 +304,7 @@ def tied(sql: str) -> str:
 
 FRESHNESS = with_log(
     """SELECT p AS policy, ROUND(longest, 6) AS freshness_max_minutes, ROUND(p95, 6) AS freshness_p95_minutes,
-         CAST(0 AS BIGINT) AS freshness_unserved_points FROM fresh""",
+         unserved AS freshness_unserved_points FROM fresh""",
     f"""cut AS (
       SELECT *, 76 AS cadence FROM ({grid_points('full_refresh', 76)})
       UNION ALL SELECT *, 36 FROM ({grid_points('hot_window', 36)})
@@ -382,14 +383,15 @@ def _window(n: str, name: str, hours: int, delay: int) -> str:
       CAST({n}_ratio + 1e-6 >= {t} AS VARCHAR) AS {name}_accuracy_pass"""
 
 
-EVALUATE = with_log(
-    f"""
-    SELECT scenario, p AS policy,
-      CASE p WHEN 'immediate' THEN '{{}}' WHEN 'full_refresh' THEN '{{"every":6.0}}'
-             ELSE '{{"every":12.0,"lag":5.0}}' END AS policy_params,
+def outcome_query(params: str, still: Sequence[str], *ctes: str, recursive: bool = False) -> str:
+    """All outcome fields; ``still``: revisions, their ratio, sum and greatest as SQL."""
+    revisions, share, total, most = still
+    return with_log(
+        f"""
+    SELECT scenario, p AS policy, {params} AS policy_params,
       loaded AS rows_loaded_count, CAST(f_target AS DOUBLE) AS freshness_target_minutes,
       ROUND(longest, 6) AS freshness_max_minutes, ROUND(p95, 6) AS freshness_p95_minutes,
-      CAST(0 AS BIGINT) AS freshness_unserved_points, CAST(f_pass AS VARCHAR) AS freshness_pass,
+      unserved AS freshness_unserved_points, CAST(f_pass AS VARCHAR) AS freshness_pass,
       CAST(l_target AS DOUBLE) AS live_accuracy_target_ratio, {_when('l_target', 'l_truth')} AS live_accuracy_truth_value,
       {_when('l_target', 'l_served')} AS live_accuracy_served_value,
       {_when('l_target', 'ROUND(l_served - l_truth, 6)')} AS live_accuracy_delta,
@@ -398,11 +400,20 @@ EVALUATE = with_log(
       {_window('d', 'daily_window', 24, 8)}, {_window('w', 'weekly_window', 168, 0)},
       CAST(s_target AS DOUBLE) AS stability_target_revision_ratio,
       {_when('s_target', 'CAST(COALESCE(transitions, 0) AS DOUBLE)')} AS stability_same_horizon_transitions,
-      {_when('s_target', '0.0')} AS stability_revision_count,
-      {_when('s_target', '0.0')} AS stability_revision_ratio, {_when('s_target', TRUE_TEXT)} AS stability_pass,
-      {_when('s_target', TRUE_TEXT)} AS stability_evaluable, {_when('s_target', '0.0')} AS stability_total_abs_change,
-      {_when('s_target', '0.0')} AS stability_max_abs_change, {AT} AS observation_time
+      {_when('s_target', revisions)} AS stability_revision_count,
+      {_when('s_target', share)} AS stability_revision_ratio,
+      {_when('s_target', f"CAST({share} <= s_target + 1e-9 AS VARCHAR)")} AS stability_pass,
+      {_when('s_target', TRUE_TEXT)} AS stability_evaluable, {_when('s_target', total)} AS stability_total_abs_change,
+      {_when('s_target', most)} AS stability_max_abs_change, {AT} AS observation_time
     FROM out""",
+        *ctes,
+        recursive=recursive,
+    )
+
+
+EVALUATE = outcome_query(
+    """CASE p WHEN 'immediate' THEN '{}' WHEN 'full_refresh' THEN '{"every":6.0}' ELSE '{"every":12.0,"lag":5.0}' END""",
+    ("0.0", "0.0", "0.0", "0.0"),
     *outcome_ctes((6,), True),
 )
 
@@ -833,3 +844,112 @@ ORACLES["calendar_refreshes"] = with_log(
     "FROM refreshes LEFT JOIN loaded USING (seen) GROUP BY seen",
     _CALENDAR,
 )
+
+# -- a study of all seven policies ---------------------------------------------------------------------------
+# Quality is read from the timelines as a user sees them, and from the state that each policy serves at the end.
+
+SEVEN = {
+    "immediate": ("{}", "timeline_immediate", "loads_immediate"),
+    "full_refresh": ('{"every":6.0}', "timeline_full_refresh", "loads_full_refresh"),
+    "hot_window": ('{"every":36.0,"full_every":120.0,"hot":24.0}', "timeline_hot_window", "loads_hot_window"),
+    "lagged_reconcile": ('{"every":12.0,"lag":5.0}', "timeline_reconcile", "loads_reconcile"),
+    "window_gate": ('{"lateness":12.0,"size":6.0}', "timeline_window_gate", "loads_window_gate"),
+    "commit_snapshot": ('{"every":8.0}', "timeline_commit", "loads_commit"),
+    "periodic_snapshot": ('{"every":76.0}', "timeline_periodic_snapshot", "loads_periodic_snapshot"),
+}
+
+
+def _last(column: str, table: str) -> str:
+    return f"a <= (SELECT MAX({column}) FROM {table} WHERE t <= {AT_US})"
+
+
+_SERVED_AT = {
+    "immediate": snapshot("v", f"a <= {AT_US}"),
+    "full_refresh": snapshot("v", _last("t", f"({grid_points('x', 6)})")),
+    "hot_window": f"SELECT * FROM hot_state WHERE shown = (SELECT MAX(t) FROM points WHERE t <= {AT_US})",
+    "lagged_reconcile": snapshot("v", _last("c", f"({reconcile_cuts('x', 12, 5)})")),
+    "window_gate": snapshot(f"({gate(6, 12)})", f"a <= {AT_US}"),
+    "commit_snapshot": snapshot("v", _last("t", "chain")),
+    "periodic_snapshot": snapshot("v", _last("t", f"({grid_points('x', 76)})")),
+}
+
+
+def seven_ctes() -> list[str]:
+    totals = ", ".join(
+        f"(SELECT {TOTAL} FROM truth WHERE {w}) AS {n}_truth, (SELECT COUNT(*) FROM truth WHERE {w}) AS {n}_rows, "
+        f"(SELECT {TOTAL} FROM served WHERE served.p = policies.p AND {w}) AS {n}_served"
+        for n, w in (("l", period(None)), ("d", period(24, 8)), ("w", period(168)))
+    )
+    timelines = " UNION ALL ".join(
+        f"SELECT '{p}' AS p, epoch_us(arrival_time) AS t, value, epoch_us(max_visible_arrival_time) AS c FROM ({ORACLES[line]})"
+        for p, (_, line, _) in SEVEN.items()
+    )
+    return [
+        commit_chain(8),
+        hot_entries(24, 36, 120),
+        HOT_STATE,
+        f"policies(p) AS (VALUES {', '.join(f"('{p}')" for p in SEVEN)})",
+        f"truth AS ({snapshot('v', f'a <= {AT_US}')})",
+        "served AS (" + " UNION ALL ".join(f"SELECT '{p}' AS p, e, m FROM ({q})" for p, q in _SERVED_AT.items()) + ")",
+        f"line AS MATERIALIZED (SELECT * FROM ({timelines}) WHERE t <= {AT_US})",
+        f"""aligned AS (
+          SELECT r.p, r.a, line.c FROM (SELECT p, a FROM policies, (SELECT DISTINCT a FROM v WHERE a <= {AT_US})) AS r
+          ASOF LEFT JOIN line ON r.p = line.p AND r.a >= line.t)""",
+        """fresh AS (
+          SELECT p, MAX(lag) AS longest, QUANTILE_CONT(lag, 0.95) AS p95, COUNT(*) FILTER (c IS NULL) AS unserved
+          FROM (SELECT p, c, GREATEST(a - COALESCE(c, t0), 0) / 6e7 AS lag FROM aligned, b) GROUP BY p)""",
+        """still AS (
+          SELECT p, COUNT(*) AS transitions, COUNT(*) FILTER (change > 1e-6) AS revisions,
+            COALESCE(SUM(change) FILTER (change > 1e-6), 0) AS moved, COALESCE(MAX(change) FILTER (change > 1e-6), 0) AS most
+          FROM (
+            SELECT p, ABS(value - LAG(value) OVER w) AS change, c = LAG(c) OVER w AS same
+            FROM line WINDOW w AS (PARTITION BY p ORDER BY t)
+          ) WHERE same GROUP BY p)""",
+        "loaded AS (" + " UNION ALL ".join(
+            f"SELECT '{p}' AS p, CAST(SUM(load_count) AS BIGINT) AS loaded FROM ({ORACLES[q]})" for p, (_, _, q) in SEVEN.items()
+        ) + ")",
+        TARGETS,
+        f"""out AS (
+          SELECT *, {ratio('l_truth', 'l_served')} AS l_ratio, {ratio('d_truth', 'd_served')} AS d_ratio,
+            {ratio('w_truth', 'w_served')} AS w_ratio, longest <= f_target + 1e-3 AS f_pass
+          FROM targets, (SELECT p, {totals} FROM policies)
+          JOIN fresh USING (p) JOIN loaded USING (p) LEFT JOIN still USING (p))""",
+    ]
+
+
+ORACLES["evaluate_seven_policies"] = outcome_query(
+    "CASE p " + " ".join(f"WHEN '{p}' THEN '{json}'" for p, (json, _, _) in SEVEN.items()) + " END",
+    (
+        "CAST(COALESCE(revisions, 0) AS DOUBLE)", "COALESCE(revisions / transitions, 0.0)",
+        "ROUND(COALESCE(moved, 0.0), 6)", "ROUND(COALESCE(most, 0.0), 6)",
+    ),
+    *seven_ctes(),
+    recursive=True,
+)
+ORACLES["pass_matrix_seven_policies"] = with_log(
+    f"""SELECT scenario, {', '.join(
+        f"MAX(CASE WHEN p = '{p}' THEN (CASE WHEN {MET} AND COALESCE(COALESCE(revisions / transitions, 0) <= s_target + 1e-9, TRUE) "
+        f"THEN 'PASS' ELSE 'FAIL' END) END) AS {p}" for p in SEVEN)}
+    FROM out GROUP BY scenario""",
+    *seven_ctes(),
+    recursive=True,
+)
+
+# A timeline with stretches that have no horizon, read at every day on which an order was placed.
+ORACLES["freshness_with_gaps"] = f"""
+WITH {HISTORY}, {NORMALISED}, aligned AS (
+  SELECT r.policy, r.at_time, n.max_visible_arrival_time AS c
+  FROM (SELECT * FROM (SELECT DISTINCT policy FROM normalised), (SELECT DISTINCT o_orderdate AS at_time FROM orders)) AS r
+  ASOF LEFT JOIN normalised AS n ON n.policy = r.policy AND r.at_time >= n.arrival_time
+), lags AS (
+  SELECT policy, c, GREATEST(epoch_us(at_time) - epoch_us(COALESCE(c, (SELECT MIN(o_orderdate) FROM orders))), 0) / 6e7 AS lag
+  FROM aligned
+)
+SELECT policy, ROUND(MAX(lag), 6) AS freshness_max_minutes, ROUND(QUANTILE_CONT(lag, 0.95), 6) AS freshness_p95_minutes,
+  COUNT(*) FILTER (c IS NULL) AS freshness_unserved_points
+FROM lags GROUP BY policy"""
+ORACLES["saved_outcomes"] = f"SELECT *, 'scenarios' AS run_type FROM ({ORACLES['evaluate_seven_policies']})"
+# The bound is an arrival of the log, so that a half-open range gives other rows than a closed one.
+_AN_ARRIVAL = "(SELECT MAX(arrival_time) FROM log WHERE arrival_time <= TIMESTAMP '2024-01-22 00:00:00')"
+ORACLES["arrived_from_an_arrival"] = with_log(f"{WHOLE_LOG} WHERE arrival_time >= {_AN_ARRIVAL} AND arrival_time <= {AT}")
+ORACLES["increment_from_an_arrival"] = with_log(f"{WHOLE_LOG} WHERE arrival_time > {_AN_ARRIVAL} AND arrival_time <= {AT}")

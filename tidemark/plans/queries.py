@@ -212,6 +212,23 @@ def arrived_between(spark, d):
     return views.arrived_between(C.changelog(spark, d), EARLIER, AT)
 
 
+def _an_arrival(log: DataFrame):
+    """An arrival of the log, as a bound that tells closed ranges from half-open ones."""
+    return views.as_of(log, "2024-01-22 00:00:00").agg(F.max("arrival_time")).first()[0]
+
+
+@query
+def arrived_from_an_arrival(spark, d):
+    log = C.changelog(spark, d)
+    return views.arrived_between(log, _an_arrival(log), AT)
+
+
+@query
+def increment_from_an_arrival(spark, d):
+    log = C.changelog(spark, d)
+    return views.increment(log, _an_arrival(log), AT)
+
+
 @query
 def changed_keys(spark, d):
     return views.changed_keys(views.increment(C.changelog(spark, d, ["sale_id", "arrival_time"]), EARLIER, AT))
@@ -601,6 +618,58 @@ def pass_matrix(spark, d):
     return reports.pass_matrix(outcomes, [p.name for p in QUALITY_POLICIES])
 
 
+SEVEN = (
+    P.Immediate(), P.FullRefresh(6), P.HotWindow(24, 36, 120), P.LaggedReconcile(12, 5), P.WindowGate(6, 12),
+    P.CommitSnapshot(8), P.PeriodicSnapshot(76),
+)
+
+
+def _study(spark, d):
+    """All seven policies under all scenarios, whose targets are read from a stored table."""
+    targets = materialize(Q.targets_table(spark), "targets")
+    log = materialize(C.changelog(spark, d), "log")
+    replay = Replay(log, [Run(p, t.scenario) for t in Q.targets_of(targets) for p in SEVEN])
+    return replay, Q.evaluate(replay, targets, at=AT)
+
+
+def _comparable(outcomes: DataFrame) -> DataFrame:
+    """Flags and counts that may be missing as text and doubles."""
+    optional = {"boolean": "string", "bigint": "double"}
+    kept = ("rows_loaded_count", "freshness_unserved_points")
+    return rounded(outcomes).select(
+        *[F.col(n).cast(optional[t]).alias(n) if t in optional and n not in kept else n for n, t in outcomes.dtypes]
+    )
+
+
+@query
+def evaluate_seven_policies(spark, d):
+    return _comparable(_study(spark, d)[1])
+
+
+@query
+def pass_matrix_seven_policies(spark, d):
+    return reports.pass_matrix(_study(spark, d)[1], [p.name for p in SEVEN])
+
+
+@query
+def saved_outcomes(spark, d):
+    """The outcomes of the study among the stored result tables, read back."""
+    replay, outcomes = _study(spark, d)
+    loads = reports.row_load_report(replay.row_loads(), sequence.source_row_number(replay.log, replay.profile.rows))
+    root = scratch_path(spark, "results")
+    sinks.save_results(root, replay.timeline(), outcomes, loads)
+    schema = T.StructType([*outcomes.schema.fields, T.StructField("run_type", T.StringType())])
+    return _comparable(sinks.read_csv(spark, f"{root}/outcomes", schema))
+
+
+@query
+def freshness_with_gaps(spark, d):
+    """Freshness of a timeline that has no horizon at some of its points, over all order dates."""
+    history = materialize(Q.normalize_timeline(_price_history(spark, d)), "history")
+    grid = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").cast("timestamp_ntz").alias("arrival_time")).distinct()
+    return rounded(Q.freshness(history, grid))
+
+
 SWEEP = (P.FullRefresh(76), P.FullRefresh(6), P.FullRefresh(24))
 
 
