@@ -953,3 +953,5 @@ ORACLES["saved_outcomes"] = f"SELECT *, 'scenarios' AS run_type FROM ({ORACLES['
 _AN_ARRIVAL = "(SELECT MAX(arrival_time) FROM log WHERE arrival_time <= TIMESTAMP '2024-01-22 00:00:00')"
 ORACLES["arrived_from_an_arrival"] = with_log(f"{WHOLE_LOG} WHERE arrival_time >= {_AN_ARRIVAL} AND arrival_time <= {AT}")
 ORACLES["increment_from_an_arrival"] = with_log(f"{WHOLE_LOG} WHERE arrival_time > {_AN_ARRIVAL} AND arrival_time <= {AT}")
+ORACLES["timeline_kept"] = f"SELECT arrival_time, event_count, value FROM ({ORACLES['timeline_immediate']})"
+ORACLES["timeline_of_observed_log"] = ORACLES["timeline_full_refresh"]

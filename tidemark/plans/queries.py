@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions import measures as M
 from ..functions.clock import hours, to_micros, to_timestamp
 from ..operators import asof, calendar, maintain, policies as P, quality as Q, reports, sequence, views
+from ..operators.kept import KeptTimeline
 from ..operators.keyed_table import KeyedTable
 from ..operators.replay import Replay, Run
 from ..session import materialize, scratch_path
@@ -389,6 +390,28 @@ for _name, _policy in LOADS.items():
     REGISTRY[_name] = _loads(_policy)
 
 
+@query
+def timeline_kept(spark, d):
+    """The immediate timeline after three appends in order of the events, whose arrivals overlap by days."""
+    log = materialize(C.changelog(spark, d), "log")
+    own = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").alias("_ts"))
+    log = log.join(own, "event_id")
+    kept = KeptTimeline(spark, scratch_path(spark, "kept"))
+    edges = [None, "2024-01-10 00:00:00", "2024-01-20 00:00:00", None]
+    for number, (lower, upper) in enumerate(zip(edges, edges[1:])):
+        part = log if lower is None else log.filter(F.col("_ts") >= F.lit(lower))
+        kept.append(part if upper is None else part.filter(F.col("_ts") < F.lit(upper)), number)
+    return rounded(kept.read())
+
+
+@query
+def timeline_of_observed_log(spark, d):
+    """A refreshed timeline over a log just stored, with the bounds that were observed while it was written."""
+    path = scratch_path(spark, "log")
+    bounds = sinks.save_log(C.changelog(spark, d), path)
+    return rounded(Replay(C.read_log(spark, path), [P.FullRefresh(6)], profile=bounds).timeline())
+
+
 def sold_item() -> Column:
     return F.concat_ws("/", "product_name", "region_name", F.col("quantity").cast("string"))
 

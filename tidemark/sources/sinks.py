@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
+from ..functions.clock import to_micros
+from .changelog import Profile
 
-def save_log(log: DataFrame, path: str, mode: str = "overwrite") -> None:
+
+def save_log(log: DataFrame, path: str, mode: str = "overwrite") -> Profile:
     """Store a log by arrival date and, within a date, by arrival; "append" adds a batch.
 
     The range split keeps files even when one date holds most rows, and gives every file a narrow span of arrivals.
+    Size and bounds of what is written are observed on the way: a replay over it needs no pass of its own for them.
     """
     order = ["arrival_date", "arrival_time", "event_id"]
     dated = log.withColumn("arrival_date", F.col("arrival_time").cast("date"))
     sliced = dated.repartitionByRange(*order).sortWithinPartitions(*order)
-    sliced.write.mode(mode).partitionBy("arrival_date").parquet(path)
+    bounds, times = Observation(), [c for c in ("arrival_time", "event_time") if c in log.columns]
+    micros = [to_micros(f(c)).alias(f"{f.__name__}_{c}") for c in times for f in (F.min, F.max)]
+    observed = sliced.observe(bounds, F.count(F.lit(1)).alias("rows"), *micros)
+    observed.write.mode(mode).partitionBy("arrival_date").parquet(path)
+    found = bounds.get
+    ends = [found.get(f"{f}_{c}") for c in ("arrival_time", "event_time") for f in ("min", "max")]
+    return Profile(found["rows"], *ends)
 
 
 def save_results(
@@ -31,10 +41,6 @@ def save_results(
         save_csv(table.withColumn("run_type", F.lit(run_type)), f"{root}/{name}", order=known)
 
 
-def save_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).parquet(path)
-
-
 # Spark's default CSV format stops at milliseconds.
 CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
 
