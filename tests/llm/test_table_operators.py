@@ -46,6 +46,29 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert rows == near_duplicates(dict(enumerate(texts)), 4)
 
 
+@pytest.mark.parametrize("bytes_", [1 << 23, 4000])
+def test_near_duplicates_alike_but_unlinked(spark, monkeypatch, bytes_):
+    """A group of texts that are alike at 0.7 to 0.8: many pairs by the sketch, few links, no row for any other pair."""
+    monkeypatch.setattr(N, "BLOCK_BYTES", bytes_)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = [edited(rng, base, rng.choice([2, 3, 4])) for _ in range(60)] + [edited(rng, base, 1), "other words here then", None]
+    docs = docs_of(spark, texts)
+    signed = N.signatures(docs, "doc_id", "text", 4).filter("n_shingles > 0").withColumn("component", F.col("id"))
+    members = signed.select(F.explode("bands").alias("bucket"), "id", "component", "digest", "sketch", "bands")
+    sizes = members.groupBy("bucket").count().filter("count > 1").select("bucket")
+    most = N.most_differing_bits(0.8 - N.MARGIN)
+    links = N._remaining_links(members.join(sizes, "bucket"), docs, "doc_id", "text", 4, most, 80).collect()
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, t in enumerate(texts) if t for w in [t.split()]}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    linked = [(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    near = [(a, b) for a, b in pairs if 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])]
+    assert len(near) > 3 * max(1, len(linked))
+    assert {tuple(sorted(x)) for x in links} <= set(linked)
+    rows = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(docs, shingle=4).collect()}
+    assert rows == near_duplicates(dict(enumerate(texts)), 4)
+
+
 def test_near_duplicates_edges(spark):
     docs = docs_of(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "x", "x", None], ids=[4, 4, None, None, None, 9])
     rows = [(r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(docs).collect()]
@@ -144,6 +167,46 @@ def targets(sizes, weights=(5, 2, 1), most=3):
         capped |= {s: most * sizes[s] for s in above}
 
 
+def test_clashing_names(spark):
+    """Columns with any names pass through; those named like a result are refused."""
+    docs = docs_of(spark, ["a b c", "d e", None], sources=["s", None, "s"]).withColumn("size", mixing.word_count())
+    names = ["_source", "_first", "_rows", "_row", "first", "rows", "of_source", "key", "doc", "a.b"]
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    for found, added in (
+        (mixing.mix(docs, "size"), ["source_size", "target", "copies"]),
+        (shards.shard_by_bytes(docs, "size", 2), ["shard", "slot"]),
+    ):
+        assert found.columns == [*docs.columns, *added]
+        rows = found.collect()
+        assert len(rows) == 3 and all(r[n] == n for r in rows for n in names)
+    for name in ("Target", "copies", "source_size"):
+        with pytest.raises(ValueError):
+            mixing.mix(docs.withColumn(name, F.lit(1)), "size")
+    for name in ("shard", "Slot"):
+        with pytest.raises(ValueError):
+            shards.shard_by_bytes(docs.withColumn(name, F.lit(1)), "size")
+
+
+def test_shard_query_columns(spark, tmp_path):
+    """op3's checksums, law and slots, against zlib and plain sums."""
+    import zlib
+
+    from tidemark.llm.queries import REGISTRY
+
+    texts = ["é" * 50, "", None, "a b", "a b"] + ["x" * (i * 7 % 90) for i in range(60)]
+    stored(docs_of(spark, texts), tmp_path)
+    rows = REGISTRY["op3_shards"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) and {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+    sizes = [0] * 16
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+        sizes[r.shard] += r.size
+    for shard in range(16):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    assert max(sizes) - min(sizes) <= 2 * max(r.size for r in rows)
+
+
 def test_mix(spark):
     rng = random.Random(6)
     names = ["b", None, "a", "Z", "é", "empty"]

@@ -18,7 +18,7 @@ def word_count(text: str = "text") -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """source, rows, source_size, target of each source (one input row each: source, rows, source_size).
+    """The sources with ``target`` (one input row each: source, source_size and what else is carried along).
 
     Sources take the weights in turn, by code point with null last, and share the whole size.  A target stops at
     ``most`` times its source's size; the excess is shared again by weight until none is above.  That is the level
@@ -64,16 +64,24 @@ def mix(
     Every row of a source has the same expected copies, target / size of the source.  Along the source, ordered by
     size and key so that neighbours are alike, the expected copies are summed up from one random offset, and a row
     is taken once for each whole number that the sum passes: ``most`` times at most.  Null sources form one source;
-    rows of size 0 are sampled like any other; an empty table gives no rows.
+    rows of size 0 are sampled like any other; null sizes count as 0; an empty table gives no rows.  Further columns
+    stay, whatever their names, but a column named like the three that are added is an error.
     """
-    order = [F.col(source).asc_nulls_last(), F.col(size).asc(), F.col(key).asc_nulls_first()]
-    rows, (row,) = in_order(docs, order)
-    sizes = rows.groupBy(F.col(source).alias("source")).agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum(size).alias("source_size"), F.min(row).alias("_first")
+    if clash := {"source_size", "target", "copies"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have columns {sorted(clash)} already")
+    # All columns wait in one struct, so that no name can clash with those worked with.
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col(source).alias("source"), F.col(size).alias("size"), F.col(key).alias("key"),
+    )
+    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("key").asc_nulls_first()]
+    rows, (row,) = in_order(packed, order)
+    sizes = rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"), F.min(row).alias("first")
     )
-    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "_source")
-    rows = rows.join(targets, F.col(source).eqNullSafe(F.col("_source")))
+    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "of_source")
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("of_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rank, start = F.col(row) - F.col("_first"), offset_of(F.col("_source"), seed)
+    rank, start = F.col(row) - F.col("first"), offset_of(F.col("of_source"), seed)
     copies = F.floor(start + (rank + 1) * rate) - F.floor(start + rank * rate)
-    return rows.withColumn("copies", copies.cast("int")).drop(row, "_rows", "_first", "_source")
+    return rows.select("doc.*", "source_size", "target", copies.cast("int").alias("copies"))

@@ -19,14 +19,19 @@ def shard_by_bytes(docs: DataFrame, size: str, shards: int = SHARDS, key: str =
 
     A row goes to the shard in which its middle byte lies, so a shard is off its target by one row at most.  Nulls
     come first in the order, equal keys stay next to each other in any order; slots are gapless from 0.  An empty
-    table gives no rows.  Columns named shard or slot must not be there yet.
+    table gives no rows.  Further columns stay, whatever their names, but one named shard or slot is an error.
     """
-    rows, (row, before) = in_order(docs, [F.col(key).asc_nulls_first()], [size])
-    total = rows.agg(F.max(F.col(before) + F.col(size))).first()[0] or 1  # one number
-    middle = 2 * F.col(before) + F.col(size)
+    if clash := {"shard", "slot"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have columns {sorted(clash)} already")
+    # All columns wait in one struct, so that no name can clash with those worked with.
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("key"), F.col(size).alias("size")
+    )
+    rows, (row, before) = in_order(packed, [F.col("key").asc_nulls_first()], ["size"])
+    total = rows.agg(F.max(F.col(before) + F.col("size"))).first()[0] or 1  # one number
+    middle = 2 * F.col(before) + F.col("size")
     shard = F.least(F.floor(middle * F.lit(shards) / F.lit(2 * total)), F.lit(shards - 1)).cast("int")
     rows = rows.withColumn("shard", shard)
-    first = rows.groupBy("shard").agg(F.min(row).alias("_first"))  # one row for each shard
-    return rows.join(F.broadcast(first), "shard").withColumn("slot", F.col(row) - F.col("_first")).drop(
-        row, before, "_first"
-    )
+    first = rows.groupBy("shard").agg(F.min(row).alias("first"))  # one row for each shard
+    rows = rows.join(F.broadcast(first), "shard")
+    return rows.select("doc.*", "shard", (F.col(row) - F.col("first")).alias("slot"))
