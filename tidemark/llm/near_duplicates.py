@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,8 +22,9 @@ BANDED = 128  # samples in bands, 32 of 4: a pair at 0.8 shares none with probab
 SKETCH_BITS = 1024
 MARGIN = 0.13  # below the similarity, 5 deviations of the estimate from 256 samples
 BLOCK = 1024  # rows of a bucket compared in one group
+BLOCK_BYTES = 1 << 23
 CELL = 4096  # rows of small buckets handled in one group
-NEAREST_TURNS = 1
+SIGNATURE_BYTES = 500  # of a row's bands and sketch
 
 _RNG = np.random.default_rng(8)
 SALTS = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
@@ -141,57 +142,179 @@ def _slices(rows: np.ndarray, at: np.ndarray, size: int = 50_000) -> Iterator[tu
         yield rows[i : i + size], at[i : i + size]
 
 
-def _bucket_pairs(members: DataFrame, most: int, nearest: bool) -> DataFrame:
-    """Pairs of different components within a bucket whose sketches are alike: all, or each row's nearest only.
+Compare = Callable[[int, pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
-    members: bucket, n (rows of the bucket), id, component, sketch, bands.  A pair is given in the first bucket that its
-    rows share (the nearest may repeat).  Small buckets share a group.  Large ones are cut into
-    blocks and a group holds two of them, so no group grows with the bucket.
-    """
 
-    def pairs_of(bucket: int, left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-        y, others, theirs = unsigned(right["sketch"]), right["id"].to_numpy(), right["component"].to_numpy()
-        out = []
-        for i in range(0, len(left), 128):
-            part = left.iloc[i : i + 128]
-            x, ids = unsigned(part["sketch"]), part["id"].to_numpy()
-            apart = part["component"].to_numpy()[:, None] != theirs
-            bits = np.bitwise_count(x[:, None] ^ y).sum(axis=2, dtype=np.int32)
-            bits[~apart] = SKETCH_BITS
-            if nearest:
-                at = bits.argmin(axis=1)
-                rows = np.flatnonzero(bits[np.arange(len(x)), at] <= most)
-                out.append(np.column_stack((ids[rows], others[at[rows]])))
-            else:
-                rows, at = np.nonzero((bits <= most) & (ids[:, None] < others if left is right else True))
-                keys, theirs_too = np.stack(part["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
-                first = np.concatenate(
-                    [keys[r, (keys[r] == theirs_too[t]).argmax(axis=1)] for r, t in _slices(rows, at)] or [np.empty(0, np.int64)]
-                )
-                rows, at = rows[first == bucket], at[first == bucket]
-                out.append(np.column_stack((ids[rows], others[at])))
-        return np.concatenate(out)
-
-    def result(found: list[np.ndarray]) -> pd.DataFrame:
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}, dtype="int64")
+def _compare_in_blocks(members: DataFrame, weights: DataFrame, compare: Compare, schema: str) -> DataFrame:
+    """``compare(bucket, left, right)`` for the rows of each bucket, all with all.
+
+    ``weights``: bucket, n, weight (bytes of its rows).  Small buckets share a group.  Large ones are cut into blocks
+    of BLOCK rows or BLOCK_BYTES at most, and a group holds two of them, so no group grows with the bucket; left is
+    right where a block meets itself.
+    """
 
     def within(cell: pd.DataFrame) -> pd.DataFrame:
-        return result([pairs_of(key, bucket, bucket) for key, bucket in cell.groupby("bucket", sort=False)])
+        return pd.concat([compare(key, bucket, bucket) for key, bucket in cell.groupby("bucket", sort=False)])
 
     def across(group: pd.DataFrame) -> pd.DataFrame:
         left, right = (group[group["mine"] == group[side].iloc[0]] for side in ("i", "j"))
         right = left if group["i"].iloc[0] == group["j"].iloc[0] else right
-        return result([pairs_of(group["bucket"].iloc[0], left, right)] if len(left) and len(right) else [])
-
-    small, large = members.filter(F.col("n") <= BLOCK), members.filter(F.col("n") > BLOCK)
-    cells = F.lit(max(1, math.ceil(members.count() / CELL)))
-    found = small.withColumn("cell", F.pmod("bucket", cells)).groupBy("cell").applyInPandas(within, "a bigint, b bigint")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = large.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        return compare(group["bucket"].iloc[0], left, right)
+
+    members = members.join(weights, "bucket")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_BYTES)).cast("int")
+    members = members.withColumn("blocks", blocks)
+    small, large = members.filter("blocks = 1"), members.filter("blocks > 1")
+    rows, weight = weights.agg(F.sum("n"), F.sum("weight")).first()  # two numbers
+    cells = F.lit(max(1, math.ceil((rows or 0) / CELL), math.ceil((weight or 0) / (4 * BLOCK_BYTES))))
+    found = small.withColumn("cell", F.pmod("bucket", cells)).groupBy("cell").applyInPandas(within, schema)
+    large = large.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    return found.unionByName(large.groupBy("bucket", "i", "j").applyInPandas(across, "a bigint, b bigint")).distinct()
+    return found.unionByName(large.groupBy("bucket", "i", "j").applyInPandas(across, schema)).distinct()
+
+
+def _frame(columns: dict[str, np.ndarray | list]) -> pd.DataFrame:
+    return pd.DataFrame({name: np.asarray(values, np.int64) for name, values in columns.items()})
+
+
+def _differing(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Parts of left, and the sketch bits in which they differ from all of right; within a component all of them."""
+    theirs, component = unsigned(right["sketch"]), right["component"].to_numpy()
+    for i in range(0, len(left), 128):
+        part = left.iloc[i : i + 128]
+        bits = np.bitwise_count(unsigned(part["sketch"])[:, None] ^ theirs).sum(axis=2, dtype=np.int32)
+        bits[part["component"].to_numpy()[:, None] == component] = SKETCH_BITS
+        yield part, bits
+
+
+def _nearest(most: int) -> Compare:
+    """Pairs (a, b): each row with the nearest one of another component."""
+
+    def compare(bucket: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out, others = [np.empty((0, 2), np.int64)], right["id"].to_numpy()
+        for part, bits in _differing(left, right) if len(left) and len(right) else ():
+            at = bits.argmin(axis=1)
+            rows = np.flatnonzero(bits[np.arange(len(part)), at] <= most)
+            out.append(np.column_stack((part["id"].to_numpy()[rows], others[at[rows]])))
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return _frame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return compare
+
+
+def _alike(bucket: int, left: pd.DataFrame, right: pd.DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of left and of right that are alike by the sketch; only in the first bucket that they share."""
+    if not len(left) or not len(right):
+        return
+    ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+    keys, theirs = np.stack(left["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
+    begin = 0
+    for part, bits in _differing(left, right):
+        rows, at = np.nonzero((bits <= most) & (ids[begin : begin + len(part), None] < others if left is right else True))
+        rows = rows + begin
+        begin += len(part)
+        for r, t in _slices(rows, at):
+            first = keys[r, (keys[r] == theirs[t]).argmax(axis=1)] == bucket
+            yield r[first], t[first]
+
+
+def _with_partner(most: int) -> Compare:
+    """(bucket, id) of the rows that have one alike in another component."""
+
+    def compare(bucket: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        for r, t in _alike(bucket, left, right, most):
+            mine[r] = theirs[t] = True
+        ids = np.unique(np.concatenate([left["id"].to_numpy()[mine], right["id"].to_numpy()[theirs]]))
+        return _frame({"bucket": np.full(len(ids), bucket), "id": ids})
+
+    return compare
+
+
+def _spanning(most: int, similarity: int) -> Compare:
+    """Links (a, b) that join what is linked among the rows, confirmed on full sets: fewer than there are rows.
+
+    Pairs that other links have joined already are not looked at.
+    """
+
+    def compare(bucket: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (above := parent.get(x, x)) != x:
+                parent[x] = parent.get(above, above)
+                x = above
+            return x
+
+        links = []
+        sets, others = ([np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in (left, right))
+        ids, their_ids = left["id"].tolist(), right["id"].tolist()
+        components, their_components = left["component"].tolist(), right["component"].tolist()
+        for rows, at in _alike(bucket, left, right, most):
+            for r, t in zip(rows.tolist(), at.tolist()):
+                one, other = root(components[r]), root(their_components[t])
+                x, y = sets[r], others[t]
+                if one == other or 100 * min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    continue
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= similarity * (len(x) + len(y) - common):
+                    links.append((ids[r], their_ids[t]))
+                    parent[max(one, other)] = min(one, other)
+        return _frame({"a": [a for a, _ in links], "b": [b for _, b in links]})
+
+    return compare
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(id, digest, shingles): the sorted sets of some documents as 64-bit hashes, one for each id and digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in batches:
+            sets = [shingle_set(content, size, hashes).tobytes() for content in byte_texts(batch)]
+            digests = [xxhash.xxh3_128_digest(x) for x in sets]
+            columns = [batch.column("id"), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "shingles"])
+
+    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    return texts.mapInArrow(run, "id bigint, digest binary, shingles binary").dropDuplicates(["id", "digest"])
+
+
+def _remaining_links(
+    members: DataFrame, docs: DataFrame, key: str, text: str, size: int, most: int, similarity: int
+) -> DataFrame:
+    """Links between components within buckets (bucket, id, component, digest, sketch, bands): none that matters is missing.
+
+    First the rows are found that have anyone alike in another component; their sets then travel once for each of
+    their buckets, and are compared where they meet.  Neither step gives a row for a pair that is no link.
+    """
+    count = F.count(F.lit(1))
+    weights = members.groupBy("bucket").agg(count.alias("n"), (count * SIGNATURE_BYTES).alias("weight"))
+    alike = _compare_in_blocks(members.drop("digest"), weights, _with_partner(most), "bucket bigint, id bigint")
+    alike = materialize(alike, "alike")
+    sets = materialize(shingle_sets(docs, alike.select("id").distinct(), key, text, size), "sets")
+    rows = materialize(members.join(alike, ["bucket", "id"]).join(sets, ["id", "digest"]).drop("digest"), "compared")
+    weights = rows.groupBy("bucket").agg(count.alias("n"), F.sum(F.octet_length("shingles") + SIGNATURE_BYTES).alias("weight"))
+    return _compare_in_blocks(rows, weights, _spanning(most, similarity), "a bigint, b bigint")
+
+
+def _mixed_buckets(shared: DataFrame, found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """bucket, id, component, digest, sketch, bands of the buckets that hold several components."""
+    members = shared.join(found, F.col("id") == F.col("node"), "left")
+    members = materialize(members.select("bucket", "id", F.coalesce("component", "id").alias("component")), "members")
+    several = members.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    several = several.filter("_low < _high").select("bucket")
+    return members.join(several, "bucket").join(chosen.select("id", "digest", "sketch", "bands"), "id")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links."""
+    links = materialize(links, "links")
+    if links.isEmpty():
+        return found
+    tied = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    return materialize(connected_components(tied, "a", "b"), "components")
 
 
 def near_duplicates(
@@ -205,8 +328,9 @@ def near_duplicates(
        the rest, and components are formed.
     4. In buckets that still hold several components each class is paired with the nearest one of another component,
        by the sketches, confirmed and joined.
-    5. Buckets that even then hold several components are compared whole, in blocks, across components only: after
-       this no link is missing, and a group of thousands of near copies has cost a few comparisons a member.
+    5. Buckets that even then hold several components are compared whole, in blocks, across components only, by the
+       sketches and then on full sets: after this no link is missing.  Only joining links come out of a block, so texts
+       that are alike but not linked cost comparisons, not rows.
 
     Linked are documents with 100 * intersection >= similarity * union.  Null and empty texts have the empty set and
     link with nothing; their component is their own id.  Rows that share an id are one node.  Rows with a null id
@@ -229,19 +353,15 @@ def near_duplicates(
     links = materialize(_confirmed(tried, docs, key, text, shingle, similarity), "links")
     found = materialize(connected_components(links, "a", "b"), "components")
 
-    for turn in range(NEAREST_TURNS + 1):
-        members = shared.join(found, F.col("id") == F.col("node"), "left")
-        members = materialize(members.select("bucket", "n", "id", F.coalesce("component", "id").alias("component")), "members")
-        several = members.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-        several = several.filter("_low < _high").select("bucket")
-        rest = materialize(members.join(several, "bucket").join(chosen.select("id", "sketch", "bands"), "id"), "mixed-buckets")
-        pairs = _bucket_pairs(rest, most, nearest=turn < NEAREST_TURNS).join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        more = materialize(_confirmed(pairs, docs, key, text, shingle, similarity), "links")
-        if not more.isEmpty():
-            tied = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-            found = materialize(connected_components(tied, "a", "b"), "components")
-        tried = tried.unionByName(pairs)
+    rest = materialize(_mixed_buckets(shared, found, chosen), "mixed-buckets")
+    count = F.count(F.lit(1))
+    weights = rest.groupBy("bucket").agg(count.alias("n"), (count * SIGNATURE_BYTES).alias("weight"))
+    pairs = _compare_in_blocks(rest.drop("digest"), weights, _nearest(most), "a bigint, b bigint")
+    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = _joined(found, _confirmed(pairs, docs, key, text, shingle, similarity))
+
+    rest = materialize(_mixed_buckets(shared, found, chosen), "mixed-buckets")
+    found = _joined(found, _remaining_links(rest, docs, key, text, shingle, most, similarity))
 
     named = classes.join(found, F.col("rep") == F.col("node"), "left")
     named = named.select("digest", F.coalesce("component", "rep").alias("_component"))
