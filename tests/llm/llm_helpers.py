@@ -158,25 +158,29 @@ def without_repeats(texts, length):
 # -- language model ------------------------------------------------------------------------------------------
 
 
-def language_model(texts, prior):
-    """texts: id -> text; gives id -> (held out, tokens, known, N, base score, score) of the bigram model."""
+def language_model(texts, prior, order=2):
+    """texts: id -> text; gives id -> (held out, tokens, known, N, base score, score) of the interpolated model."""
     tokens = {i: [*space_words(t), None] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
-    single, double = collections.Counter(), collections.Counter()
+    counts = collections.Counter()
     for i, words in tokens.items():
         if not held[i]:
-            single.update(words)
-            double.update(zip(["^", *words[:-1]], words))
-    total, types = sum(single.values()), len(single)
+            led = ["^", *words]
+            for k in range(1, order + 1):
+                counts.update(tuple(led[j - k + 1 : j + 1]) for j in range(max(1, k - 1), len(led)))
+    counts["^",] = counts[None,]  # a text starts as often as one ends
+    single = {w: n for w, n in counts.items() if len(w) == 1 and w != ("^",)}
+    total, types = sum(single.values()), sum(n > 0 for n in single.values())
     out = {}
     for i, words in tokens.items():
         base = score = 0.0
-        before = "^"
-        for w in words:
-            p = (single[w] + 1) / (total + types + 1)
-            context = single[None] if before == "^" else single[before]
+        led = ["^", *words]
+        for j in range(1, len(led)):
+            p = (counts[led[j],] + 1) / (total + types + 1)
             base += math.log10(p)
-            score += math.log10((double[before, w] + prior * p) / (context + prior))
-            before = w
-        out[i] = held[i], len(words), sum(single[w] > 0 for w in words), total, base, score
+            for k in range(2, min(order, j + 1) + 1):
+                context = tuple(led[j - k + 1 : j])
+                p = (counts[*context, led[j]] + prior * p) / (counts[context] + prior)
+            score += math.log10(p)
+        out[i] = held[i], len(words), sum(counts[w,] > 0 for w in words), total, base, score
     return out

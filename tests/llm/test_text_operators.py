@@ -159,13 +159,13 @@ def test_repeats_of_nothing(spark, tmp_path):
     assert R.without_repeats(stored(docs_of(spark, []), tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("block", [1 << 21, 40])
-def test_language_model_equals_brute_force(spark, tmp_path, block):
+@pytest.mark.parametrize("block,order", [(1 << 21, 2), (40, 2), (40, 3), (1 << 21, 1), (300, 4)])
+def test_language_model_equals_brute_force(spark, tmp_path, block, order):
     rng = random.Random(9)
     texts = {i: t for i, t in enumerate([None, "", "The the THE", *phrases(rng, 60, 25)])}
     docs = stored(docs_of(spark, list(texts.values())), tmp_path)
-    rows = {r.doc_id: r for r in L.scores(docs, ~L.held_out("doc_id"), block_tokens=block).collect()}
-    for i, (held, tokens, known, total, base, score) in language_model(texts, L.PRIOR).items():
+    rows = {r.doc_id: r for r in L.scores(docs, ~L.held_out("doc_id"), order=order, block_tokens=block).collect()}
+    for i, (held, tokens, known, total, base, score) in language_model(texts, L.PRIOR, order).items():
         r = rows[i]
         assert (not r.learned, r.n_tokens, r.n_known, r.train_tokens) == (held, tokens, known, total)
         assert abs(r.base_score - base) < 1e-9 * abs(base) and abs(r.score - score) < 1e-9 * abs(score)

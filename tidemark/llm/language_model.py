@@ -88,31 +88,92 @@ def bucket_edges(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(hashes >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
 
 
-def block_scores(block: Block, counts: list[np.ndarray], tokens: int, types: int, prior: float):
-    """(n_known, base_score, score) of each document: one pass over the tokens, order by order.
+EMPTY, AT_START = 0, 1  # states: no context, and the start mark as context
+UNSEEN = 1.0  # no logarithm of a probability
+
+
+class Automaton:
+    """The part of the weighted backoff automaton that a block's traversal can touch.
 
-    counts: by order, those of the block's distinct n-grams.  The state before a token is its context; the arc's
-    probability is (c(context, word) + prior * shorter) / (c(context) + prior), which without the arc is what the
-    failure arc costs times the shorter context's estimate.
+    A state is a context of the block: nothing, the start mark, or the last 1 to order - 1 tokens.  An n-gram that was
+    seen in training is an arc from the state of its context, with the log10 of
+    (count + prior * shorter) / (count of the context + prior); shorter is the estimate from the context without its
+    first token.  Where a word has no arc, the failure arc leads to that shorter context and costs
+    log10(prior / (count of the context + prior)).  The empty context has an arc for every word, seen or not.
+
+    A state and the word after it are an n-gram of the block, so arcs have the numbers of the block's n-grams, one
+    order after the other, and the number at each place is known without a search.
     """
-    at, _, index = block.grams[0]
-    seen = np.zeros(len(block.tokens))
-    seen[at] = counts[0][index]
-    single = (seen + 1) / (tokens + types + 1)
-    ends = block.first + block.lengths + 1
-    context = seen.copy()
-    context[block.first] = seen[ends]  # a text starts as often as one ends
-    estimate = single.copy()
-    for k in range(1, len(block.grams)):
-        at, _, index = block.grams[k]
-        count = counts[k][index]
-        estimate[at] = (count + prior * estimate[at]) / (context[at - 1] + prior)
-        context = np.zeros(len(block.tokens))
-        context[at] = count
-    read = np.ones(len(block.tokens), bool)
-    read[block.first] = False
-    sums = lambda x: np.add.reduceat(np.where(read, x, 0.0), block.first) if len(block.first) else np.empty(0)
-    return sums((seen > 0) * 1.0).astype(np.int64), sums(np.log10(single)), sums(np.log10(estimate))
+
+    def __init__(self, block: Block, counts: list[np.ndarray], tokens: int, types: int, prior: float):
+        self.order, start = len(block.grams), np.full(len(block.tokens), -1, np.int64)
+        read = block.grams[0][0]  # places of all tokens but the start marks
+        arcs, states = 0, 2  # numbered so far
+        failure, backoff = [np.zeros(2, np.int64)], [np.zeros(2)]
+        weights, targets, self.arc_at = [], [], []
+        for k, (at, distinct, index) in enumerate(block.grams, 1):
+            shown = np.zeros(len(distinct), np.int64)
+            shown[index] = at  # a place of each n-gram
+            if k == 1:
+                # A text starts as often as one ends.
+                starts = float(counts[0][np.searchsorted(distinct, END)])
+                backoff[0][AT_START] = math.log10(prior / (starts + prior))
+                estimates, seen = (counts[0] + 1.0) / (tokens + types + 1), np.ones(len(distinct), bool)
+                shorter = np.full(len(distinct), EMPTY)
+                self.single = estimates
+            else:
+                before = ended[shown - 1]  # the context, by its number; none: the start mark
+                context = np.where(before >= 0, counts[k - 2][before], starts)
+                estimates = (counts[k - 1] + prior * estimates[ended[shown]]) / (context + prior)
+                seen, shorter = counts[k - 1] > 0, first_state + ended[shown]
+            weights.append(np.where(seen, np.log10(estimates), UNSEEN))
+            ended = start.copy()
+            ended[at] = index
+            self.arc_at.append((arcs + ended[read]).tolist())  # meaningless where the text is too short, and not asked
+            arcs += len(distinct)
+            if k < self.order:
+                first_state, states = states, states + len(distinct)
+                targets.append(first_state + np.arange(len(distinct)))
+                failure.append(shorter)
+                backoff.append(np.log10(prior / (counts[k - 1] + prior)))
+            else:
+                targets.append(shorter)
+        self.weights, self.targets, self.failure, self.backoff = (
+            np.concatenate(x).tolist() for x in (weights, targets, failure, backoff)
+        )
+
+    def traverse(self, lengths: list[int]) -> list[float]:
+        """The log-probability of each text: one pass from left to right that carries the state."""
+        weights, targets, failure, backoff = self.weights, self.targets, self.failure, self.backoff
+        order, arc_at, place, out = self.order, [[], *self.arc_at], 0, []
+        for length in lengths:
+            state, k, total = (AT_START, 2, 0.0) if order > 1 else (EMPTY, 1, 0.0)  # k: the tokens of state and word
+            for place in range(place, place + length):
+                arc = arc_at[k][place]
+                while (weight := weights[arc]) > 0:
+                    total += backoff[state]
+                    state, k = failure[state], k - 1
+                    arc = arc_at[k][place]
+                total += weight
+                state = targets[arc]
+                if k < order:
+                    k += 1
+            place += 1
+            out.append(total)
+        return out
+
+
+def block_scores(block: Block, counts: list[np.ndarray], tokens: int, types: int, prior: float):
+    """(n_known, base_score, score) of each document.  counts: by order, those of the block's distinct n-grams."""
+    if not len(block.lengths):
+        return np.empty(0, np.int64), np.empty(0), np.empty(0)
+    index = block.grams[0][2]
+    automaton = Automaton(block, [np.asarray(c) for c in counts], tokens, types, prior)
+    sizes = block.lengths + 1
+    begins = np.cumsum(sizes) - sizes
+    known = np.add.reduceat((np.asarray(counts[0])[index] > 0).astype(np.int64), begins)
+    base = np.add.reduceat(np.log10(automaton.single)[index], begins)
+    return known, base, np.array(automaton.traverse(sizes.tolist()))
 
 
 def held_out(key: str, folds: int = 7, fold: int = 2) -> Column:
