@@ -37,28 +37,64 @@ def _found(kind: str, rank: int, pattern: str, keep: str = "TRUE") -> str:
     ) WHERE {keep}"""
 
 
+# What the operator's module fixes, as RE2 writes it.
+_ALLOWED = (
+    "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
+    "(?i:example|placeholder|changeme|dummy|your[_-]|xxxx)",
+    "(?i:abcdefghijkl)|0123456789",
+    "^[^0-9]+$",
+)
+_CLASSES = (("0-9a-fA-F", 3.0), ("A-Z0-9", 3.5), ("a-z0-9", 3.5), ("A-Za-z0-9+/_=-", 4.0))
+
+
+def _masked(allowed: str) -> str:
+    """The candidate with spaces for what the pattern suppresses: matches and up to 48 characters around, within a piece."""
+    near = "[^=/_]{0,48}"
+    pattern = f"(?:{near}(?:{allowed})){{1,8}}{near}"
+    spaced = (
+        f"array_to_string(list_transform(range(1, len(string_split_regex(value, '{pattern}')) + 1), lambda i: "
+        f"string_split_regex(value, '{pattern}')[i] || repeat(' ', COALESCE(length(regexp_extract_all(value, '{pattern}')[i]), 0))), '')"
+    )
+    return f"CASE WHEN regexp_matches(value, '{allowed}') THEN {spaced} ELSE value END"
+
+
+def _class_runs(source: str, characters: str, least: float) -> str:
+    """Runs of one class within what is left of the candidates, but for those that an allowed pattern matches."""
+    pattern = f"[{characters}]{{24,}}"
+    refused = " OR ".join(f"regexp_matches(part, '{a}')" for a in _ALLOWED)
+    return f"""
+    SELECT doc_id, start, {least} AS least, part, place FROM (
+      SELECT doc_id, start, m[i] AS part,
+        list_sum(list_transform(g[1:i], lambda x: length(x))) + COALESCE(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS place
+      FROM (SELECT doc_id, start, regexp_extract_all(value, '{pattern}') AS m, string_split_regex(value, '{pattern}') AS g FROM {source}),
+        UNNEST(range(1, len(m) + 1)) AS t(i)
+    ) WHERE NOT ({refused})"""
+
+
+_MASKS = ", ".join(
+    f"left{i + 1} AS MATERIALIZED (SELECT doc_id, start, {_masked(a)} AS value FROM {f'left{i}' if i else 'candidate'})"
+    for i, a in enumerate(_ALLOWED)
+)
+
+# Every window of every class, with its characters counted anew; a window is hot by whole units, as in the operator.
 ORACLES["op1_secrets"] = f"""
 WITH base AS ({_found("assign", 0, _ASSIGN, "length(part) >= 6")}
   UNION ALL {_found("access", 1, "AKIA[A-Z0-9]{16,}")}
   UNION ALL {_found("hex", 2, "[0-9a-f]{24,}")}
 ), candidate AS ({_found("entropy", 3, "[A-Za-z0-9+/_=-]{24,}")}
-), tested AS (
-  SELECT doc_id, start, value, CASE WHEN regexp_full_match(value, '[0-9a-fA-F]+') THEN 3.0 ELSE 4.0 END AS least FROM candidate
-  WHERE NOT regexp_matches(value, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}')
-    AND NOT regexp_matches(lower(value), 'example|placeholder|changeme|dummy|your[_-]|xxxx|abcdefghijkl|0123456789')
-    AND regexp_matches(value, '[0-9]')
+), {_MASKS}, runs AS ({" UNION ALL ".join(_class_runs(f"left{len(_ALLOWED)}", c, least) for c, least in _CLASSES)}
 ), windows AS (
-  SELECT doc_id, start, least, i, SUM(n * log2(n)) AS s FROM (
-    SELECT doc_id, start, least, i, substr(value, i + k, 1) AS c, COUNT(*) AS n
-    FROM tested, UNNEST(range(1, length(value) - 22)) AS t(i), UNNEST(range(0, 24)) AS u(k) GROUP BY ALL
-  ) GROUP BY ALL
+  SELECT doc_id, start, least, beg, SUM(CAST(ROUND(n * log2(n) * 1048576) AS BIGINT)) AS units FROM (
+    SELECT doc_id, start, least, place + i - 1 AS beg, part, substr(part, i + k, 1) AS c, COUNT(*) AS n
+    FROM runs, UNNEST(range(1, length(part) - 22)) AS t(i), UNNEST(range(0, 24)) AS u(k) GROUP BY ALL
+  ) GROUP BY doc_id, start, least, beg, part
 ), hot AS (
-  SELECT *, SUM(CASE WHEN i - before <= 24 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, start ORDER BY i) AS run FROM (
-    SELECT doc_id, start, i, COALESCE(LAG(i) OVER (PARTITION BY doc_id, start ORDER BY i), -100) AS before
-    FROM windows WHERE s <= 24 * (log2(24) - least) + 1e-6)
+  SELECT *, SUM(CASE WHEN beg - before <= 24 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, start ORDER BY beg) AS run FROM (
+    SELECT doc_id, start, beg, COALESCE(LAG(beg) OVER (PARTITION BY doc_id, start ORDER BY beg), -100) AS before
+    FROM (SELECT DISTINCT doc_id, start, beg FROM windows WHERE units <= FLOOR(24 * (log2(24) - least) * 1048576)))
 ), spans AS (
   SELECT doc_id, kind, rank, start, stop FROM base UNION ALL
-  SELECT doc_id, 'entropy', 3, start + MIN(i) - 1, start + MAX(i) + 23 FROM hot GROUP BY doc_id, start, run
+  SELECT doc_id, 'entropy', 3, start + MIN(beg), start + MAX(beg) + 24 FROM hot GROUP BY doc_id, start, run
 )
 SELECT doc_id, CAST(COUNT(*) FILTER (rank = 0) AS BIGINT) AS n_assign, CAST(COUNT(*) FILTER (rank = 1) AS BIGINT) AS n_access,
   CAST(COUNT(*) FILTER (rank = 2) AS BIGINT) AS n_hex,
