@@ -220,7 +220,8 @@ def find_items(
     of a window is hit.  No shuffle: the automaton of a block of items (``block_words`` at most, so what is
     sent is bounded) goes to every task and each text streams through it once, carrying the longest matching length.  Further
     blocks are further passes over a written table.  Null and empty texts have no words; items without words match
-    nothing; items that share an id count once, and those with a null id count together under the empty id.
+    nothing; items that share an id count once, and those with a null id count together under the empty id.  Very long
+    texts are searched whole; no documents give no rows, no items no hits; other columns stay, whatever their names.
     """
     again = False
     for block in item_blocks(benchmark, item, item_text, block_words):

@@ -94,7 +94,7 @@ def near_vectors(
 
     Vectors that are null, zero, or hold null or non-finite components, and rows with a null label or id, link with
     nothing: n_links 0, their own component (null for a null id), kept.  Vectors of unlike lengths do not link.  Rows
-    that repeat an id are one node; each counts as a copy.
+    that repeat an id are one node; each counts as a copy.  An empty table gives no rows; other columns do not matter.
     """
     rows = rows.select(F.col(key).cast("bigint").alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     usable = rows.filter(valid_vector("vector") & F.col("label").isNotNull() & F.col("id").isNotNull())

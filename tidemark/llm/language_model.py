@@ -219,7 +219,8 @@ def scores(
     3. The texts of a block meet these counts, and one traversal scores them.
     ``docs`` is read twice and must come in the same partitions both times, as a table scan does; a block that differs
     is an error, never a wrong score.  Null and empty texts have one token, the end.  Null ids are kept; rows that
-    repeat an id are documents of their own.  An empty table gives no rows.
+    repeat an id are documents of their own.  Very long texts are blocks of their own.  An empty table gives no rows;
+    other columns do not matter.
     """
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), learn.alias("learn"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number

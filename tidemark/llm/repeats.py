@@ -320,7 +320,8 @@ def without_repeats(
     another document; judged on the input.  Null texts count as empty, shorter ones lose nothing.  Every row is a
     document of its own, whatever its key.  ``docs`` is read several times and must come in the same partitions each
     time, as a table scan does.  Texts travel only where an anchor's surroundings differ from others of the same gram, and
-    where a part is lost; 64-bit hashes find what is compared.
+    where a part is lost; 64-bit hashes find what is compared.  Very long texts are taken whole.  An empty table gives
+    no rows; other columns do not matter.
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")

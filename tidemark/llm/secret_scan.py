@@ -146,9 +146,10 @@ def find_secrets(docs: DataFrame, name: str, text: str = "text", allowed: Sequen
 
     assign, access and hex are the leftmost non-overlapping matches of their patterns, each kind for itself.  entropy
     spans are the runs of windows with many bits a character, for the class of characters they lie in, in what
-    the allow-list leaves of the candidates; they come on top and never remove a span.  Null and empty texts have no spans.  One projection over the scan: no
-    shuffle, no Python, and rows are handled each for itself, so repeated rows or ids do not matter.  The work grows
-    with the text, and with the square of the number of matches within one text.
+    the allow-list leaves of the candidates; they come on top and never remove a span.  Null and empty texts have no
+    spans; very long ones are scanned whole; an empty table gives no rows.  One projection over the scan: no shuffle,
+    no Python, and rows are handled each for itself, so repeated rows or ids do not matter.  The work grows with the
+    text, and with the square of the number of matches within one text.
     """
     whole, *raw = fresh(docs, "_whole", "_assign", "_access", "_hex", "_candidates")
     patterns = dict(zip(raw, (ASSIGN, ACCESS, HEX, CANDIDATE)))
