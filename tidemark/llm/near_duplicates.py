@@ -145,33 +145,39 @@ def _slices(rows: np.ndarray, at: np.ndarray, size: int = 50_000) -> Iterator[tu
 Compare = Callable[[int, pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
 
-def _compare_in_blocks(members: DataFrame, weights: DataFrame, compare: Compare, schema: str) -> DataFrame:
+def _compare_in_blocks(members: DataFrame, payload: DataFrame, compare: Compare, schema: str) -> DataFrame:
     """``compare(bucket, left, right)`` for the rows of each bucket, all with all.
 
-    ``weights``: bucket, n, weight (bytes of its rows).  Small buckets share a group.  Large ones are cut into blocks
-    of BLOCK rows or BLOCK_BYTES at most, and a group holds two of them, so no group grows with the bucket; left is
-    right where a block meets itself.
+    ``members``: bucket, id, component, weight (bytes that the row will bring); ``payload``: id and what is compared.
+    Rows are dealt while they are narrow; what is compared joins them last.  Small buckets share a group.  Large ones
+    are cut into blocks of BLOCK rows or BLOCK_BYTES at most, and a group holds two of them, so no group grows with
+    the bucket; left is right where a block meets itself.
     """
 
-    def within(cell: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([compare(key, bucket, bucket) for key, bucket in cell.groupby("bucket", sort=False)])
-
-    def across(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = (group[group["mine"] == group[side].iloc[0]] for side in ("i", "j"))
-        right = left if group["i"].iloc[0] == group["j"].iloc[0] else right
-        return compare(group["bucket"].iloc[0], left, right)
-
-    members = members.join(weights, "bucket")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_BYTES)).cast("int")
-    members = members.withColumn("blocks", blocks)
-    small, large = members.filter("blocks = 1"), members.filter("blocks > 1")
-    rows, weight = weights.agg(F.sum("n"), F.sum("weight")).first()  # two numbers
-    cells = F.lit(max(1, math.ceil((rows or 0) / CELL), math.ceil((weight or 0) / (4 * BLOCK_BYTES))))
-    found = small.withColumn("cell", F.pmod("bucket", cells)).groupBy("cell").applyInPandas(within, schema)
-    large = large.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    return found.unionByName(large.groupBy("bucket", "i", "j").applyInPandas(across, schema)).distinct()
+    def group_of(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        if i < 0:
+            return pd.concat([compare(key, bucket, bucket) for key, bucket in rows.groupby("bucket", sort=False)])
+        left = rows[rows["mine"] == i]
+        return compare(rows["bucket"].iloc[0], left, left if i == j else rows[rows["mine"] == j])
+
+    weights = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("bytes")), "weights")
+    rows, size = weights.agg(F.sum("n"), F.sum("bytes")).first()  # two numbers
+    cells = F.lit(max(1, math.ceil((rows or 0) / CELL), math.ceil((size or 0) / (4 * BLOCK_BYTES))))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    placed = members.join(weights.select("bucket", blocks.alias("blocks")), "bucket").drop("weight")
+    small = F.col("blocks") == 1
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = placed.withColumns({"small": small, "mine": F.when(small, -1).otherwise(mine)})
+    others = F.when(F.col("small"), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = placed.withColumn("other", F.explode(others))
+    placed = placed.select(
+        F.when(F.col("small"), F.pmod("bucket", cells)).otherwise(F.col("bucket")).alias("cell"),
+        F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        *[c for c in placed.columns if c not in ("small", "other", "blocks")],
+    )
+    keys = [c for c in payload.columns if c in ("id", "digest")]
+    return placed.join(payload, keys).groupBy("cell", "i", "j").applyInPandas(group_of, schema).distinct()
 
 
 def _frame(columns: dict[str, np.ndarray | list]) -> pd.DataFrame:
@@ -203,15 +209,21 @@ def _nearest(most: int) -> Compare:
     return compare
 
 
-def _alike(bucket: int, left: pd.DataFrame, right: pd.DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of left and of right that are alike by the sketch; only in the first bucket that they share."""
+def _alike(bucket: int, left: pd.DataFrame, right: pd.DataFrame, most: int, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of left and of right that are alike by the sketch and by size; only in the first bucket that they share.
+
+    Sets of which one is smaller than ``similarity`` percent of the other cannot be that similar.
+    """
     if not len(left) or not len(right):
         return
     ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+    sizes, their_sizes = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
     keys, theirs = np.stack(left["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
     begin = 0
     for part, bits in _differing(left, right):
-        rows, at = np.nonzero((bits <= most) & (ids[begin : begin + len(part), None] < others if left is right else True))
+        own = sizes[begin : begin + len(part), None]
+        fits = (bits <= most) & (100 * np.minimum(own, their_sizes) >= similarity * np.maximum(own, their_sizes))
+        rows, at = np.nonzero(fits & (ids[begin : begin + len(part), None] < others if left is right else True))
         rows = rows + begin
         begin += len(part)
         for r, t in _slices(rows, at):
@@ -219,12 +231,12 @@ def _alike(bucket: int, left: pd.DataFrame, right: pd.DataFrame, most: int) -> I
             yield r[first], t[first]
 
 
-def _with_partner(most: int) -> Compare:
+def _with_partner(most: int, similarity: int) -> Compare:
     """(bucket, id) of the rows that have one alike in another component."""
 
     def compare(bucket: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         mine, theirs = np.zeros(len(left), bool), np.zeros(len(right), bool)
-        for r, t in _alike(bucket, left, right, most):
+        for r, t in _alike(bucket, left, right, most, similarity):
             mine[r] = theirs[t] = True
         ids = np.unique(np.concatenate([left["id"].to_numpy()[mine], right["id"].to_numpy()[theirs]]))
         return _frame({"bucket": np.full(len(ids), bucket), "id": ids})
@@ -251,11 +263,11 @@ def _spanning(most: int, similarity: int) -> Compare:
         sets, others = ([np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in (left, right))
         ids, their_ids = left["id"].tolist(), right["id"].tolist()
         components, their_components = left["component"].tolist(), right["component"].tolist()
-        for rows, at in _alike(bucket, left, right, most):
+        for rows, at in _alike(bucket, left, right, most, similarity):
             for r, t in zip(rows.tolist(), at.tolist()):
                 one, other = root(components[r]), root(their_components[t])
                 x, y = sets[r], others[t]
-                if one == other or 100 * min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                if one == other:
                     continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= similarity * (len(x) + len(y) - common):
@@ -282,30 +294,32 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int
 
 
 def _remaining_links(
-    members: DataFrame, docs: DataFrame, key: str, text: str, size: int, most: int, similarity: int
+    members: DataFrame, chosen: DataFrame, docs: DataFrame, key: str, text: str, size: int, most: int, similarity: int
 ) -> DataFrame:
-    """Links between components within buckets (bucket, id, component, digest, sketch, bands): none that matters is missing.
+    """Links between components within buckets (bucket, id, digest, component): none that matters is missing.
 
     First the rows are found that have anyone alike in another component; their sets then travel once for each of
     their buckets, and are compared where they meet.  Neither step gives a row for a pair that is no link.
     """
-    count = F.count(F.lit(1))
-    weights = members.groupBy("bucket").agg(count.alias("n"), (count * SIGNATURE_BYTES).alias("weight"))
-    alike = _compare_in_blocks(members.drop("digest"), weights, _with_partner(most), "bucket bigint, id bigint")
+    signatures = chosen.select("id", "digest", "sketch", "bands", "n_shingles")
+    plain = members.withColumn("weight", F.lit(SIGNATURE_BYTES).cast("bigint"))
+    alike = _compare_in_blocks(plain, signatures, _with_partner(most, similarity), "bucket bigint, id bigint")
     alike = materialize(alike, "alike")
-    sets = materialize(shingle_sets(docs, alike.select("id").distinct(), key, text, size), "sets")
-    rows = materialize(members.join(alike, ["bucket", "id"]).join(sets, ["id", "digest"]).drop("digest"), "compared")
-    weights = rows.groupBy("bucket").agg(count.alias("n"), F.sum(F.octet_length("shingles") + SIGNATURE_BYTES).alias("weight"))
-    return _compare_in_blocks(rows, weights, _spanning(most, similarity), "a bigint, b bigint")
+    ids = materialize(alike.select("id").distinct(), "ids")
+    sets = shingle_sets(docs, ids, key, text, size).join(signatures, ["id", "digest"])
+    sets = materialize(sets, "sets")
+    sizes = sets.select("id", "digest", (8 * F.col("n_shingles") + SIGNATURE_BYTES).alias("weight"))
+    rows = members.join(alike, ["bucket", "id"]).join(sizes, ["id", "digest"])
+    return _compare_in_blocks(materialize(rows, "compared"), sets, _spanning(most, similarity), "a bigint, b bigint")
 
 
-def _mixed_buckets(shared: DataFrame, found: DataFrame, chosen: DataFrame) -> DataFrame:
-    """bucket, id, component, digest, sketch, bands of the buckets that hold several components."""
+def _mixed_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, id, digest, component of the rows of buckets that hold several components."""
     members = shared.join(found, F.col("id") == F.col("node"), "left")
-    members = materialize(members.select("bucket", "id", F.coalesce("component", "id").alias("component")), "members")
+    members = materialize(members.select("bucket", "id", "digest", F.coalesce("component", "id").alias("component")), "members")
     several = members.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
     several = several.filter("_low < _high").select("bucket")
-    return members.join(several, "bucket").join(chosen.select("id", "digest", "sketch", "bands"), "id")
+    return materialize(members.join(several, "bucket"), "mixed-buckets")
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -334,7 +348,8 @@ def near_duplicates(
 
     Linked are documents with 100 * intersection >= similarity * union.  Null and empty texts have the empty set and
     link with nothing; their component is their own id.  Rows that share an id are one node.  Rows with a null id
-    follow their class; if no row of it has an id, component_id is null and they are kept.
+    follow their class; if no row of it has an id, component_id is null and they are kept.  Very long texts are taken
+    whole, with 8 bytes in memory for each shingle.  An empty table gives no rows; other columns do not matter.
     """
     most = most_differing_bits(similarity / 100 - MARGIN)
     signed = materialize(signatures(docs, key, text, shingle), "signatures")
@@ -344,7 +359,7 @@ def near_duplicates(
         full.join(classes.filter("rep IS NOT NULL").select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi"),
         "classes",
     )
-    buckets = chosen.select(F.explode("bands").alias("bucket"), "id")
+    buckets = chosen.select(F.explode("bands").alias("bucket"), "id", "digest")
 
     sizes = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(buckets.join(sizes, "bucket"), "buckets")
@@ -353,15 +368,13 @@ def near_duplicates(
     links = materialize(_confirmed(tried, docs, key, text, shingle, similarity), "links")
     found = materialize(connected_components(links, "a", "b"), "components")
 
-    rest = materialize(_mixed_buckets(shared, found, chosen), "mixed-buckets")
-    count = F.count(F.lit(1))
-    weights = rest.groupBy("bucket").agg(count.alias("n"), (count * SIGNATURE_BYTES).alias("weight"))
-    pairs = _compare_in_blocks(rest.drop("digest"), weights, _nearest(most), "a bigint, b bigint")
+    rest = _mixed_buckets(shared, found).withColumn("weight", F.lit(SIGNATURE_BYTES).cast("bigint"))
+    pairs = _compare_in_blocks(rest, chosen.select("id", "digest", "sketch"), _nearest(most), "a bigint, b bigint")
     pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     found = _joined(found, _confirmed(pairs, docs, key, text, shingle, similarity))
 
-    rest = materialize(_mixed_buckets(shared, found, chosen), "mixed-buckets")
-    found = _joined(found, _remaining_links(rest, docs, key, text, shingle, most, similarity))
+    rest = _mixed_buckets(shared, found)
+    found = _joined(found, _remaining_links(rest, chosen, docs, key, text, shingle, most, similarity))
 
     named = classes.join(found, F.col("rep") == F.col("node"), "left")
     named = named.select("digest", F.coalesce("component", "rep").alias("_component"))
