@@ -1,7 +1,7 @@
 """DuckDB SQL of the numbered operators, where SQL can express them; worked out by brute force.
 
-Files in a format of their own (4), checksums that SQL does not have (3, 9), trained models (9, 10) and what takes SQL
-minutes on small tables (7, every window of every text) are left to tests.
+Files in a format of their own (4), trained models (9, 10), a tokenizer's merges (11) and what takes SQL minutes on small
+tables (7, every window of every text) are left to tests.
 """
 
 ORACLES: dict[str, str] = {}
@@ -102,6 +102,28 @@ SELECT doc_id, CAST(COUNT(*) FILTER (rank = 0) AS BIGINT) AS n_assign, CAST(COUN
   COALESCE(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank IS NOT NULL), '') AS spans
 FROM documents LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
 
+# The checksum goes through the bytes of a text by half bytes, low half first.
+ORACLES["op3_shards"] = """
+WITH d AS (
+  SELECT doc_id, COALESCE(text, '') AS text, COALESCE(octet_length(encode(text)), 0) + 1 AS size,
+    row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS place FROM documents
+), half AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM (SELECT CAST(n AS BIGINT) AS n FROM range(16) AS r(n))
+), digits AS (
+  SELECT doc_id, place, size, list_transform(string_split(hex(encode(text)), ''), lambda c: CAST(strpos('0123456789ABCDEF', c) - 1 AS BIGINT)) AS h
+  FROM d WHERE text <> ''
+), sums AS (
+  SELECT place, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h) + 1), lambda i: h[i + CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END])),
+    lambda c, b: xor(c >> 4, t[CAST(xor(c, b) & 15 AS INTEGER) + 1])), 4294967295) AS crc
+  FROM digits, half
+), cut AS (
+  SELECT *, CAST(LEAST(15, (2 * (SUM(size) OVER (ORDER BY place) - size) + size) * 16 // (2 * SUM(size) OVER ())) AS INTEGER) AS shard FROM d
+)
+SELECT doc_id, size, COALESCE(crc, 0) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut LEFT JOIN sums USING (place)"""
+
 ORACLES["op2_decontaminate"] = f"""
 WITH d AS (SELECT doc_id, COALESCE(regexp_extract_all({_LOWER}, {_ALNUM}), []) AS words FROM documents),
 i AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS words FROM benchmark WHERE text IS NOT NULL),
