@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, types as T
 from .text import with_column
 
 SPACE = "▁"
-CACHED_WORDS = 100_000
-CACHED_PAIRS = 200_000
+CACHED_WORDS = 200_000
+CACHED_PAIRS = 300_000
+SLICE = 512  # rows of a batch that are Python objects at one time
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces, as model files number them
 
 
@@ -225,6 +226,10 @@ def _valid_characters(run: bytes) -> str:
     return "".join(out)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, SLICE) for batch in batches for i in range(0, batch.num_rows, SLICE))
+
+
 @lru_cache(1)
 def _encoder(model: PieceModel) -> WordIds:
     return WordIds(model)
@@ -248,7 +253,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
-        for batch in batches:
+        for batch in _slices(batches):
             values = [begin + encoder.encode(t or "") + end for t in batch.column(text).to_pylist()]
             yield with_column(batch, ids, pa.array(values, pa.binary()))
 
@@ -265,7 +270,7 @@ def decode(tokens: DataFrame, model: PieceModel, ids: str = "ids", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(model)
-        for batch in batches:
+        for batch in _slices(batches):
             rows = batch.column(ids).to_pylist()
             values = [None if r is None else decoder.decode(np.frombuffer(r, "<u4")) for r in rows]
             yield with_column(batch, text, pa.array(values, pa.string()))
