@@ -55,7 +55,7 @@ def test_near_duplicates_alike_but_unlinked(spark, monkeypatch, bytes_):
     texts = [edited(rng, base, rng.choice([2, 3, 4])) for _ in range(60)] + [edited(rng, base, 1), "other words here then", None]
     docs = docs_of(spark, texts)
     signed = N.signatures(docs, "doc_id", "text", 4).filter("n_shingles > 0").withColumn("component", F.col("id"))
-    members = signed.select(F.explode("bands").alias("bucket"), "id", "component", "digest")
+    members = signed.select(F.explode("bands").alias("bucket"), "id", "component")
     sizes = members.groupBy("bucket").count().filter("count > 1").select("bucket")
     most = N.most_differing_bits(0.8 - N.MARGIN)
     links = N._remaining_links(members.join(sizes, "bucket"), signed, docs, "doc_id", "text", 4, most, 80).collect()

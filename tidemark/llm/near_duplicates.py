@@ -176,8 +176,7 @@ def _compare_in_blocks(members: DataFrame, payload: DataFrame, compare: Compare,
         F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
         *[c for c in placed.columns if c not in ("small", "other", "blocks")],
     )
-    keys = [c for c in payload.columns if c in ("id", "digest")]
-    return placed.join(payload, keys).groupBy("cell", "i", "j").applyInPandas(group_of, schema).distinct()
+    return placed.join(payload.hint("merge"), "id").groupBy("cell", "i", "j").applyInPandas(group_of, schema).distinct()
 
 
 def _frame(columns: dict[str, np.ndarray | list]) -> pd.DataFrame:
@@ -296,27 +295,27 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int
 def _remaining_links(
     members: DataFrame, chosen: DataFrame, docs: DataFrame, key: str, text: str, size: int, most: int, similarity: int
 ) -> DataFrame:
-    """Links between components within buckets (bucket, id, digest, component): none that matters is missing.
+    """Links between components within buckets (bucket, id, component): none that matters is missing.
 
     First the rows are found that have anyone alike in another component; their sets then travel once for each of
     their buckets, and are compared where they meet.  Neither step gives a row for a pair that is no link.
     """
     signatures = chosen.select("id", "digest", "sketch", "bands", "n_shingles")
     plain = members.withColumn("weight", F.lit(SIGNATURE_BYTES).cast("bigint"))
-    alike = _compare_in_blocks(plain, signatures, _with_partner(most, similarity), "bucket bigint, id bigint")
+    alike = _compare_in_blocks(plain, signatures.drop("digest"), _with_partner(most, similarity), "bucket bigint, id bigint")
     alike = materialize(alike, "alike")
     ids = materialize(alike.select("id").distinct(), "ids")
-    sets = shingle_sets(docs, ids, key, text, size).join(signatures, ["id", "digest"])
+    sets = shingle_sets(docs, ids, key, text, size).join(signatures, ["id", "digest"]).drop("digest")
     sets = materialize(sets, "sets")
-    sizes = sets.select("id", "digest", (8 * F.col("n_shingles") + SIGNATURE_BYTES).alias("weight"))
-    rows = members.join(alike, ["bucket", "id"]).join(sizes, ["id", "digest"])
+    sizes = sets.groupBy("id").agg(F.sum(8 * F.col("n_shingles") + SIGNATURE_BYTES).alias("weight"))
+    rows = members.join(alike, ["bucket", "id"]).join(sizes, "id")
     return _compare_in_blocks(materialize(rows, "compared"), sets, _spanning(most, similarity), "a bigint, b bigint")
 
 
 def _mixed_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """bucket, id, digest, component of the rows of buckets that hold several components."""
-    members = shared.join(found, F.col("id") == F.col("node"), "left")
-    members = materialize(members.select("bucket", "id", "digest", F.coalesce("component", "id").alias("component")), "members")
+    """bucket, id, component of the rows of buckets that hold several components."""
+    members = shared.join(found.hint("merge"), F.col("id") == F.col("node"), "left")
+    members = materialize(members.select("bucket", "id", F.coalesce("component", "id").alias("component")), "members")
     several = members.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
     several = several.filter("_low < _high").select("bucket")
     return materialize(members.join(several, "bucket"), "mixed-buckets")
@@ -359,17 +358,18 @@ def near_duplicates(
         full.join(classes.filter("rep IS NOT NULL").select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi"),
         "classes",
     )
-    buckets = chosen.select(F.explode("bands").alias("bucket"), "id", "digest")
+    buckets = chosen.select(F.explode("bands").alias("bucket"), "id")
 
     sizes = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialize(buckets.join(sizes, "bucket"), "buckets")
+    # Both sides grow with the corpus: a merge join at every size, so that cost grows as the corpus does.
+    shared = materialize(buckets.join(sizes.hint("merge"), "bucket"), "buckets")
     tried = shared.filter("low < id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     tried = materialize(_similar_sketches(tried, chosen, most), "stars")
     links = materialize(_confirmed(tried, docs, key, text, shingle, similarity), "links")
     found = materialize(connected_components(links, "a", "b"), "components")
 
     rest = _mixed_buckets(shared, found).withColumn("weight", F.lit(SIGNATURE_BYTES).cast("bigint"))
-    pairs = _compare_in_blocks(rest, chosen.select("id", "digest", "sketch"), _nearest(most), "a bigint, b bigint")
+    pairs = _compare_in_blocks(rest, chosen.select("id", "sketch"), _nearest(most), "a bigint, b bigint")
     pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     found = _joined(found, _confirmed(pairs, docs, key, text, shingle, similarity))
 
