@@ -148,3 +148,28 @@ def test_calendar(spark, seed, hot_rows):
     assert counts == {e: (sum(x == e for x, _ in expected), min(t for x, t in expected if x == e)) for e, _ in expected}
     totals = {r.at: r.loaded_rows for r in calendar.refresh_totals(loads, table).collect()}
     assert totals == {at: sum(t == at for _, t in expected) for at in whole}
+
+
+@pytest.mark.parametrize("seed,hot_rows", [(67, 1_000_000), (68, 2)])
+def test_calendar_without_its_loads(spark, seed, hot_rows, monkeypatch):
+    """Counts and totals as from the single loads, without a row for each of them."""
+    rows = random_rows(seed, n=90, hot=True, null_key=True)
+    rng = random.Random(seed)
+    times = [(START + rng.choice([rng.random() * 50, rng.randrange(50)]) * HOUR, rng.random() < 0.3) for _ in range(15)]
+    times += [times[0], (None, True), (START - HOUR, True), (datetime(2030, 1, 1), False)]
+    table, log = spark.createDataFrame(times, calendar.CALENDAR_DDL), make_log(spark, rows)
+    loads = calendar.calendar_loads(log, table, 6, len(rows), hot_rows=hot_rows)
+    expected = sorted(calendar.load_counts(loads).collect()), sorted(calendar.refresh_totals(loads, table).collect())
+    monkeypatch.setattr(calendar, "points_within", None)
+    counts = calendar.calendar_load_counts(log, table, 6, len(rows), hot_rows=hot_rows)
+    totals = calendar.calendar_refresh_totals(log, table, 6, len(rows), hot_rows=hot_rows)
+    assert (sorted(counts.collect()), sorted(totals.collect())) == expected
+
+
+def test_calendar_queries_make_no_row_for_a_load(spark, monkeypatch):
+    from tidemark.plans import queries
+
+    for name in ("points_within", "load_counts", "refresh_totals"):
+        monkeypatch.setattr(calendar, name, None)
+    for name in ("calendar_loads",):
+        assert queries.REGISTRY[name](spark, "/root/testdata/sf0.001").count() > 0

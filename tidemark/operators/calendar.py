@@ -8,7 +8,7 @@ from ..functions.clock import hours, to_micros, to_timestamp
 from ..functions.ladder import running, time_widths
 from ..functions.measures import as_total, is_live, sales_amount
 from ..functions.skew import HOT_ROWS, same_keys, split_hot
-from .spans import points_within
+from .spans import point_counts, points_within
 from .views import KEY
 
 CALENDAR_DDL = "at timestamp_ntz, full boolean"
@@ -34,6 +34,24 @@ def versions(log: DataFrame, rows: int, key: str = KEY, hot_rows: int = HOT_ROWS
     return found.drop(key)
 
 
+def _times(calendar: DataFrame) -> DataFrame:
+    """(position, full): the distinct times of the refreshes."""
+    at = to_micros("at")
+    return calendar.filter(F.col("at").isNotNull()).groupBy(at.alias("position")).agg(F.max(F.coalesce("full", F.lit(False))).alias("full"))
+
+
+def _spans(log: DataFrame, hot: float, rows: int, key: str, hot_rows: int) -> DataFrame:
+    """(event_id, amount, arrival_us, full, until): the times at which a refresh loads a live row, for either kind."""
+    live = versions(log, rows, key, hot_rows).filter("live")
+    leaves = F.col("arrival_us") + F.lit(hours(hot) + 1)
+    # One pass: an interval for the hot refreshes and a longer one for the full ones.
+    reaches = F.array(
+        F.struct(F.lit(False).alias("full"), F.least(leaves, F.coalesce("next_arrival_us", leaves)).alias("until")),
+        F.struct(F.lit(True).alias("full"), F.col("next_arrival_us").alias("until")),
+    )
+    return live.select("event_id", "amount", "arrival_us", F.explode(reaches).alias("_r")).select("*", "_r.*").drop("_r")
+
+
 def calendar_loads(log: DataFrame, calendar: DataFrame, hot: float, rows: int, key: str = KEY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(event_id, amount, at): each live row and each refresh that loads it.
 
@@ -42,21 +60,47 @@ def calendar_loads(log: DataFrame, calendar: DataFrame, hot: float, rows: int, k
     reads it loads the newest row of each key.  So a row is loaded by the refreshes from its arrival on, until a newer
     change of its key arrives, and until it leaves the hot window unless they are full.  ``rows``: an upper bound of
     the log's rows.
+
+    These are rows times full refreshes: ``calendar_load_counts`` and ``calendar_refresh_totals`` do without them.
     """
-    at = to_micros("at")
-    times = calendar.filter(F.col("at").isNotNull()).groupBy(at.alias("position")).agg(F.max(F.coalesce("full", F.lit(False))).alias("full"))
-    live = versions(log, rows, key, hot_rows).filter("live")
-    leaves = F.col("arrival_us") + F.lit(hours(hot) + 1)
-    # One pass: an interval for the hot refreshes and a longer one for the full ones.
-    reaches = F.array(
-        F.struct(F.lit(False).alias("full"), F.least(leaves, F.coalesce("next_arrival_us", leaves)).alias("until")),
-        F.struct(F.lit(True).alias("full"), F.col("next_arrival_us").alias("until")),
-    )
-    spans = live.select("event_id", "amount", "arrival_us", F.explode(reaches).alias("_r")).select("*", "_r.*").drop("_r")
-    found = points_within(spans, times, F.col("arrival_us"), F.col("until"), by=["full"], widths=time_widths(None))
+    spans = _spans(log, hot, rows, key, hot_rows)
+    found = points_within(spans, _times(calendar), F.col("arrival_us"), F.col("until"), by=["full"], widths=time_widths(None))
     return found.select("event_id", "amount", to_timestamp("position").alias("at"))
 
 
+def calendar_load_counts(
+    log: DataFrame, calendar: DataFrame, hot: float, rows: int, key: str = KEY, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``load_counts`` of ``calendar_loads``, from the numbers of the refreshes at the ends of each row's interval."""
+    spans = _spans(log, hot, rows, key, hot_rows)
+    found = point_counts(spans, _times(calendar), F.col("arrival_us"), F.col("until"), ["event_id"], by=["full"], widths=time_widths(None))
+    return found.select("event_id", F.col("points").alias("load_count"), to_timestamp("first").alias("first_loaded"))
+
+
+def calendar_refresh_totals(
+    log: DataFrame, calendar: DataFrame, hot: float, rows: int, key: str = KEY, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``refresh_totals`` of ``calendar_loads``, as running sums of the rows that come within reach and go out of it."""
+    spans = _spans(log, hot, rows, key, hot_rows).filter("until IS NULL OR arrival_us < until")
+    moves = F.array(
+        F.struct(F.col("arrival_us").alias("position"), F.lit(1).cast("bigint").alias("_n"), F.col("amount").alias("_amount")),
+        F.struct(F.col("until").alias("position"), F.lit(-1).cast("bigint").alias("_n"), (-F.col("amount")).alias("_amount")),
+    )
+    moves = spans.select("full", F.explode(moves).alias("_m")).select("full", "_m.*").filter("position IS NOT NULL")
+    asked = _times(calendar).select("full", "position", F.lit(True).alias("_asked"))
+    totals = running(
+        moves.unionByName(asked, allowMissingColumns=True),
+        F.col("position"),
+        {"_rows": ("sum", F.col("_n")), "_sales": ("sum", F.col("_amount"))},
+        by=["full"],
+        at={"_asked": F.max("_asked")},
+        widths=time_widths(None),
+    ).filter("_asked")
+    return totals.select(
+        to_timestamp("position").alias("at"), F.coalesce("_rows", F.lit(0)).alias("loaded_rows"), as_total(F.col("_sales")).alias("loaded_sales")
+    )
+
+
 def load_counts(loads: DataFrame) -> DataFrame:
     """event_id, load_count, first_loaded: how often each row is written, and when readers see it first."""
     return loads.groupBy("event_id").agg(F.count("*").alias("load_count"), F.min("at").alias("first_loaded"))
