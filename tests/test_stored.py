@@ -171,5 +171,5 @@ def test_calendar_queries_make_no_row_for_a_load(spark, monkeypatch):
 
     for name in ("points_within", "load_counts", "refresh_totals"):
         monkeypatch.setattr(calendar, name, None)
-    for name in ("calendar_loads", "calendar_loads_hot_keys"):
+    for name in ("calendar_loads", "calendar_loads_hot_keys", "calendar_refreshes"):
         assert queries.REGISTRY[name](spark, "/root/testdata/sf0.001").count() > 0
