@@ -237,3 +237,29 @@ def test_targets_as_a_table(spark):
     assert Q.targets_of(Q.targets_table(spark)) == list(Q.TARGETS)
     named = spark.createDataFrame([("x", 5.0)], "scenario string, freshness_target_minutes double")
     assert Q.targets_of(named) == [Q.Target("x", freshness_target_minutes=5.0)]
+
+
+def test_loads_are_numbered_before_they_are_given_to_runs(spark):
+    rows = random_rows(3, n=40, hot=True)
+    log = make_log(spark, rows)
+    runs = [Run(p, s) for s in ("S1", "S2", "S3") for p in (P.Immediate(), P.FullRefresh(10), P.LaggedReconcile(12, 5))]
+    replay, numbers = Replay(log, runs), views.as_of(log, START + 1000 * HOUR).selectExpr("event_id", "event_id * 2 AS source_row_number")
+    report = reports.replay_load_report(replay, numbers)
+    plain = reports.row_load_report(replay.row_loads(), numbers)
+    assert report.columns == plain.columns and sorted(map(str, report.collect())) == sorted(map(str, plain.collect()))
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join LeftOuter")
+
+
+def test_result_tables_are_packed(spark):
+    """A study repeats its labels on every row: plain text took some 50 times the log."""
+    from pathlib import Path
+
+    replay = Replay(make_log(spark, random_rows(4, n=60)), [Run(P.Immediate(), "S1"), Run(P.FullRefresh(6), "S1")])
+    loads = reports.replay_load_report(replay, replay.log.selectExpr("event_id", "event_id AS source_row_number"))
+    root = scratch_path(spark, "packed")
+    sinks.save_results(root, replay.timeline(), Q.evaluate(replay), loads)
+    files = [f.name for name in ("snapshots", "outcomes", "row_loads") for f in Path(root, name).glob("part-*")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    back = sinks.read_csv(spark, f"{root}/row_loads", loads.withColumn("run_type", F.lit("scenarios")).schema)
+    assert sorted(map(str, back.drop("run_type").collect())) == sorted(map(str, loads.collect()))
