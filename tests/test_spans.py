@@ -102,3 +102,18 @@ def test_points_within(spark, seed, monkeypatch):
         (i, p) for i, g, a, b in spans if a is not None for p in points.get(g, []) if a <= p and (b is None or p < b)
     ]
     assert got == sorted(expected)
+
+
+def test_intervals_without_an_end_stay_out_of_the_tree(spark, monkeypatch):
+    """They share one end, so all of them met in one task, which then cut them into nodes."""
+    seen = {}
+    monkeypatch.setattr(S, "materialize", lambda df, name: seen.setdefault(name, df))
+    rows = spark.range(300).select(F.col("id").alias("a"), F.when(F.col("id") % 10 == 0, F.col("id") + 5).alias("b"), (F.col("id") % 7).alias("v"))
+    points = spark.range(0, 400, 3).select(F.col("id").alias("position"))
+    found = S.covering(rows, points, F.col("a"), F.col("b"), {"top": ("max", F.col("v"))})
+    values = [(a, a + 5 if a % 10 == 0 else None, a % 7) for a in range(300)]
+    expected = {p: max((v for a, b, v in values if a <= p and (b is None or p < b)), default=None) for p in range(0, 400, 3)}
+    assert {r.position: r.top for r in found.collect()} == {p: v for p, v in expected.items() if v is not None}
+    assert seen["ranks"].filter(F.col("position") > 1000).count() == 0
+    # Thirty intervals, each of at most two nodes on a level.
+    assert seen["nodes"].agg(F.max("level")).first()[0] <= 1 and seen["nodes"].count() <= 60
