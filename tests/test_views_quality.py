@@ -263,3 +263,51 @@ def test_result_tables_are_packed(spark):
     assert files and all(f.endswith(".csv.gz") for f in files)
     back = sinks.read_csv(spark, f"{root}/row_loads", loads.withColumn("run_type", F.lit("scenarios")).schema)
     assert sorted(map(str, back.drop("run_type").collect())) == sorted(map(str, loads.collect()))
+
+
+def test_percentile_across_minutes_and_groups_from_single_lags(spark):
+    import numpy as np
+
+    lags = {"a": [0] * 30, "b": [*range(19), 90 * 10**6, 10**12], "c": [5 * 10**9 + i for i in range(40)], "d": [7]}
+    df = spark.createDataFrame([(k, x, x == 7) for k, xs in lags.items() for x in xs], "policy string, lag_us bigint, unserved boolean")
+    for rows in (df, Q.lag_counts(df)):
+        got = {r["policy"]: r for r in Q.freshness_of(rows).collect()}
+        for k, xs in lags.items():
+            assert got[k]["freshness_p95_minutes"] == pytest.approx(np.quantile(xs, 0.95) / 6e7)
+            assert got[k]["freshness_max_minutes"] == pytest.approx(max(xs) / 6e7)
+            assert got[k]["freshness_unserved_points"] == xs.count(7)
+
+
+def test_restatement_across_slots_of_time(spark):
+    # The row before is hours or days back, with a null value and a null horizon among them.
+    values = [(0, 1.0, 0), (30, 2.0, 0), (31, None, 0), (500, 4.0, 0), (501, 4.5, None), (502, 5.0, 0), (502.5, 6.0, 0)]
+    rows = [("p", START + t * HOUR, v, None if h is None else START) for t, v, h in values]
+    line = spark.createDataFrame(rows, "policy string, arrival_time timestamp_ntz, value double, max_visible_arrival_time timestamp_ntz")
+    for bound in (None, 10):
+        got = Q.restatement(line, rows=bound).first()
+        assert got["stability_same_horizon_transitions"] == 4 and got["stability_revision_count"] == 2
+        assert got["stability_total_abs_change"] == 2.0
+
+
+def test_large_logs_spread_over_time_get_hour_slots(spark):
+    from dataclasses import replace
+
+    from tidemark.functions.ladder import TASK_ROWS, TIME_WIDTHS
+    from tidemark.sources.changelog import profile
+
+    found = profile(make_log(spark, [row(1, 1, 0), row(2, 1, 0.5), row(3, 2, 1.5), row(4, 2, None)]))
+    assert (found.rows, found.densest_hour) == (4, 2)
+    log = make_log(spark, [row(1, 1, 0)])
+    many = replace(found, rows=100 * TASK_ROWS)
+    assert Replay(log, [P.FullRefresh(6), P.Immediate()], profile=many)._widths != TIME_WIDTHS
+    crowded = replace(many, densest_hour=2 * TASK_ROWS)
+    assert Replay(log, [P.Immediate()], profile=crowded)._widths == TIME_WIDTHS
+
+
+def test_served_totals_do_not_repeat_the_log_for_each_policy(spark):
+    log = make_log(spark, random_rows(4, n=30))
+    replay = Replay(log, [P.Immediate(), P.FullRefresh(6), P.WindowGate(6, 12)])
+    plan = Q._served_and_true(replay, replay._at(None), [None], loads=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # above the sums, not below them
+    empty = Replay(make_log(spark, []), [P.Immediate(), P.FullRefresh(6)])
+    assert Q.accuracy(empty).count() == 0
