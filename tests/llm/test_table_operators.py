@@ -12,6 +12,8 @@ from tokenizers import Tokenizer
 
 from tidemark.llm import coder, embeddings as E, mixing, near_duplicates as N, quality as Q, shards, tokens as T
 from tidemark.llm.components import connected_components
+from tidemark.llm.text import id_filter, passing
+from tidemark.session import settings
 
 
 def test_components(spark):
@@ -282,3 +284,16 @@ def test_quality_edges(spark):
     assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
     assert Q.train(docs.limit(0).select("doc_id", "text"), labels.limit(0)).base == 0.0
     assert Q.with_score(docs.limit(0), model, "score").count() == 0
+
+
+def test_texts_are_filtered_where_they_are_read(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)] + [(None, "x"), (7, "again"), (9, None)], "name long, body string")
+    ids = spark.createDataFrame([(7,), (9,), (300,), (5000,)], "id long")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        found = N._texts_of(docs, ids, "name", "body")
+        assert sorted(map(str, found.collect())) == sorted(
+            map(str, docs.filter("name IN (7, 9, 300)").toDF("id", "text").collect())
+        )
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.index("Exchange") < plan.index("MapInArrow")  # before the shuffle: lower in the plan
+    assert passing(docs, "name", id_filter(ids, "id")).count() < 20

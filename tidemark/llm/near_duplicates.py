@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 from .components import connected_components
-from .text import WordHash, byte_texts, mixed, space_words, window_hashes
+from .text import WordHash, byte_texts, id_filter, mixed, passing, space_words, window_hashes
 
 SHINGLE = 5
 SIMILARITY = 80  # percent
@@ -104,6 +104,12 @@ def differing_bits(a: str, b: str) -> Column:
     return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of some documents.  Before the join, a filter by hash leaves out the others where they are read."""
+    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    return passing(texts, "id", id_filter(ids, "id")).join(ids, "id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough.
 
@@ -123,8 +129,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(ends, "id", "left_semi")
-    texts = materialize(texts, "texts")
+    ends = materialize(ends, "ends")
+    texts = materialize(_texts_of(docs, ends, key, text), "texts")
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
@@ -288,8 +294,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int
             columns = [batch.column("id"), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "shingles"])
 
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    return texts.mapInArrow(run, "id bigint, digest binary, shingles binary").dropDuplicates(["id", "digest"])
+    return _texts_of(docs, ids, key, text).mapInArrow(run, "id bigint, digest binary, shingles binary").dropDuplicates(["id", "digest"])
 
 
 def _remaining_links(
