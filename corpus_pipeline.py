@@ -42,7 +42,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "doc", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), mixing.word_count("doc.text").alias("size")
     )
     rows = mixing.mix(rows, "size").filter(F.col("copies") > 0)
-    return rows.select(F.explode(F.array_repeat("doc", F.col("copies"))).alias("doc")).select("doc.*")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -229,6 +229,25 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), "size").count() == 0
 
 
+def test_rows_are_placed_without_python(spark, monkeypatch):
+    """Texts neither pass through Python nor move a second time while rows are mixed or put into shards."""
+    texts = ["x" * (i * 37 % 400) + " w" * (i % 9) for i in range(300)]
+    docs = docs_of(spark, texts, sources=["ab"[i % 2] for i in range(300)]).withColumn("size", mixing.word_count())
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *_: pytest.fail("rows pass through Python"))
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "20k"}):
+        mixed = mixing.mix(docs, "size")
+        assert "SortMergeJoin" not in mixed._jdf.queryExecution().toString()
+        assert mixed.count() == 300
+        assert shards.shard_by_bytes(docs, "size", 7).count() == 300
+
+
+def test_null_sizes_count_as_nothing(spark):
+    docs = docs_of(spark, ["a"] * 40).withColumn("size", F.when(F.col("doc_id") % 4 != 0, 10))
+    rows = sorted(shards.shard_by_bytes(docs, "size", 3).collect(), key=lambda r: r.doc_id)
+    assert [r.shard for r in rows] == sorted(r.shard for r in rows)
+    assert [sum(r.size or 0 for r in rows if r.shard == s) for s in range(3)] == [100, 100, 100]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 300, 20_000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
 from .order import in_order
 
 WEIGHTS = (5, 2, 1)
@@ -75,11 +76,12 @@ def mix(
         F.col(source).alias("source"), F.col(size).alias("size"), F.col(key).alias("key"),
     )
     order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("key").asc_nulls_first()]
-    rows, (row,) = in_order(packed, order)
+    rows, row = in_order(packed, order)
     sizes = rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"), F.min(row).alias("first")
     )
-    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "of_source")
+    # Written, so that its size is known before the rows are joined: few sources are sent to them, none of the rows moves.
+    targets = materialize(source_targets(sizes, weights, most).withColumnRenamed("source", "of_source"), "targets")
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("of_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank, start = F.col(row) - F.col("first"), offset_of(F.col("of_source"), seed)

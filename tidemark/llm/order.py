@@ -1,4 +1,4 @@
-"""Positions and running sums along one global order, from per-partition totals."""
+"""Positions and running sums along one global order, from totals of its parts."""
 
 from __future__ import annotations
 
@@ -14,44 +14,45 @@ from ..session import materialize
 from .text import fresh, with_column
 
 
-def in_order(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """(rows with new columns, their names): the row's global position, then the sum of each of ``sums`` before it.
+SLOT = 1 << 16  # rows whose sizes one task sums up in order
 
-    The rows are range-partitioned and sorted once; a tie-breaker splits even a key that most rows share.  Each
-    partition counts for itself, the result is written once to the shared folder, and the partitions' totals (one row
-    for each partition) give what comes before each.  Nulls count as 0 in sums.
+
+def in_order(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, str]:
+    """(rows with a new column, its name): the row's position along the order, from 0.
+
+    The rows are range-partitioned and sorted once; a tie-breaker splits even a key that most rows share.  The ids that
+    Spark gives to sorted rows hold partition and place, so the rows are written once to the shared folder without
+    passing through Python, and the partitions' counts (one row for each partition) give what comes before each.
     """
-    tie, part, *names = fresh(df, "_tie", "_part", "_row", *[f"_before_{s}" for s in sums])
+    tie, part, row, before = fresh(df, "_tie", "_part", "_row", "_before")
     placed = df.withColumn(tie, F.monotonically_increasing_id())
     keys = [*order, F.col(tie).asc()]
     placed = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(tie)
+    at = F.col(row)
+    placed = placed.withColumn(row, F.monotonically_increasing_id())
+    placed = placed.withColumns({part: F.shiftright(at, 33), row: at.bitwiseAND(F.lit((1 << 33) - 1))})
+    rows = materialize(placed, "ordered")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, rows, totals = TaskContext.get().partitionId(), 0, [0] * len(sums)
-        for batch in batches:
-            n = batch.num_rows
-            added = [np.full(n, here, np.int32), np.arange(rows, rows + n)]
-            for i, name in enumerate(sums):
-                values = np.nan_to_num(batch.column(name).to_numpy(zero_copy_only=False)).astype(np.int64)
-                ends = totals[i] + np.cumsum(values)
-                added.append(ends - values)
-                totals[i] = int(ends[-1]) if n else totals[i]
-            rows += n
-            for name, values in zip([part, *names], added):
-                batch = with_column(batch, name, pa.array(values))
-            yield batch
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias(before))
+    counts = counts.select(part, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
+    rows = rows.join(F.broadcast(counts), part)  # one row for each partition
+    return rows.withColumn(row, F.col(row) + F.col(before)).drop(part, before), row
 
-    fields = [T.StructField(part, T.IntegerType()), *[T.StructField(n, T.LongType()) for n in names]]
-    rows = materialize(placed.mapInArrow(run, T.StructType([*placed.schema.fields, *fields])), "ordered")
 
-    ends = [F.max(F.col(names[0]) + 1), *[F.max(F.col(n) + F.coalesce(s, F.lit(0))) for n, s in zip(names[1:], sums)]]
-    totals = rows.groupBy(part).agg(*[e.alias(f"_t{i}") for i, e in enumerate(ends)])
-    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(part, *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_t{i}") for i in range(len(names))])
-    rows = rows.join(F.broadcast(totals), part)  # one row for each partition
-    return rows.withColumns({n: F.col(n) + F.col(f"_t{i}") for i, n in enumerate(names)}).drop(
-        part, *[f"_t{i}" for i in range(len(names))]
-    ), names
+def sums_before(rows: DataFrame, row: str, value: str) -> DataFrame:
+    """row, value (null: 0) and ``before``, the sum of the values of all earlier rows; only these columns travel.
+
+    Runs of consecutive positions are summed up each for itself, and their totals (one row for each run) give what comes
+    before each.
+    """
+    narrow = rows.select(row, F.coalesce(F.col(value), F.lit(0)).cast("bigint").alias(value), F.floor(F.col(row) / SLOT).alias("slot"))
+    earlier = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    totals = narrow.groupBy("slot").agg(F.sum(value).alias("total"))
+    totals = totals.select("slot", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy("slot").orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    sums = narrow.withColumn("before", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return sums.join(F.broadcast(totals), "slot").select(row, value, (F.col("start") + F.col("before")).alias("before"))
 
 
 def in_groups(df: DataFrame, group: str, order: Sequence[Column]) -> tuple[DataFrame, list[str]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .order import in_order
+from .order import in_order, sums_before
 
 SHARDS = 16
 
@@ -18,8 +18,8 @@ def shard_by_bytes(docs: DataFrame, size: str, shards: int = SHARDS, key: str =
     """The rows with ``shard`` and ``slot``: runs in ascending ``key``, cut at equal targets of the summed ``size``.
 
     A row goes to the shard in which its middle byte lies, so a shard is off its target by one row at most.  Nulls
-    come first in the order, equal keys stay next to each other in any order; slots are gapless from 0.  An empty
-    table gives no rows.  Further columns stay, whatever their names, but one named shard or slot is an error.
+    come first in the order, equal keys stay next to each other in any order; slots are gapless from 0; a null size counts
+    as 0.  An empty table gives no rows.  Further columns stay, whatever their names, but one named shard or slot is an error.
     """
     if clash := {"shard", "slot"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"the documents have columns {sorted(clash)} already")
@@ -27,11 +27,16 @@ def shard_by_bytes(docs: DataFrame, size: str, shards: int = SHARDS, key: str =
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("key"), F.col(size).alias("size")
     )
-    rows, (row, before) = in_order(packed, [F.col("key").asc_nulls_first()], ["size"])
-    total = rows.agg(F.max(F.col(before) + F.col("size"))).first()[0] or 1  # one number
-    middle = 2 * F.col(before) + F.col("size")
+    rows, row = in_order(packed, [F.col("key").asc_nulls_first()])
+    sums = sums_before(rows, row, "size")
+    total = rows.agg(F.sum("size")).first()[0] or 1  # one number
+    middle = 2 * F.col("before") + F.col("size")
     shard = F.least(F.floor(middle * F.lit(shards) / F.lit(2 * total)), F.lit(shards - 1)).cast("int")
-    rows = rows.withColumn("shard", shard)
-    first = rows.groupBy("shard").agg(F.min(row).alias("first"))  # one row for each shard
-    rows = rows.join(F.broadcast(first), "shard")
-    return rows.select("doc.*", "shard", (F.col(row) - F.col("first")).alias("slot"))
+    # Middles ascend, so a shard is a run of rows: where each begins is all that the rows themselves have to know.
+    firsts = sums.groupBy(shard.alias("shard")).agg(F.min(row).alias("first")).collect()  # one row for each shard
+    begins = [F.struct(F.lit(f).cast("bigint").alias("first"), F.lit(s).alias("shard")) for s, f in sorted(firsts)]
+    if not begins:
+        return docs.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("bigint")}).limit(0)
+    run = F.element_at(F.filter(F.array(*begins), lambda b: b["first"] <= F.col(row)), -1)
+    rows = rows.withColumn("run", run)
+    return rows.select("doc.*", F.col("run.shard").alias("shard"), (F.col(row) - F.col("run.first")).alias("slot"))
