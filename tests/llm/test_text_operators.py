@@ -155,6 +155,25 @@ def test_repeats_form_no_large_group(spark, tmp_path, monkeypatch, length, lette
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected
 
 
+def test_repeats_join_no_windows(spark, tmp_path, monkeypatch):
+    """Window hashes meet their anchors without a join; the one join of anchors has a written table on its right."""
+    plans, made = [], R.shared_windows
+
+    def watched(bodies, length):
+        out = made(bodies, length)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(R, "shared_windows", watched)
+    texts = ["".join(random.Random(k).choices("abc", k=9)) + "abcdefgh" * 2 + "xyz"[k % 3] * 7 for k in range(30)]
+    docs = stored(docs_of(spark, texts), tmp_path).select(F.col("doc_id").alias("row"), F.col("text").cast("binary").alias("data"))
+    plan = R.repeated_spans(docs, 12)._jdf.queryExecution().optimizedPlan().toString()
+    assert not plans and "LeftSemi" in plan and "Aggregate [gram" not in plan
+    monkeypatch.setattr(R, "CELL", 8)
+    assert R.repeated_spans(docs, 12).count()
+    assert len(plans) == 1 and "Aggregate" in plans[0] and "Join" not in plans[0]
+
+
 def test_repeats_of_nothing(spark, tmp_path):
     assert R.without_repeats(stored(docs_of(spark, []), tmp_path)).count() == 0
 
