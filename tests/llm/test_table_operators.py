@@ -264,6 +264,21 @@ def test_coder_round_trip(n):
                 coder.read_block(bytes(broken))
 
 
+def test_tokenizer_is_kept_within_bounds(monkeypatch):
+    """One tokenizer serves all tasks of a process; its cache is dropped by number and by bytes, ids stay the same."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    with open(path) as file:
+        definition = file.read()
+    encoder = T.tokenizer_of(definition)
+    assert T.tokenizer_of(str(definition)) is encoder
+    monkeypatch.setattr(T, "CACHED_BYTES", 5000)
+    for k in range(30):
+        text = f"some words {k} and " + "x" * (k * 100) + " end "
+        assert encoder.ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert sum(len(p) + len(i) for p, i in encoder.pieces.items()) == encoder.held <= 5000 + 4 * len(text) + 4 * 3000
+
+
 def test_token_files(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)

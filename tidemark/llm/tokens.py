@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -18,7 +19,7 @@ from .text import fresh
 
 END_ID = 2
 BLOCK_IDS = 1 << 19
-CACHED_PIECES = 400_000
+CACHED_PIECES, CACHED_BYTES = 1_000_000, 1 << 26  # of pieces and their ids; the cache is dropped beyond either
 _RUN_OF_SPACE = re.compile(r"\s ")
 
 
@@ -36,6 +37,7 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.led_by_space = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.led_by_space[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # how a space is written
@@ -49,6 +51,7 @@ class PieceTokenizer:
         begins = (4 * np.flatnonzero(self.led_by_space[ids])).tolist()
         plain = ids.tobytes()
         self.pieces.update(zip(pieces, (plain[b:e] for b, e in zip(begins, [*begins[1:], len(plain)]))))
+        self.held += len(plain) + sum(map(len, pieces))
 
     def ids(self, text: str) -> bytes:
         if "<|" in text or _RUN_OF_SPACE.search(text):
@@ -56,14 +59,20 @@ class PieceTokenizer:
         first, *rest = text.split(" ")
         new = list(set(rest).difference(self.pieces))
         if new:
-            if len(self.pieces) > CACHED_PIECES:
+            if len(self.pieces) > CACHED_PIECES or self.held > CACHED_BYTES:
                 self.pieces.clear()
-                new = list(set(rest))
+                self.held, new = 0, list(set(rest))
             # An empty piece is a space at the end of the text: at the end it stays a token of its own.
             self._learn([*(p for p in new if p), ""] if "" in new else new)
         return b"".join((self._encode(first).tobytes(), *map(self.pieces.__getitem__, rest)))
 
 
+@functools.lru_cache(1)
+def tokenizer_of(definition: str) -> PieceTokenizer:
+    """One for each worker process, so that a task starts with the pieces that earlier ones have met."""
+    return PieceTokenizer(definition)
+
+
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end: int = END_ID, block_ids: int = BLOCK_IDS
 ) -> None:
@@ -82,7 +91,7 @@ def write_tokens(
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before, number = PieceTokenizer(definition), TaskContext.get().partitionId(), 0, 0
+        encoder, part, before, number = tokenizer_of(definition), TaskContext.get().partitionId(), 0, 0
         mark = np.array([end], "<u4").tobytes()
         keys: list = []
         parts: list[bytes] = []
