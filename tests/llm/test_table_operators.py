@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_helpers import components, docs_of, near_duplicates, space_words, stored
 from pyspark.sql import functions as F
@@ -279,6 +280,43 @@ def test_tokenizer_is_kept_within_bounds(monkeypatch):
         assert sum(len(p) + len(i) for p, i in encoder.pieces.items()) == encoder.held <= 5000 + 4 * len(text) + 4 * 3000
 
 
+def test_words_are_encoded_once(monkeypatch):
+    """Ids equal the library's on odd texts; a word that has been met costs nothing, whatever stands around it."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    with open(path) as file:
+        encoder = T.PieceTokenizer(file.read())
+    rng = random.Random(4)
+    parts = ["a", "Be", "éß", "×", "'", "'s", "'ll", "'S", "'re", " ", "  ", "\n", "\n\n", "\t", "\r", "!", "?!", "<", "|", "12", "²", "日", "\xa0", "\x0b", "\0"]
+    texts = ["".join(rng.choices(parts if k % 2 else parts[:3] + parts[4:20], k=k % 30)) for k in range(4000)]
+    texts += ["", "<|endoftext|>", "x <|endoftext|> y", "'s", "don't they've", "it''s 's", "word " * 3000, "x" * 5000, " ", "\n"]
+    for slice_bytes in (100, 1 << 22):
+        monkeypatch.setattr(T, "SLICE", slice_bytes)
+        found = encoder.ids_of(pa.array(texts))
+        assert [ids.tolist() for ids in found] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+    encoded = []
+    plain = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda text, *more: (encoded.append(text), plain(text, *more))[1])
+    words = ["alpha", "beta", "gamma", "delta"]
+    met = [f" {a}{mark} {b}" for a in words for b in words for mark in (",", ".", "!", "")]
+    first = list(encoder.ids_of(pa.array([" ".join(["", *words]) + ", x. y! z"])))
+    encoded.clear()
+    assert len(first) == 1 and len(list(encoder.ids_of(pa.array(met)))) == len(met) and encoded == []
+
+
+def test_blocks_stay_small():
+    """Ids that follow from those before cost little, others what their frequencies say."""
+    rng = np.random.default_rng(5)
+    n = 1 << 18
+    often = np.minimum(rng.geometric(0.02, n), 40_000)
+    shares = np.bincount(often) / n
+    entropy = -(shares[shares > 0] * np.log2(shares[shares > 0])).sum()
+    assert 8 * len(coder.write_block([1], [n], often)) < 1.15 * n * entropy
+    chain = (np.arange(n) * 7919 % 3001) + 1  # each id follows from the last
+    assert len(coder.write_block([1], [n], chain)) < 0.25 * n
+
+
 def test_token_files(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
