@@ -56,7 +56,8 @@ class Model:
         self.freq = 1 + self.counts * room // total
         self.freq[self.counts.argmax()] += (1 << self.bits) - int(self.freq.sum())
         self.begin = np.cumsum(self.freq) - self.freq
-        self.size = np.minimum((np.frexp(self.counts)[1] + 1) >> 1, SIZES - 1).astype(np.int64) << 9
+        exponent = self.counts.astype(np.float64).view(np.int64) >> 52  # 1023 for 1, 0 for 0
+        self.size = np.clip((exponent - 1021) >> 1, 0, SIZES - 1) << 9
         by_count, by_sure1, by_sure2 = (STRETCH[t >> 4] for t in (self.by_count, self.by_sure1, self.by_sure2))
         # Contexts: class of the count, whether both predict the same, how sure order 1 and order 2 are.
         self.stretched = by_sure2[None, None, None, :], by_sure1.reshape(1, 2, 16, 1), by_count[:, None, None, None]

@@ -139,7 +139,7 @@ class PieceTokenizer:
         starts = word_starts(data, ends)
         offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
         coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         numbers = [*map(self.words.get, words)]
         new = [w for w, k in zip(words, numbers) if k is None]
         if new:
